@@ -185,33 +185,35 @@ def prompt_warnings(
     )
 
 
-def autocorrect(template: Column, warnings: Column) -> Column:
-    """Repairs for the warnings that have one: role header, code fences added or taken out."""
-    low = F.lower(template)
-    no_role = (
-        F.array_contains(warnings, "Template missing role or task definition")
-        & ~contains_any(low, ["role", "you are"])
+def add_role(template: Column, warnings: Column) -> Column:
+    missing = F.array_contains(warnings, "Template missing role or task definition") & ~contains_any(
+        F.lower(template), ["role", "you are"]
     )
-    with_role = F.when(no_role, F.concat(F.lit(fixed.ANSWER_ROLE_HEADER), template)).otherwise(template)
+    return F.when(missing, F.concat(F.lit(fixed.ANSWER_ROLE_HEADER), template)).otherwise(template)
+
+
+def first_code_line(template: Column) -> Column:
+    """1-based line of the first definition, 0 where there is none."""
+    return F.array_position(F.transform(lines(template), lambda s: strip(s).rlike("^(def |function |class )")), True)
 
-    rows = lines(with_role)
-    is_code = lambda s: strip(s).rlike("^(def |function |class )")
-    first_code = F.array_position(F.transform(rows, is_code), True)
+
+def add_fence(template: Column, warnings: Column, at: Column) -> Column:
+    """A fence from the first definition to the end; ``at`` is ``first_code_line``."""
+    wanted = F.array_contains(warnings, "Template missing markdown formatting (required)")
+    rows = lines(template)
     fenced = F.concat_ws(
         "\n",
-        F.slice(rows, F.lit(1), F.greatest(first_code.cast("int") - 1, F.lit(0))),
+        F.slice(rows, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0))),
         F.array(F.lit("```python")),
-        F.slice(rows, F.greatest(first_code.cast("int"), F.lit(1)), F.size(rows)),
+        F.slice(rows, F.greatest(at.cast("int"), F.lit(1)), F.size(rows)),
         F.array(F.lit("```")),
     )
-    wants_fence = F.array_contains(warnings, "Template missing markdown formatting (required)")
-    with_fence = F.when(
-        wants_fence & contains_any(with_role, ["def ", "function "]) & (first_code > 0), fenced
-    ).otherwise(with_role)
-
-    no_fence = F.array_contains(warnings, "Template contains markdown code blocks (prohibited)")
-    bare = F.regexp_replace(F.regexp_replace(with_fence, "```", ""), "`", '"')
-    return F.when(no_fence, bare).otherwise(with_fence)
+    return F.when(wanted & contains_any(template, ["def ", "function "]) & (at > 0), fenced).otherwise(template)
+
+
+def drop_fences(template: Column, warnings: Column) -> Column:
+    unwanted = F.array_contains(warnings, "Template contains markdown code blocks (prohibited)")
+    return F.when(unwanted, F.regexp_replace(F.regexp_replace(template, "```", ""), "`", '"')).otherwise(template)
 
 
 def trajectory_checks(

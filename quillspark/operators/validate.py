@@ -142,11 +142,20 @@ def check_prompts(df: DataFrame) -> DataFrame:
 
 
 def autocorrect(df: DataFrame) -> DataFrame:
-    """Repair what can be repaired, then check again; the repairs touch different parts, so two
-    passes reach every one that a first repair made possible."""
-    once = check_prompts(df).withColumn("template", C.autocorrect(F.col("template"), F.col("warnings")))
-    twice = check_prompts(once.drop("warnings")).withColumn("template", C.autocorrect(F.col("template"), F.col("warnings")))
-    return check_prompts(twice.drop("warnings")).withColumn("passed", F.size("warnings") == 0)
+    """Repair what can be repaired, then check again.
+
+    The repairs neither undo nor enable one another, so one round reaches the fixed point.
+    """
+    t, w = F.col("template"), F.col("warnings")
+    fixed_up = (
+        check_prompts(df)
+        .withColumn("template", C.add_role(t, w))
+        .withColumn("_at", C.first_code_line(t))
+        .withColumn("template", C.add_fence(t, w, F.col("_at")))
+        .withColumn("template", C.drop_fences(t, w))
+        .drop("warnings", "_at")
+    )
+    return check_prompts(fixed_up).withColumn("passed", F.size("warnings") == 0)
 
 
 def dataset_statistics(examples: DataFrame) -> DataFrame:
