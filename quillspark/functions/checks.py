@@ -185,35 +185,18 @@ def prompt_warnings(
     )
 
 
-def add_role(template: Column, warnings: Column) -> Column:
-    missing = F.array_contains(warnings, "Template missing role or task definition") & ~contains_any(
-        F.lower(template), ["role", "you are"]
-    )
-    return F.when(missing, F.concat(F.lit(fixed.ANSWER_ROLE_HEADER), template)).otherwise(template)
-
-
-def first_code_line(template: Column) -> Column:
-    """1-based line of the first definition, 0 where there is none."""
-    return F.array_position(F.transform(lines(template), lambda s: strip(s).rlike("^(def |function |class )")), True)
-
-
-def add_fence(template: Column, warnings: Column, at: Column) -> Column:
-    """A fence from the first definition to the end; ``at`` is ``first_code_line``."""
-    wanted = F.array_contains(warnings, "Template missing markdown formatting (required)")
-    rows = lines(template)
-    fenced = F.concat_ws(
+def fence_code(rows: Column, at: Column) -> Column:
+    """Lines as text with a fence from line ``at`` (1-based) to the end."""
+    return F.concat_ws(
         "\n",
-        F.slice(rows, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0))),
-        F.array(F.lit("```python")),
-        F.slice(rows, F.greatest(at.cast("int"), F.lit(1)), F.size(rows)),
-        F.array(F.lit("```")),
+        F.slice(rows, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(F.lit("```python")),
+        F.slice(rows, F.greatest(at, F.lit(1)), F.size(rows)), F.array(F.lit("```")),
     )
-    return F.when(wanted & contains_any(template, ["def ", "function "]) & (at > 0), fenced).otherwise(template)
 
 
-def drop_fences(template: Column, warnings: Column) -> Column:
-    unwanted = F.array_contains(warnings, "Template contains markdown code blocks (prohibited)")
-    return F.when(unwanted, F.regexp_replace(F.regexp_replace(template, "```", ""), "`", '"')).otherwise(template)
+def first_definition(rows: Column) -> Column:
+    """1-based line of the first definition, 0 where there is none."""
+    return F.array_position(F.transform(rows, lambda s: strip(s).rlike("^(def |function |class )")), True).cast("int")
 
 
 def trajectory_checks(

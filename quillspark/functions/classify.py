@@ -161,7 +161,7 @@ def worth_retry(message: Column) -> Column:
 
 def age_label(at: Column, as_of: Column) -> Column:
     """How long ago something happened, in words up to a day and as a date beyond."""
-    seconds = as_of.cast("double") - at.cast("double")
+    seconds = as_of.cast("timestamp").cast("double") - at.cast("timestamp").cast("double")
     return (
         F.when(seconds < 60, "Just now")
         .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m ago")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed
 from quillspark.functions import checks as C
-from quillspark.functions.text import is_blank, present
+from quillspark.functions.text import contains_any, is_blank, lines, present
 
 
 def history_reasons() -> Column:
@@ -142,20 +142,28 @@ def check_prompts(df: DataFrame) -> DataFrame:
 
 
 def autocorrect(df: DataFrame) -> DataFrame:
-    """Repair what can be repaired, then check again.
+    """Repair what can be repaired, then check again: role header, code fence added or taken out.
 
     The repairs neither undo nor enable one another, so one round reaches the fixed point.
     """
-    t, w = F.col("template"), F.col("warnings")
-    fixed_up = (
-        check_prompts(df)
-        .withColumn("template", C.add_role(t, w))
-        .withColumn("_at", C.first_code_line(t))
-        .withColumn("template", C.add_fence(t, w, F.col("_at")))
-        .withColumn("template", C.drop_fences(t, w))
-        .drop("warnings", "_at")
+    t = F.col("template")
+    wanted = F.lower(F.coalesce(F.col("constraints")["format"], F.lit("")))
+    plain, fenced = F.contains(wanted, F.lit("no_markdown")), F.contains(t, F.lit("```"))
+    no_role = ~contains_any(F.lower(t), ["role", "task", "you are"])
+    unfenced = F.contains(wanted, F.lit("markdown")) & ~plain & ~fenced & contains_any(t, ["def ", "function "])
+    staged = (
+        df.withColumns({"_drop": plain & fenced, "_fence": unfenced})
+        .withColumn("template", F.when(no_role, F.concat(F.lit(fixed.ANSWER_ROLE_HEADER), t)).otherwise(t))
+        .withColumn("_rows", F.when(F.col("_fence"), lines(t)))
+        .withColumn("_at", C.first_definition(F.col("_rows")))
     )
-    return check_prompts(fixed_up).withColumn("passed", F.size("warnings") == 0)
+    repaired = (
+        F.when(F.col("_drop"), F.translate(F.replace(t, F.lit("```"), F.lit("")), "`", '"'))
+        .when(F.col("_at") > 0, C.fence_code(F.col("_rows"), F.col("_at")))
+        .otherwise(t)
+    )
+    done = staged.withColumn("template", repaired).drop("_drop", "_fence", "_rows", "_at")
+    return check_prompts(done).withColumn("passed", F.size("warnings") == 0)
 
 
 def dataset_statistics(examples: DataFrame) -> DataFrame:
