@@ -1,6 +1,6 @@
 """Importing the plan modules fills the registry."""
 
 from quillspark.plans.common import ORACLES, QUERIES
-from quillspark.plans import checks, gates, metrics, pool  # noqa: F401
+from quillspark.plans import checks, gates, metrics, pool, retrieve  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
