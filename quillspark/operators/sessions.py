@@ -36,25 +36,32 @@ def wizard_turns(turns: DataFrame, max_turns: int = 3, clear: Column | None = No
 
 
 def _reopening_turns(counted: DataFrame, max_turns: int, on: Column) -> DataFrame:
-    """State when assistant messages can resolve or reopen the wizard.
+    """State when assistant verdicts can resolve or reopen the wizard.
 
-    A user message counts unless the last word on resolution before it was "resolved": the last
-    assistant verdict, or the turn limit. Verdicts are carried to later rows by a running maximum
-    of (position, verdict).
+    A user message counts while the last verdict left the wizard open. Beyond the turn limit only
+    the first one after such a verdict still does, as the limit closes the wizard again at once.
     """
-    verdict = F.when(F.col("_told").isNotNull(), F.col("turn_number") * 2 + F.col("_told").cast("int"))
-    work = counted.withColumn("_v", verdict).withColumn("_b", F.floor(F.col("turn") / TURN_BUCKET))
-    last = _carried_max(work, ["conv_id"], ["turn"], "_v", "_b", "_last")
-    counts = on & (F.col("role") == "user") & (F.coalesce(F.col("_last") % 2, F.lit(0)) == 0)
-    ticking = running(last, ["conv_id"], ["turn"], {"_ticks": counts.cast("int")}, "_b")
-    current = F.least(F.col("_ticks"), F.lit(max_turns))
-    cleared = F.coalesce(F.col("_last") % 2, F.lit(0)) == 1
-    return ticking.withColumn("current_turn", current).withColumns(
+    c = F.col
+    verdict = F.when(c("_told").isNotNull(), F.struct("turn_number", c("_told").alias("told"), "user_messages"))
+    work = counted.withColumn("_v", verdict).withColumn("_b", F.floor(c("turn") / TURN_BUCKET))
+    last = _carried_max(work, ["conv_id"], ["turn"], "_v", "_b", "_last").withColumns(
         {
-            "resolved": on & (cleared | (F.col("current_turn") >= max_turns)),
-            "remaining": F.greatest(F.lit(0), F.lit(max_turns) - F.col("current_turn")),
+            "_clear": F.coalesce(c("_last.told"), F.lit(False)),
+            "_since": c("user_messages") - F.coalesce(c("_last.user_messages"), F.lit(0)),
         }
-    ).drop("_v", "_b", "_last", "_ticks", "_told")
+    )
+    open_user = on & (c("role") == "user") & ~c("_clear")
+    ticking = running(last, ["conv_id"], ["turn"], {"_ticks": open_user.cast("int")}, "_b")
+    beyond = (on & (c("role") == "user") & ~c("_clear") & (c("_since") == 1) & (c("_ticks") > max_turns)).cast("int")
+    extra = running(ticking, ["conv_id"], ["turn"], {"_extra": beyond}, "_b")
+    closed = (
+        F.when(c("_told").isNotNull(), c("_told"))
+        .when(c("_clear"), True)
+        .otherwise((c("_since") >= 1) & (c("current_turn") >= max_turns))
+    )
+    return extra.withColumn("current_turn", F.least(c("_ticks"), F.lit(max_turns)) + c("_extra")).withColumns(
+        {"resolved": on & closed, "remaining": F.greatest(F.lit(0), F.lit(max_turns) - c("current_turn"))}
+    ).drop("_v", "_b", "_last", "_clear", "_since", "_ticks", "_extra", "_told")
 
 
 def _carried_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: str, name: str) -> DataFrame:
