@@ -197,7 +197,8 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] | None =
         query.awaitTermination()
     finally:
         spark.conf.set(name, before)
-    written = spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{base}/rows")
+    shape = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    written = spark.read.schema(shape).parquet(f"{base}/rows")
     if keys is None:
         return written.drop("batch")
     return latest_per_key(written, list(keys), [F.desc("batch")]).drop("batch")
