@@ -11,7 +11,7 @@ from quillspark import fixed
 from quillspark.functions.jsonudf import json_valid
 from quillspark.functions.scores import bonus
 from quillspark.functions.text import (
-    clamp01, contains_any, count_present, is_blank, lines, matches_any, present, rx, strip, words,
+    clamp01, contains_any, count_present, is_blank, lines, matches_any, present, rx, strip,
 )
 
 Constraint = Callable[[Column], Column]
@@ -58,19 +58,20 @@ def occurrences(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.translate(text, char, ""))
 
 
-def has_repeated_word(text: Column) -> Column:
+def has_repeated_word(tokens: Column) -> Column:
     """Some word of over three characters occurs more than three times.
 
     Sorted, equal words are neighbours, so a word is frequent exactly if it equals the one three on.
     """
-    ordered = F.array_sort(F.filter(words(F.lower(text)), lambda w: F.length(w) > 3))
+    longer = F.filter(tokens, lambda w: F.length(w) > 3)
+    ordered = F.sort_array(F.transform(longer, F.lower))
     return F.exists(
-        F.zip_with(F.slice(ordered, F.lit(4), F.greatest(F.size(ordered) - 3, F.lit(0))), ordered, lambda a, b: a == b),
+        F.zip_with(F.slice(ordered, F.lit(4), F.size(ordered) + 1), ordered, lambda a, b: a == b),
         lambda hit: F.coalesce(hit, F.lit(False)),
     )
 
 
-def pattern_errors(question: Column) -> list[tuple[Column, str]]:
+def pattern_errors(question: Column, tokens: Column) -> list[tuple[Column, str]]:
     low = F.lower(question)
     named = [
         (F.contains(low, F.lit(f.lower())), f"Question contains framework mention: {f}")
@@ -81,12 +82,13 @@ def pattern_errors(question: Column) -> list[tuple[Column, str]]:
         *named,
         (special_ratio(question) > 0.3, "Question has too many special characters"),
         (occurrences(question, "(") != occurrences(question, ")"), "Unbalanced parentheses"),
-        (has_repeated_word(question), "Question contains repetition"),
+        (has_repeated_word(tokens), "Question contains repetition"),
     ]
 
 
-def synthetic_errors(question: Column, metadata: Column) -> Column:
-    """All errors of a synthetic example; ``metadata`` is a struct whose missing fields are null."""
+def synthetic_errors(question: Column, metadata: Column, tokens: Column) -> Column:
+    """All errors of a synthetic example; ``metadata`` is a struct whose missing fields are null and
+    ``tokens`` holds the question's words."""
     required = ["task_type", "domain", "confidence", "source_component_id", "variation"]
     confidence = metadata["confidence"]
     checks = [
@@ -97,14 +99,14 @@ def synthetic_errors(question: Column, metadata: Column) -> Column:
         ((confidence < 0.0) | (confidence > 1.0), "Confidence must be between 0.0 and 1.0"),
         (F.length(question) < 50, "Question too short"),
         (F.length(question) > 5000, "Question too long"),
-        *[(question.isNotNull() & c, m) for c, m in pattern_errors(question)],
+        *[(question.isNotNull() & c, m) for c, m in pattern_errors(question, tokens)],
     ]
     return present(checks)
 
 
-def lexical_score(text: Column, extra: Column) -> Column:
+def lexical_score(text: Column, tokens: Column, extra: Column) -> Column:
     """Shared core of both example scores: low diversity is final, else bonuses are added up."""
-    low, tokens = F.lower(text), words(text)
+    low = F.lower(text)
     chars = F.array_distinct(F.split(text, ""))
     score = (
         F.lit(0.5)
@@ -120,14 +122,14 @@ def lexical_score(text: Column, extra: Column) -> Column:
     )
 
 
-def synthetic_score(question: Column, metadata: Column, errors: Column) -> Column:
+def synthetic_score(question: Column, metadata: Column, errors: Column, tokens: Column) -> Column:
     extra = (
         F.least(F.lit(0.1), count_present(F.lower(question), fixed.SCORE_LIMIT_WORDS) * 0.02)
         + F.coalesce(metadata["confidence"] * 0.1, F.lit(0.0))
         + bonus(F.coalesce(metadata["task_type"].isin(fixed.TASK_TYPES), F.lit(False)), 0.05)
         - F.size(errors) * 0.2
     )
-    return F.when(question.isNull(), 0.0).otherwise(lexical_score(question, extra))
+    return F.when(question.isNull(), 0.0).otherwise(lexical_score(question, tokens, extra))
 
 
 def import_errors(inputs: Column, outputs: Column, metadata: Column) -> Column:
@@ -140,9 +142,9 @@ def import_errors(inputs: Column, outputs: Column, metadata: Column) -> Column:
     )
 
 
-def import_score(prompt: Column, source: Column, errors: Column) -> Column:
+def import_score(prompt: Column, source: Column, errors: Column, tokens: Column) -> Column:
     extra = bonus(F.coalesce(source == "langchain-hub", F.lit(False)), 0.1) - F.size(errors) * 0.2
-    return F.when(F.coalesce(prompt, F.lit("")) == "", 0.0).otherwise(lexical_score(prompt, extra))
+    return F.when(F.coalesce(prompt, F.lit("")) == "", 0.0).otherwise(lexical_score(prompt, tokens, extra))
 
 
 def prompt_warnings(

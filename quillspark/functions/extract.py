@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed
 from quillspark.functions.scores import bonus
@@ -99,30 +99,52 @@ def ranked_role(template: Column) -> Column:
     return F.coalesce(F.array_max(ranked)["role"], guess)
 
 
-def detections(template: Column, tags: Column) -> Column:
-    """Framework families with enough signs, surest first: (name, confidence, evidence)."""
+def framework_signs(template: Column, tags: Column) -> list[tuple[str, Column, list[tuple[float, str]]]]:
+    """Per family: its name, an array telling which signs show, and each sign's weight and wording."""
     low, low_tags = F.lower(template), F.transform(tags, F.lower)
-    found = []
+    out = []
     for name, (keywords, patterns) in fixed.FRAMEWORK_SIGNS.items():
-        signs = (
-            [(F.contains(low, F.lit(k)), 0.15, f"keyword: '{k}'") for k in keywords]
-            + [(F.coalesce(F.array_contains(low_tags, k), F.lit(False)), 0.25, f"tag: '{k}'") for k in keywords]
-            + [(low.rlike(rx(p)), 0.3, f"pattern: '{p[:30]}...'") for p in patterns]
+        plain = lambda p: p.replace(" ", "").replace("-", "").replace("_", "").replace("'", "").replace(":", "").isalnum()
+        hits = (
+            [F.contains(low, F.lit(k)) for k in keywords]
+            + [F.coalesce(F.array_contains(low_tags, k), F.lit(False)) for k in keywords]
+            + [F.contains(low, F.lit(p)) if plain(p) else low.rlike(rx(p)) for p in patterns]
         )
-        confidence = F.lit(0.0)
-        for hit, weight, _ in signs:
-            confidence = confidence + bonus(hit, weight)
-        confidence = F.least(confidence, F.lit(1.0))
-        tagged = F.coalesce(F.arrays_overlap(low_tags, F.array(*[F.lit(k) for k in keywords])), F.lit(False))
-        item = F.struct(
-            F.lit(name).alias("name"), confidence.alias("confidence"),
-            F.slice(present([(hit, text) for hit, _, text in signs]), 1, 5).alias("evidence"),
+        wording = (
+            [(0.15, f"keyword: '{k}'") for k in keywords] + [(0.25, f"tag: '{k}'") for k in keywords]
+            + [(0.3, f"pattern: '{p[:30]}...'") for p in patterns]
         )
-        found.append(F.when((confidence >= 0.3) | tagged, item))
-    kept = F.array_compact(F.array(*found))
-    return F.array_sort(
+        out.append((name, F.array(*hits), wording))
+    return out
+
+
+def with_detections(df: DataFrame, template: str, tags: str, into: str) -> DataFrame:
+    """Framework families with enough signs, surest first: (name, confidence, evidence).
+
+    Signs are looked for once, in a stage of their own; weights are added one at a time.
+    """
+    signs = framework_signs(F.col(template), F.col(tags))
+    staged = df.withColumns({f"_hits{i}": hits for i, (_, hits, _) in enumerate(signs)})
+    found = []
+    for i, (name, _, wording) in enumerate(signs):
+        weights = F.array(*[F.lit(w) for w, _ in wording])
+        texts = F.array(*[F.lit(t) for _, t in wording])
+        hits = F.col(f"_hits{i}")
+        gained = F.zip_with(hits, weights, lambda h, w: F.when(h, w).otherwise(0.0))
+        sure = F.least(F.aggregate(gained, F.lit(0.0), lambda acc, w: acc + w), F.lit(1.0))
+        words_n = sum(t.startswith("keyword") for _, t in wording)
+        tagged = F.array_contains(F.slice(hits, words_n + 1, words_n), True)
+        evidence = F.slice(F.filter(F.zip_with(hits, texts, lambda h, t: F.when(h, t)), lambda t: t.isNotNull()), 1, 5)
+        found.append((i, F.struct(F.lit(name).alias("name"), sure.alias("confidence"), evidence.alias("evidence"), tagged.alias("tagged"))))
+    staged = staged.withColumns({f"_found{i}": item for i, item in found})
+    every = F.array(*[F.col(f"_found{i}") for i, _ in found])
+    kept = F.filter(every, lambda d: (d["confidence"] >= 0.3) | d["tagged"])
+    ordered = F.array_sort(
         kept, lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0)
     )
+    slim = F.transform(ordered, lambda d: F.struct(d["name"].alias("name"), d["confidence"].alias("confidence"), d["evidence"].alias("evidence")))
+    gone = [f"_hits{i}" for i, _ in found] + [f"_found{i}" for i, _ in found]
+    return staged.withColumn(into, slim).drop(*gone)
 
 
 def ranked_directive(template: Column, framework: Column) -> Column:

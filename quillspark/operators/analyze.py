@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark import fixed
 from quillspark.operators.ordered import exact_quantiles, neighbour, with_position
+from quillspark.session import materialise
 
 METRICS = ["quality", "performance", "impact", "overall"]
 
@@ -39,7 +40,12 @@ def unpivot_metrics(scored: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def summarize(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, exact median, sample deviation and range of every metric."""
-    long = unpivot_metrics(scored, keys)
+    # scores come from regular expressions over whole texts; they are computed once, not per pass
+    return _summary(materialise(scored.select(*keys, *METRICS)), keys)
+
+
+def _summary(slim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    long = unpivot_metrics(slim, keys)
     by = [*keys, "metric"]
     moments = long.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"),
@@ -70,7 +76,8 @@ def direction(rate: Column) -> Column:
 
 def trend_summary(scored: DataFrame) -> DataFrame:
     """Statistics and direction of every metric."""
-    return summarize(scored).join(endpoint_slopes(scored), "metric")
+    slim = materialise(scored.select("id", "created_at", *METRICS))
+    return _summary(slim, ()).join(endpoint_slopes(slim), "metric")
 
 
 def recommendations(trends: DataFrame) -> DataFrame:
@@ -118,13 +125,13 @@ def period_trend(scored: DataFrame, as_of: Column, days: int = 7, digits: int =
 
 
 def timeline(scored: DataFrame) -> DataFrame:
-    """Overall score with the place of every event in time."""
-    slim = scored.select("id", "created_at", "overall")
-    return with_position(slim, [F.col("created_at"), F.col("id")], "pos", "bucket")
+    """Overall score with the place of every event in time; ``scored`` is a materialised table."""
+    return with_position(scored, [F.col("created_at"), F.col("id")], "pos", "bucket")
 
 
 def outliers(scored: DataFrame) -> DataFrame:
     """Events over two sample deviations from the mean, if there are ten events or more."""
+    scored = materialise(scored.select("id", "created_at", "overall"))
     stats = scored.agg(
         F.avg("overall").alias("mean"), F.stddev_samp("overall").alias("sd"), F.count("*").alias("n")
     )
@@ -141,6 +148,7 @@ def outliers(scored: DataFrame) -> DataFrame:
 
 def sudden_drops(scored: DataFrame, least: float = 0.20) -> DataFrame:
     """Events that score lower than the one before by more than ``least``."""
+    scored = materialise(scored.select("id", "created_at", "overall"))
     n = scored.agg(F.count("*").alias("n")).select("n").scalar()
     paired = neighbour(timeline(scored), [], ["pos"], ["overall"], "bucket", "_prev", ahead=False)
     drop = F.col("_prev.overall") - F.col("overall")
@@ -246,6 +254,7 @@ def versions_against_first(scored: DataFrame, version: str) -> DataFrame:
 
 def calibration(scores: DataFrame, score: str = "score") -> DataFrame:
     """Distribution of constraint scores and the pass threshold it suggests."""
+    scores = materialise(scores.select(score))
     basics = scores.agg(
         F.count("*").alias("n"), F.min(score).alias("min_score"), F.max(score).alias("max_score"),
         F.avg(score).alias("mean_score"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std_dev"),

@@ -127,7 +127,7 @@ def hub_to_example(hub: DataFrame) -> DataFrame:
 def metodize(hub: DataFrame) -> DataFrame:
     """Templates as examples by the ranked extraction, with detections, sub-scores and patterns."""
     t = F.col("template")
-    found = hub.withColumn("_found", X.detections(t, F.col("tags")))
+    found = X.with_detections(hub, "template", "tags", "_found")
     first = F.get(F.col("_found"), F.lit(0))
     parts = found.withColumns(
         {

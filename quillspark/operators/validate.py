@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed
 from quillspark.functions import checks as C
-from quillspark.functions.text import contains_any, is_blank, lines, present
+from quillspark.functions.text import contains_any, is_blank, lines, present, words
 
 
 def history_reasons() -> Column:
@@ -106,18 +106,21 @@ def ifeval(df: DataFrame, text: str, threshold: float = 0.7, constraints: dict |
 def validate_synthetic(df: DataFrame) -> DataFrame:
     """Needs ``question`` and the struct ``metadata``."""
     question, metadata = F.col("question"), F.col("metadata")
-    checked = df.withColumn("errors", C.synthetic_errors(question, metadata))
-    return checked.withColumn("score", C.synthetic_score(question, metadata, F.col("errors"))).withColumn(
-        "is_valid", (F.size("errors") == 0) & (F.col("score") > 0.5)
-    )
+    tokens = F.col("_tokens")
+    checked = df.withColumn("_tokens", words(question)).withColumn("errors", C.synthetic_errors(question, metadata, tokens))
+    scored = checked.withColumn("score", C.synthetic_score(question, metadata, F.col("errors"), tokens))
+    return scored.withColumn("is_valid", (F.size("errors") == 0) & (F.col("score") > 0.5)).drop("_tokens")
 
 
 def validate_import(df: DataFrame) -> DataFrame:
     """Needs the structs ``inputs``, ``outputs`` and ``metadata``; kept rows only need the score."""
     c = F.col
-    checked = df.withColumn("errors", C.import_errors(c("inputs"), c("outputs"), c("metadata")))
+    checked = df.withColumn("errors", C.import_errors(c("inputs"), c("outputs"), c("metadata"))).withColumn(
+        "_tokens", words(c("outputs.improved_prompt"))
+    )
     return (
-        checked.withColumn("score", C.import_score(c("outputs.improved_prompt"), c("metadata.source"), c("errors")))
+        checked.withColumn("score", C.import_score(c("outputs.improved_prompt"), c("metadata.source"), c("errors"), c("_tokens")))
+        .drop("_tokens")
         .withColumn("is_valid", (F.size("errors") == 0) & (c("score") > 0.5))
         .withColumn("kept", c("score") >= 0.5)
     )

@@ -45,7 +45,7 @@ def ifeval_scores(spark, folder):
     FROM v_ifeval, t""",
 )
 def ifeval_calibration(spark, folder):
-    scores = V.ifeval(views.table(spark, folder, "documents").select("doc_id", "text"), "text").select("score")
+    scores = V.ifeval(views.documents(spark, folder).select("doc_id", "text"), "text").select("score")
     return rounded(
         A.calibration(scores), "min_score", "max_score", "mean_score", "std_dev", "median_score", "p60", "pass_rate"
     )
@@ -89,7 +89,7 @@ SYNTHETIC_SQL = f"""WITH d AS (SELECT doc_id, text, {SORTED_WORDS} AS ws, {META_
 def synthetic(spark, folder):
     doc = F.col("doc_id")
     return V.validate_synthetic(
-        views.table(spark, folder, "documents").select(
+        views.documents(spark, folder).select(
             "doc_id", F.col("text").alias("question"),
             F.struct(
                 views.pick(doc % 6, TASKS).alias("task_type"),
@@ -139,7 +139,7 @@ def dataset_statistics(spark, folder):
 )
 def import_validation(spark, folder):
     doc = F.col("doc_id")
-    examples = views.table(spark, folder, "documents").select(
+    examples = views.documents(spark, folder).select(
         "doc_id",
         F.struct(F.substring("text", 1, 200).alias("original_idea")).alias("inputs"),
         F.struct(F.col("text").alias("improved_prompt")).alias("outputs"),
@@ -236,7 +236,7 @@ def history_quarantine(spark, folder):
     FROM documents WHERE length(text) < 5 OR length(text) > 5000 OR doc_id % 3 = 2""",
 )
 def request_rules(spark, folder):
-    requests = views.table(spark, folder, "documents").select(
+    requests = views.documents(spark, folder).select(
         "doc_id", F.col("text").alias("idea"), F.col("text").alias("context"),
         views.pick(F.col("doc_id") % 3, ["legacy", "nlac", "other"]).alias("mode"),
     )
@@ -250,7 +250,7 @@ def request_rules(spark, folder):
     SELECT doc_id AS id, source AS framework, CASE WHEN length(text) > 50 THEN substring(text, 1, 50) || '...' ELSE text END AS idea FROM documents)""",
 )
 def invalid_frameworks(spark, folder):
-    df = views.table(spark, folder, "documents").select(
+    df = views.documents(spark, folder).select(
         F.col("doc_id").alias("id"), F.lit(None).cast("timestamp").alias("created_at"), F.col("source").alias("framework"),
         F.col("text").alias("original_idea"),
     )
@@ -326,7 +326,7 @@ def intent_by_complexity(spark, folder):
     f"SELECT domain, count(*) AS n FROM (SELECT {first_sql('lower(text)', fixed.IDEA_DOMAINS, 'other')} AS domain FROM documents) GROUP BY domain",
 )
 def domain_mix(spark, folder):
-    return A.count_by(views.table(spark, folder, "documents").select(K.idea_domain(F.col("text")).alias("domain")), "domain")
+    return A.count_by(views.documents(spark, folder).select(K.idea_domain(F.col("text")).alias("domain")), "domain")
 
 
 def _route_sql() -> str:
@@ -350,7 +350,7 @@ def routed_strategies(spark, folder):
     FROM (SELECT doc_id, lower({strip_sql("text")}) AS t FROM documents))""",
 )
 def normalized_frameworks(spark, folder):
-    return views.table(spark, folder, "documents").select("doc_id", N.normalize_framework(F.col("text")).alias("f")).select("doc_id", "f.*")
+    return views.documents(spark, folder).select("doc_id", N.normalize_framework(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 def _errors_sql() -> str:
@@ -366,7 +366,7 @@ def _errors_sql() -> str:
 @query("error_typing", _errors_sql())
 def error_typing(spark, folder):
     t = F.col("text")
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id", K.error_name(t).alias("error_name"), K.error_hint(t, F.lit("nlac")).alias("hint"), K.worth_retry(t).alias("retry"),
     )
 

@@ -347,7 +347,7 @@ def _issue_sql() -> str:
 @query("text_issues", _issue_sql())
 def text_issues(spark, folder):
     t = F.col("text")
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id", F.array_join(C.output_issues(t), " | ").alias("output_issues"),
         F.array_join(C.rewrite_issues(t), " | ").alias("rewrite_issues"), F.array_join(C.debt_patterns(t), " | ").alias("debt"),
         C.acronym_sense(t).alias("sense"),

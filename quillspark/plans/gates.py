@@ -44,7 +44,7 @@ def repetition_sql(text: str) -> str:
 )
 def gate_filler(spark, folder):
     t = F.col("text")
-    df = views.table(spark, folder, "documents").select(
+    df = views.documents(spark, folder).select(
         "doc_id", G.filler_count(t).alias("filler_count"), G.content_density(t).alias("density"),
         G.filler_gate(t).alias("status"), G.filler_score(t).alias("score"),
     )
@@ -58,7 +58,7 @@ def gate_filler(spark, folder):
 )
 def gate_repetition(spark, folder):
     t = F.col("text")
-    df = views.table(spark, folder, "documents").select("doc_id", "text", G.content_lines(t).alias("_l"))
+    df = views.documents(spark, folder).select("doc_id", "text", G.content_lines(t).alias("_l"))
     return rounded(
         df.select(
             "doc_id", F.size("_l").alias("line_count"), G.repetition_gate(t).alias("status"),
@@ -206,7 +206,7 @@ def docs_report_sql() -> str:
 
 
 def _docs_report(spark, folder):
-    docs = views.table(spark, folder, "documents").select(
+    docs = views.documents(spark, folder).select(
         F.col("doc_id").alias("id"), F.col("text").alias(X),
         F.when(F.col("doc_id") % 2 == 0, "procedure_md").otherwise("checklist_md").alias("template_id"),
     )

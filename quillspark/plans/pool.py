@@ -189,7 +189,7 @@ def catalog_profile(spark, folder):
     FROM (SELECT count(*) AS total, count(*) FILTER (length(text) >= 50) AS valid FROM documents)""",
 )
 def skip_rate_guard(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = views.documents(spark, folder)
     return rounded(P.skip_rate_guard(docs, F.length("text") >= 50), "skip_rate")
 
 
@@ -216,7 +216,7 @@ def post_merge_checks(spark, folder):
     FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)""",
 )
 def sequential_split(spark, folder):
-    docs = views.table(spark, folder, "documents").select("doc_id")
+    docs = views.documents(spark, folder).select("doc_id")
     return P.sequential_split(docs, [F.col("doc_id")])
 
 
@@ -227,7 +227,7 @@ def sequential_split(spark, folder):
     FROM (SELECT length(text) AS l, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)) GROUP BY split""",
 )
 def split_sizes(spark, folder):
-    docs = views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("question"))
+    docs = views.documents(spark, folder).select("doc_id", F.col("text").alias("question"))
     return rounded(P.split_sizes(P.sequential_split(docs, [F.col("doc_id")]), "question"), "mean_length")
 
 
@@ -237,7 +237,7 @@ def split_sizes(spark, folder):
     (SELECT doc_id, arg_max(quality, doc_id) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)""",
 )
 def score_lookup(spark, folder):
-    prompts = views.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    prompts = views.documents(spark, folder).select(F.col("doc_id").cast("string").alias("id"))
     scores = views.table(spark, folder, "labels").select(
         F.concat(F.lit("label_"), F.col("doc_id").cast("string")).alias("id"), F.col("quality").cast("double").alias("score"),
     )
@@ -250,7 +250,7 @@ def score_lookup(spark, folder):
     CASE WHEN doc_id % 10 = 0 THEN 'unknown' ELSE 'decomposition' END AS framework FROM documents""",
 )
 def normalize_example(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = views.documents(spark, folder)
     flat = F.col("doc_id") % 10 == 0
     idea = F.substring("text", 1, 200)
     mixed = docs.select(
@@ -291,7 +291,7 @@ def prompt_to_unified(spark, folder):
 )
 def cache_keys(spark, folder):
     parts = (F.substring("text", 1, 200), F.lit(""), F.lit("legacy"))
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id", sha_key(*parts).alias("cache_key"), stable_uuid(*parts).alias("prompt_id")
     )
 
@@ -310,7 +310,7 @@ def canonical_keys(spark, folder):
     "CASE WHEN count(*) FILTER (doc_id % 97 = 5) > 0 THEN 'missing outputs' END AS first_violation FROM documents",
 )
 def structure_report(spark, folder):
-    docs = views.table(spark, folder, "documents").select(
+    docs = views.documents(spark, folder).select(
         F.col("doc_id").alias("pos"),
         F.struct(F.substring("text", 1, 200).alias("original_idea")).alias("inputs"),
         F.when(F.col("doc_id") % 97 != 5, F.struct(F.col("text").alias("improved_prompt"))).alias("outputs"),

@@ -61,7 +61,7 @@ def knn_metadata(spark, folder):
 )
 def knn_words(spark, folder):
     asked = views.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    pool = views.table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
+    pool = views.documents(spark, folder).select(F.col("doc_id").alias("pos"), "text")
     return rounded(R.knn_words(asked, pool), "similarity")
 
 

@@ -191,7 +191,7 @@ RFIND = lambda c: f"(CASE WHEN contains({CUT}, {c}) THEN length({CUT}) - strpos(
     ELSE {CUT} || '...' END AS cut FROM documents""",
 )
 def truncate_text(spark, folder):
-    return views.table(spark, folder, "documents").select("doc_id", N.truncate_at_sentence(F.col("text"), 800).alias("cut"))
+    return views.documents(spark, folder).select("doc_id", N.truncate_at_sentence(F.col("text"), 800).alias("cut"))
 
 
 SPLIT = f"regexp_split_to_array(text, {q(chr(92) + 'r?' + chr(92) + 'n')})"
@@ -206,7 +206,7 @@ ASKS = f"(starts_with({strip_sql('s')}, '¿') OR contains(s, '?'))"
 )
 def question_lines(spark, folder):
     cut = N.strip_question_lines(F.col("text"), F.lit(None).cast("array<string>"))
-    return views.table(spark, folder, "documents").select("doc_id", cut.alias("c")).select(
+    return views.documents(spark, folder).select("doc_id", cut.alias("c")).select(
         "doc_id", F.length("c.improved_prompt").cast("long").alias("kept_length"), F.size("c.clarifying_questions").alias("question_count")
     )
 
@@ -216,7 +216,7 @@ def question_lines(spark, folder):
     f"SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda s: {strip_sql('s')}), lambda s: s <> ''))::INT AS n FROM documents",
 )
 def guardrail_lists(spark, folder):
-    return views.table(spark, folder, "documents").select("doc_id", F.size(N.normalize_guardrails(F.col("text"))).alias("n"))
+    return views.documents(spark, folder).select("doc_id", F.size(N.normalize_guardrails(F.col("text"))).alias("n"))
 
 
 @query(
@@ -304,7 +304,7 @@ def _detection_sql() -> str:
     FROM d WHERE confidence >= 0.3e0 OR tagged GROUP BY handle""",
 )
 def framework_detections(spark, folder):
-    found = hub(spark, folder).select("handle", X.detections(F.col("template"), F.col("tags")).alias("d")).filter(F.size("d") > 0)
+    found = X.with_detections(hub(spark, folder), "template", "tags", "d").filter(F.size("d") > 0)
     return rounded(
         found.select(
             "handle", F.array_join(F.transform("d", lambda x: x["name"]), ",").alias("families"),
@@ -340,7 +340,7 @@ def converter_comparison(spark, folder):
 
 def components(spark, folder):
     doc = F.col("doc_id")
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         doc.alias("pos"), F.concat(F.lit("file-"), doc.cast("string")).alias("source_file"),
         views.pick(doc % 5, fixed.DOMAINS).alias("domain"), F.col("lang").alias("category"), F.col("source").alias("role"),
         F.substring("text", 1, 80).alias("directive"), F.when(doc % 3 == 0, "N/A").when(doc % 3 == 1, "Chain-of-Thought").otherwise("").alias("framework"),

@@ -17,6 +17,8 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: ob
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # text work is heavy per byte, so small shuffles are worth spreading
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # call-site capture costs several driver round trips for every column built
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

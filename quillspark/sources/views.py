@@ -13,6 +13,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores dealt out to all cores.
+
+    For text work on a table in one small file; a table of many files keeps its own splits and is
+    not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() * 2 <= cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 def pick(index, options):
     """One of a few literals by a 0-based index."""
     return F.element_at(F.array(*[F.lit(o) for o in options]), (index + 1).cast("int"))
@@ -110,7 +124,7 @@ def history_with_impact(spark: SparkSession, folder: str) -> DataFrame:
 
 def pool(spark: SparkSession, folder: str, only_even: bool = False) -> DataFrame:
     """Documents as few-shot examples."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     if only_even:
         docs = docs.filter(F.col("doc_id") % 2 == 0)
     return docs.select(
