@@ -125,6 +125,13 @@ def knn_bigram(
         best = _score_by_broadcast(entries, catalog, k, threshold)
     else:
         best = _score_by_blocks(features, catalog, k, threshold)
+    if threshold <= 0:
+        # requests without a known bigram are at similarity 0 with every row: the first rows win
+        lost = requests.select("query_id").join(features.select("query_id").distinct(), "query_id", "left_anti")
+        first = catalog.select("catalog_id").orderBy("catalog_id").limit(k).agg(F.collect_list("catalog_id").alias("_ids"))
+        best = best.unionByName(
+            lost.select("query_id", F.explode(first.scalar()).alias("catalog_id"), F.lit(0.0).alias("similarity"))
+        )
     return top_k(best, k)
 
 

@@ -38,7 +38,7 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 def text_list(raw: Column) -> Column:
     """A list given as JSON array, or as text with one item per line or comma."""
     parsed = F.from_json(raw, schemas.STRINGS)
-    pieces = F.filter(F.transform(F.split(raw, r"[\n,]"), F.trim), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split(raw, r"[\n,]"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(raw.startswith("["), parsed).otherwise(pieces)
 
 
@@ -167,7 +167,7 @@ def read_context_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     found = (
         spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", "*")
         .format("binaryFile").load(sorted({p.rsplit("/", 1)[0] or "/" for p in paths}))
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("source"), F.decode("content", F.lit("UTF-8")).alias("_text"))
+        .select(F.regexp_replace("path", "^file:/+", "/").alias("source"), F.decode("content", "UTF-8").alias("_text"))
         .filter(F.col("source").isin(list(paths)))
     )
     missing = F.col("_text").isNull()

@@ -48,7 +48,7 @@ def gate_stream(outputs: DataFrame, text: str, template: str) -> DataFrame:
     return gating.gate_report(outputs, text, template)
 
 
-def impact_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def impact_stream(events: DataFrame) -> DataFrame:
     """Reactions per user as they come in."""
     count = lambda kind: F.count_if(F.col("event_type") == kind)
     totals = events.groupBy("user_id").agg(
