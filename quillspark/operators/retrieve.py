@@ -1,8 +1,8 @@
 """Similar-example retrieval: character bigrams, shared words, dense vectors.
 
 Exact top-k needs every query against every catalog row. No pair ever reaches a shuffle: each task
-scores its catalog rows against a block of queries with one matrix product and passes on at most k
-rows per query and batch, so what is shuffled grows with queries and tasks, not with pairs.
+scores its catalog rows against a block of queries with matrix products and passes on at most k rows
+per query, so what is shuffled grows with queries and tasks, not with pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from quillspark.functions.text import bigrams, strip, words
 BROADCAST_ENTRIES = 500_000
 BLOCK_QUERIES = 512
 BLOCK_ROWS = 8192
+SLICE_ROWS = 1024
 TOP_SCHEMA = "query_id long, catalog_id long, similarity double"
 
 
@@ -71,11 +72,40 @@ def count_bigrams(text: str) -> dict[str, int]:
     return {chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF): int(n) for p, n in zip(pairs, counts)}
 
 
-def best_of_block(ids, names, matrix, norms, catalog: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
-    """The k best catalog rows of one batch for every query, ties by catalog id."""
-    rows = np.zeros((len(catalog), len(names)))
-    squares = np.zeros(len(catalog))
-    for r, text in enumerate(catalog["text"]):
+class RunningBest:
+    """The k best rows seen so far for every query, ties by catalog id; k numbers per query in all."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.sims = np.full((len(ids), k), -np.inf)
+        self.keys = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def update(self, sims: np.ndarray, keys: np.ndarray) -> None:
+        """Scores of some catalog rows (rows by queries); only queries they can improve are touched."""
+        if not len(keys):
+            return
+        for q in np.nonzero(sims.max(axis=0) >= self.sims[:, -1])[0]:
+            worth = np.nonzero(sims[:, q] >= self.sims[q, -1])[0]
+            all_sims = np.concatenate([self.sims[q], sims[worth, q]])
+            all_keys = np.concatenate([self.keys[q], keys[worth]])
+            order = np.lexsort((all_keys, -all_sims))[: self.k]
+            self.sims[q], self.keys[q] = all_sims[order], all_keys[order]
+
+    def rows(self, threshold: float = -np.inf) -> pd.DataFrame:
+        q, r = np.nonzero((self.sims > -np.inf) & (self.sims >= threshold))
+        return pd.DataFrame({"query_id": self.ids[q], "catalog_id": self.keys[q, r], "similarity": self.sims[q, r]})
+
+
+def slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(batch), SLICE_ROWS):
+        yield batch.iloc[start : start + SLICE_ROWS]
+
+
+def bigram_cosines(names: dict[str, int], matrix: np.ndarray, norms: np.ndarray, texts: pd.Series) -> np.ndarray:
+    """Cosine of every text with every query; the text's norm counts all its bigrams."""
+    rows = np.zeros((len(texts), len(names)))
+    squares = np.zeros(len(texts))
+    for r, text in enumerate(texts):
         for feature, n in count_bigrams(text or "").items():
             squares[r] += n * n
             column = names.get(feature)
@@ -83,14 +113,7 @@ def best_of_block(ids, names, matrix, norms, catalog: pd.DataFrame, k: int, thre
                 rows[r, column] = n
     dots = rows @ matrix  # sums of whole numbers, hence exact
     scale = np.sqrt(squares)[:, None] * np.sqrt(norms)[None, :]
-    sims = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
-    keys = catalog["catalog_id"].to_numpy()
-    out = []
-    for q, query_id in enumerate(ids):
-        order = np.lexsort((keys, -sims[:, q]))[:k]
-        order = order[sims[order, q] >= threshold]
-        out.append(pd.DataFrame({"query_id": query_id, "catalog_id": keys[order], "similarity": sims[order, q]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "catalog_id": [], "similarity": []})
+    return np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
 
 
 def knn_bigram(
@@ -142,8 +165,11 @@ def _score_by_broadcast(entries, catalog, k, threshold) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, names, matrix, norms = shared.value
+        best = RunningBest(ids, k)
         for batch in batches:
-            yield best_of_block(ids, names, matrix, norms, batch, k, threshold)
+            for part in slices(batch):
+                best.update(bigram_cosines(names, matrix, norms, part["text"]), part["catalog_id"].to_numpy())
+        yield best.rows(threshold)
 
     return catalog.mapInPandas(score, TOP_SCHEMA)
 
@@ -159,11 +185,11 @@ def _score_by_blocks(features, catalog, k, threshold) -> DataFrame:
     def score(entries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(rows):
             return pd.DataFrame({"query_id": [], "catalog_id": [], "similarity": []})
-        parts = [
-            best_of_block(*query_matrix(entries), rows.iloc[i : i + 1024], k, threshold)
-            for i in range(0, len(rows), 1024)
-        ]
-        return pd.concat(parts)
+        ids, names, matrix, norms = query_matrix(entries)
+        best = RunningBest(ids, k)
+        for part in slices(rows):
+            best.update(bigram_cosines(names, matrix, norms, part["text"]), part["catalog_id"].to_numpy())
+        return best.rows(threshold)
 
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(score, TOP_SCHEMA)
 
@@ -188,8 +214,8 @@ def knn_metadata(requests: DataFrame, catalog: DataFrame, threshold: float = 0.1
 def knn_words(requests: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     """Top-k pool rows by shared words over query words; earlier rows win ties and fill up to k.
 
-    A word shared by very many rows is what makes an inverted index explode, so each task keeps,
-    per query, only its k best rows before the shuffle: scores are counts, hence known in the map.
+    A word shared by very many rows is what makes an inverted index explode, so each task counts in
+    place and keeps, per query, only its k best rows before the shuffle.
     """
     spark = pool.sparkSession
     asked = requests.select(
@@ -207,20 +233,16 @@ def knn_words(requests: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, index = shared.value
+            best = RunningBest(ids, k)
             for batch in batches:
-                hits = np.zeros((len(batch), len(ids)), dtype=np.int64)
-                for r, tokens in enumerate(batch["words"]):
-                    for token in tokens:
-                        at = index.get(token)
-                        if at is not None:
-                            hits[r, at] += 1
-                keys = batch["pos"].to_numpy()
-                out = []
-                for q, query_id in enumerate(ids):
-                    order = np.lexsort((keys, -hits[:, q]))[:k]
-                    out.append(pd.DataFrame({"query_id": query_id, "catalog_id": keys[order], "similarity": hits[order, q].astype(float)}))
-                if out:
-                    yield pd.concat(out)
+                for part in slices(batch):
+                    hits = np.zeros((len(part), len(ids)))
+                    for r, tokens in enumerate(part["words"]):
+                        asking = [index[t] for t in tokens if t in index]
+                        if asking:
+                            hits[r] = np.bincount(np.concatenate(asking), minlength=len(ids))
+                    best.update(hits, part["pos"].to_numpy())
+            yield best.rows()
 
         found = rows.mapInPandas(score, TOP_SCHEMA)
     else:
@@ -269,19 +291,17 @@ def knn_vectors(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
         norms = np.linalg.norm(matrix, axis=1)
+        best = RunningBest(ids, k)
         for batch in batches:
-            rows = np.array(batch["vector"].tolist(), dtype=np.float64)
-            if not np.isfinite(rows).all():
-                raise ValueError("catalog vectors contain NaN or infinite values")
-            scale = np.linalg.norm(rows, axis=1)[:, None] * norms[None, :]
-            dots = rows @ matrix.T
-            sims = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
-            keys = batch["catalog_id"].to_numpy()
-            out = []
-            for q, query_id in enumerate(ids):
-                order = np.lexsort((keys, -sims[:, q]))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "catalog_id": keys[order], "similarity": sims[order, q]}))
-            yield pd.concat(out)
+            for part in slices(batch):
+                rows = np.array(part["vector"].tolist(), dtype=np.float64)
+                if not np.isfinite(rows).all():
+                    raise ValueError("catalog vectors contain NaN or infinite values")
+                scale = np.linalg.norm(rows, axis=1)[:, None] * norms[None, :]
+                dots = rows @ matrix.T
+                sims = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
+                best.update(sims, part["catalog_id"].to_numpy())
+        yield best.rows()
 
     return top_k(catalog.select("catalog_id", "vector").mapInPandas(score, TOP_SCHEMA), k)
 
