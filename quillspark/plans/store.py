@@ -300,18 +300,13 @@ def _detection_sql() -> str:
 @query(
     "framework_detections",
     over_history("").rstrip()
-    + f""", {HUB_SQL}, {_detection_sql()} SELECT handle, string_agg(name, ',' ORDER BY confidence DESC, r) AS families, round(max(confidence), 6) AS best
-    FROM d WHERE confidence >= 0.3e0 OR tagged GROUP BY handle""",
+    + f""", {HUB_SQL}, {_detection_sql()} SELECT handle, (row_number() OVER (PARTITION BY handle ORDER BY confidence DESC, r) - 1)::INT AS rank, name,
+    round(confidence, 6) AS confidence FROM d WHERE confidence >= 0.3e0 OR tagged""",
 )
 def framework_detections(spark, folder):
-    found = X.with_detections(hub(spark, folder), "template", "tags", "d").filter(F.size("d") > 0)
-    return rounded(
-        found.select(
-            "handle", F.array_join(F.transform("d", lambda x: x["name"]), ",").alias("families"),
-            F.get("d", F.lit(0))["confidence"].alias("best"),
-        ),
-        "best",
-    )
+    # rows leave by the explode: a filter on the array would pull the whole detection into its predicate
+    found = X.with_detections(hub(spark, folder), "template", "tags", "d").select("handle", F.posexplode("d").alias("rank", "f"))
+    return rounded(found.select("handle", "rank", "f.name", "f.confidence"), "confidence")
 
 
 @query("metodized_prompts")
