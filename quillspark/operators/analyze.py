@@ -112,7 +112,8 @@ def period_trend(scored: DataFrame, as_of: Column, days: int = 7, digits: int =
     """Direction and slope over the last days; fewer than two events are not enough."""
     if not 1 <= days <= 90:
         raise ValueError("days must be in 1..90")
-    recent = scored.filter(F.col("created_at").between(as_of - F.make_dt_interval(F.lit(days)), as_of))
+    inside = F.col("created_at").between(as_of - F.make_dt_interval(F.lit(days)), as_of)
+    recent = materialise(scored.filter(inside).select("id", "created_at", *METRICS))
     size = recent.agg(F.count("*").alias("n"))
     enough = size.select("n").scalar() >= 2
     # every metric is present even for an empty period

@@ -10,6 +10,7 @@ from quillspark import fixed
 from quillspark.functions import checks as C
 from quillspark.functions.text import count_present, jaccard, rx, words
 from quillspark.operators.ordered import exact_quantiles
+from quillspark.session import materialise
 
 BLOCK_RUNS = 256
 
@@ -202,8 +203,13 @@ def pair_similarity(sets: DataFrame, case: str = "case_no", run: str = "run") ->
 
 def variability(runs: DataFrame, case: str = "case_no") -> DataFrame:
     """How much the outputs of repeated runs differ, per case."""
-    featured = keyword_features(runs)
-    tops = top_words(runs, [case, "run"], "output").groupBy(case, "run").agg(
+    # five aggregates read the features; the texts are gone through once
+    featured = materialise(
+        keyword_features(runs).select(
+            case, "run", "output", "confidence", "verb", "object", "tech", "has_sections", "long_words", "length"
+        )
+    )
+    tops = top_words(featured, [case, "run"], "output").groupBy(case, "run").agg(
         F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_t")
     )
     sets = (

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark import fixed
 from quillspark.functions.text import is_blank
 from quillspark.operators.ordered import with_position
+from quillspark.session import materialise
 
 
 def io_hash(idea: Column, prompt: Column) -> Column:
@@ -170,31 +171,37 @@ def skip_rate_guard(df: DataFrame, good: Column, stop: bool = False) -> DataFram
 def post_merge_checks(pool: DataFrame, framework: str = "rag", least: int = 108, declared_total: Column | None = None) -> DataFrame:
     """Named checks over a merged pool as rows, from one pass plus one count per hash and framework."""
     c = F.col
-    wanted = F.lower(c("framework")) == framework
-    first = F.min_by(F.struct("role", "directive", "guardrails", "improved_prompt", "source_file"), F.when(wanted, c("pos")))
-    facts = pool.agg(
-        F.count("*").alias("size"),
-        F.count_if(wanted).alias("hits"),
-        F.count_if(is_blank(c("source_file")) | is_blank(c("io_hash"))).alias("incomplete"),
-        first.alias("one"),
+    prompt = F.coalesce(c("improved_prompt"), F.lit(""))
+    source = F.lower(F.coalesce(c("source_file"), F.lit("")))
+    complete = [~is_blank(c(n)) for n in ("role", "directive", "guardrails", "improved_prompt")]
+    # three aggregates follow; they read flags and digests, not texts
+    slim = materialise(
+        pool.select(
+            "pos", "framework", (F.lower(c("framework")) == framework).alias("wanted"),
+            (is_blank(c("source_file")) | is_blank(c("io_hash"))).alias("incomplete"),
+            (complete[0] & complete[1] & complete[2] & complete[3]).alias("structure"),
+            (F.contains(source, F.lit("langchain")) | F.contains(source, F.lit("validated"))).alias("tracked"),
+            (F.contains(prompt, F.lit("{context}")) & F.contains(prompt, F.lit("{question}"))).alias("variables"),
+            io_hash(c("original_idea"), c("improved_prompt")).alias("digest"),
+        )
     )
-    hashes = pool.groupBy(io_hash(c("original_idea"), c("improved_prompt"))).agg(F.count("*").alias("n"))
+    facts = slim.agg(
+        F.count("*").alias("size"), F.count_if("wanted").alias("hits"), F.count_if("incomplete").alias("incomplete"),
+        F.min_by(F.struct("structure", "tracked", "variables"), F.when(c("wanted"), c("pos"))).alias("one"),
+    )
+    hashes = slim.groupBy("digest").agg(F.count("*").alias("n"))
     repeats = hashes.agg(F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("repeats")).scalar()
-    most = pool.groupBy("framework").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).scalar()
+    most = slim.groupBy("framework").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).scalar()
     facts = facts.withColumn("repeats", repeats).withColumn("most", most)
-    full = lambda name: ~is_blank(c("one")[name])
-    structure = full("role") & full("directive") & full("guardrails") & full("improved_prompt")
-    source = F.lower(F.coalesce(c("one")["source_file"], F.lit("")))
-    prompt = F.coalesce(c("one")["improved_prompt"], F.lit(""))
     declared = declared_total.isNotNull() if declared_total is not None else F.lit(True)
     checks = [
         ("pool_size", c("size") >= least, c("size")),
         ("framework_present", c("hits") > 0, c("hits")),
-        ("prompt_structure", F.coalesce(structure, F.lit(False)), c("hits")),
+        ("prompt_structure", c("one.structure"), c("hits")),
         ("no_duplicates", c("repeats") == 0, c("repeats")),
         ("metadata_complete", c("incomplete") == 0, c("incomplete")),
-        ("source_tracking", F.contains(source, F.lit("langchain")) | F.contains(source, F.lit("validated")), c("hits")),
-        ("variables_present", F.contains(prompt, F.lit("{context}")) & F.contains(prompt, F.lit("{question}")), c("hits")),
+        ("source_tracking", c("one.tracked"), c("hits")),
+        ("variables_present", c("one.variables"), c("hits")),
         (
             "framework_distribution",
             (c("hits") > 0) & (F.coalesce(F.try_divide(c("most"), c("size")), F.lit(0.0)) < 0.8), c("most"),

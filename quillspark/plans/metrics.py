@@ -10,6 +10,7 @@ from quillspark.operators import analyze as A, metrics as M
 from quillspark.plans.common import (
     ladder_sql, over_history, over_quality, over_scored, query, rounded,
 )
+from quillspark.session import materialise
 from quillspark.sources import views
 
 
@@ -268,7 +269,7 @@ def _advice_sql() -> str:
 
 @query("trend_recommendations", over_trend(_advice_sql()))
 def trend_recommendations(spark, folder):
-    events = scored(spark, folder)
+    events = materialise(scored(spark, folder).select("id", "created_at", *A.METRICS))
     means = A.unpivot_metrics(events).groupBy("metric").agg(F.avg("value").alias("mean"))
     return A.recommendations(means.join(A.endpoint_slopes(events), "metric")).select(
         F.array_join("recommendations", " | ").alias("recommendations")
