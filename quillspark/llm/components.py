@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.session import materialise
+from quillspark.llm.scratch import Scratch
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``; the component is its smallest node.
 
     A large star links a node's larger neighbours to the least of its neighbourhood, a small star its
     smaller ones; both keep the components and end as stars after a number of rounds that grows with
     the logarithm of a path's length. Each round is written to the shared folder. No edges give no rows.
     """
-    edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = scratch.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -23,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = tuple(state)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         large = _star(both, larger=True)
-        edges = materialise(_star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), larger=False))
+        edges = scratch.write(_star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), larger=False))
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

@@ -7,10 +7,11 @@ opens a group only when its overlap with that union can still reach the bound.
 2. Representatives that agree in a band of minimum digests are compared with the smallest of their
    bucket. Verified links make the groups, so a family of near copies is one group however large.
 3. Every set keeps the tokens of its prefix under one total order (tokens frequent inside a task come
-   last): two sets that reach the bound share a prefix token. (token, group) rows are the matrix. A
-   token held by one group only is finished; otherwise the groups holding it open each other.
-4. An opened group is first compared by its smallest member, which merges most of what belongs
-   together. What is left is compared member by member, sizes permitting.
+   last): two sets that reach the bound share a prefix token. (token, group) rows are the matrix, put
+   together inside a task before they are shuffled. A token held by one group only is finished;
+   otherwise the groups holding it open each other, sizes permitting.
+4. Opened groups are first compared by their smallest members, which merges most of what belongs
+   together. What is left is compared member by member where members share a prefix token.
 
 Steps 3 and 4 lose no link: any total order of tokens is exact, and a pair is left out only when its
 two documents are already connected. No step lists the pairs inside a group.
@@ -21,13 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillspark.llm.common import query, table
+from quillspark.llm.common import mix, query, table
 from quillspark.llm.components import components
-from quillspark.llm.shingles import segments, shingle_sets
-from quillspark.session import materialise
+from quillspark.llm.idfilter import build_filter, passes
+from quillspark.llm.scratch import Scratch
+from quillspark.llm.shingles import ragged, segments, shingle_sets
 
 BANDS, ROWS_PER_BAND = 6, 2
 LOCAL_FREQUENT = 4  # copies inside a task from which a token counts as frequent
@@ -47,83 +50,191 @@ def similarity_components(
 
     Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|``; a component is named by its
     smallest id. Null, empty and blank texts have size 0 and link with nothing; a text shorter than
-    ``width`` words is one shingle. Rows repeating an id keep one row per row given. A null id stays
-    null and is its own component. Only the two named columns are read.
+    ``width`` words is one shingle. Rows that repeat an id give a row each; their texts count as one
+    document's. A null id stays null and is its own component. Only the two named columns are read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = materialise(base.mapInArrow(_describer(width), "doc_id long, n long, lo long, hi long, bands array<long>"))
+    with Scratch(docs.sparkSession) as scratch:
+        return _components(base, percent, width, scratch)
+
+
+def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    facts = scratch.write(base.mapInArrow(_describer(percent, width, _frequent(base, width)), FACTS))
     live = facts.filter("n > 0 and doc_id is not null")
-    classes = materialise(
-        live.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    )
-    frequent = _frequent(base, width)
-    reps = base.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = scratch.write(live.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep")))
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     # groups: representatives against the smallest of their bucket
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).filter("many > 1")
-    pairs = (
-        buckets.join(hubs, ["band", "key"]).filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    buckets = live.select("doc_id", "bands").join(reps, "doc_id").select("doc_id", F.posexplode("bands").alias("band", "key"))
+    hubs = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_z")).filter("a < _z")
+    near = buckets.join(hubs, ["band", "key"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    links = _verified(near, base, percent, width, scratch)
+    groups = _grouped(reps, links, scratch)
+
+    # token-group matrix over prefixes; a row is a token of a group's union
+    members = live.select("doc_id", "n", "tokens").join(groups, "doc_id")
+    unions = (
+        members.select("group", "n", "tokens").mapInArrow(_unions, "token long, group long, least long, most long")
+        .repartition("token").groupBy("token", "group").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     )
-    links = materialise(_verified(pairs, base, percent, width))
-    groups = materialise(_grouped(classes, links))
-
-    # token-group matrix over prefixes
-    tokens = (
-        reps.mapInArrow(_prefixes(percent, width, frequent), "doc_id long, size long, token long, indexed boolean")
-        .join(groups.withColumnRenamed("rep", "doc_id"), "doc_id")
+    held = Window.partitionBy("token")
+    matrix = scratch.write(
+        unions.withColumn("_low", F.min("group").over(held)).withColumn("_high", F.max("group").over(held))
+        .filter("_low < _high").drop("_low", "_high")
+    )
+    left, right = (
+        matrix.select("token", F.col("group").alias(g), F.col("least").alias(f"{g}_least"), F.col("most").alias(f"{g}_most"))
+        for g in "ab"
+    )
+    # the overlap of two unions bounds that of any two members
+    opened = scratch.write(
+        left.join(right, "token")
+        .filter(f"a < b and 100 * b_most >= {percent} * a_least and 100 * a_most >= {percent} * b_least")
+        .groupBy("a", "b").agg(
+            F.count("*").alias("common"), F.min("a_least").alias("al"), F.max("a_most").alias("am"),
+            F.min("b_least").alias("bl"), F.max("b_most").alias("bm"),
+        )
+        .filter(f"al < am or bl < bm or common >= {_shared_prefix(percent, 'al', 'bl')}").select("a", "b")
     )
-    tokens = materialise(_shared(tokens))
-    for whole in (False, True):
-        tokens = tokens.select("doc_id", "size", "token", "indexed").join(groups.withColumnRenamed("rep", "doc_id"), "doc_id")
-        found = materialise(_verified(_open(tokens, percent, whole), base, percent, width))
-        links = materialise(links.unionByName(found))
-        groups = materialise(_grouped(classes, links))
-
-    named = classes.select("lo", "hi", "rep").join(groups, "rep").select("lo", "hi", F.col("group").alias("component_id"))
-    return facts.join(named, ["lo", "hi"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    scratch.drop(matrix)
+    # a group is named by its smallest member
+    found = _verified(opened, base, percent, width, scratch)
+    links = scratch.write(links.unionByName(found))
+    first, groups = groups, _grouped(reps, links, scratch)
+
+    # groups of several members that did not meet by their smallest ones
+    many = first.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1").select("group")
+    now = groups.select("doc_id", F.col("group").alias("now"))
+    apart = (
+        opened.join(now.select(F.col("doc_id").alias("a"), F.col("now").alias("na")), "a")
+        .join(now.select(F.col("doc_id").alias("b"), F.col("now").alias("nb")), "b")
+        .filter("na <> nb").select("a", "b")
+    )
+    left = many.select(F.col("group").alias("a"), F.lit(1).alias("ma"))
+    right = many.select(F.col("group").alias("b"), F.lit(1).alias("mb"))
+    apart = scratch.write(apart.join(left, "a", "left").join(right, "b", "left").filter("ma = 1 or mb = 1").select("a", "b"))
+    named = apart.select(F.col("a").alias("group")).union(apart.select("b")).distinct()
+    inside = scratch.write(
+        live.select("doc_id", "n", "tokens").join(first.join(named, "group"), "doc_id")
+        .select("group", "doc_id", "n", F.explode("tokens").alias("token"))
+    )
+    both = apart.union(apart.select("b", "a"))
+    one = inside.select(F.col("group").alias("a"), F.col("doc_id").alias("x"), F.col("n").alias("xn"), "token")
+    two = inside.select(F.col("group").alias("b"), F.col("doc_id").alias("y"), F.col("n").alias("yn"), "token")
+    rest = (
+        both.join(one, "a").join(two, ["b", "token"])
+        .filter(f"x < y and 100 * yn >= {percent} * xn and 100 * xn >= {percent} * yn")
+        .groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("common"))
+        .filter(f"common >= {_shared_prefix(percent, 'xn', 'yn')}").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    links = scratch.write(links.unionByName(_verified(rest, base, percent, width, scratch)))
+    groups = _grouped(reps, links, scratch)
+
+    sets = classes.join(groups.withColumnRenamed("doc_id", "rep"), "rep").select("lo", "hi", F.col("group").alias("component_id"))
+    return scratch.write(
+        facts.select("doc_id", "n", "lo", "hi").join(sets, ["lo", "hi"], "left").select(
+            "doc_id", F.col("n").alias("n_shingles"),
+            F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+            .alias("component_id"),
+        ),
+        keep=True,
     )
 
 
-def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return classes.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", F.coalesce("component", "rep").alias("group")
+def _grouped(reps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    found = components(links, scratch)
+    return scratch.write(
+        reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("doc_id", F.coalesce("component", "doc_id").alias("group"))
     )
 
 
-def _describer(width: int):
+FACTS = "doc_id long, n long, lo long, hi long, bands array<long>, tokens array<long>"
+
+
+def _shared_prefix(percent: int, one: str, two: str) -> str:
+    """Least number of tokens two linked sets share inside both prefixes.
+
+    Common tokens outside are all beyond the prefix that ends first, where at most
+    ``ceil(percent * size / 100) - 1`` tokens of its set lie.
+    """
+    overlap = f"ceil({percent} * ({one} + {two}) / {100 + percent}.0)"
+    return f"greatest(1, {overlap} - ceil({percent} * greatest({one}, {two}) / 100.0) + 1)"
+
+
+def _describer(percent: int, width: int, frequent: np.ndarray):
+    """Size, fingerprint, bands and prefix of every set."""
+    rank = np.argsort(frequent)
+    known = frequent[rank]
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for start, digest, offsets in shingle_sets(batch.column(1), width):
-                rows = len(offsets) - 1
+                sizes = np.diff(offsets)
                 lows = segments(digest * np.uint64(0x9FB21C651E98DF25), offsets, np.add, 0)
                 highs = segments((digest ^ (digest >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), offsets, np.bitwise_xor, 0)
-                bands = np.zeros((rows, BANDS), dtype=np.uint64)
-                for band in range(BANDS):
-                    for k in range(ROWS_PER_BAND):
-                        seed = SEEDS[band * ROWS_PER_BAND + k]
-                        scrambled = (digest ^ seed) * seed
-                        scrambled ^= scrambled >> np.uint64(32)
-                        least = segments(scrambled * seed, offsets, np.minimum, 0)
-                        bands[:, band] = (bands[:, band] * np.uint64(31) ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                bands = _bands(digest, offsets)
+                probe = np.where(sizes > 0, sizes - needed(percent, sizes) + 1, 0)
+                tokens = _prefix(digest, offsets, probe, known, rank)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(start, rows), pa.array(np.diff(offsets)), pa.array(lows.view(np.int64)),
-                        pa.array(highs.view(np.int64)),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64))
-                        ),
+                        batch.column(0).slice(start, len(sizes)), pa.array(sizes), pa.array(lows.view(np.int64)),
+                        pa.array(highs.view(np.int64)), _lists(bands.reshape(-1), np.full(len(sizes), BANDS)),
+                        _lists(tokens, probe),
                     ],
-                    names=["doc_id", "n", "lo", "hi", "bands"],
+                    names=[f.split()[0] for f in FACTS.split(", ")],
                 )
 
     return describe
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _bands(digest: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    bands = np.zeros((len(offsets) - 1, BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        for k in range(ROWS_PER_BAND):
+            seed = SEEDS[band * ROWS_PER_BAND + k]
+            scrambled = (digest ^ seed) * seed
+            scrambled ^= scrambled >> np.uint64(32)
+            least = segments(scrambled * seed, offsets, np.minimum, 0)
+            bands[:, band] = (bands[:, band] * np.uint64(31) ^ least) * np.uint64(0x9E3779B97F4A7C15)
+    return bands
+
+
+def _prefix(digest: np.ndarray, offsets: np.ndarray, probe: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first ``probe`` tokens of each set: by digest, but frequent ones last and by frequency."""
+    sizes = np.diff(offsets)
+    if len(known) and len(digest):
+        at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+        place = np.where(known[at] == digest, rank[at], -1)
+        full = np.flatnonzero(sizes > 0)
+        for row in full[np.add.reduceat(place >= 0, offsets[:-1][full]) > 0].tolist():
+            a, b = offsets[row], offsets[row + 1]
+            digest[a:b] = digest[a:b][np.argsort(place[a:b], kind="stable")]
+    return digest[np.repeat(offsets[:-1], probe) + ragged(probe)]
+
+
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, group) rows; members of a group that meet in a batch give one row for a token."""
+    for batch in batches:
+        group, size, tokens = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+        counts = np.asarray(tokens.value_lengths()).astype(np.int64)
+        token = np.asarray(tokens.flatten())
+        owner = np.repeat(np.arange(len(counts)), counts)
+        columns = [token, group[owner], size[owner], size[owner]]
+        names, inverse, repeats = np.unique(group, return_inverse=True, return_counts=True)
+        shared = (repeats[inverse] > 1)[owner]
+        if shared.any():
+            frame = pd.DataFrame({n: c[shared] for n, c in zip("tglm", columns)})
+            merged = frame.groupby(["t", "g"], sort=False).agg({"l": "min", "m": "max"}).reset_index()
+            columns = [np.concatenate([c[~shared], merged[n].to_numpy()]) for n, c in zip("tglm", columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "group", "least", "most"])
+
+
 def _frequent(base: DataFrame, width: int) -> np.ndarray:
     """Tokens that repeat inside tasks, most frequent last; fixes the order, never the result."""
 
@@ -142,81 +253,15 @@ def _frequent(base: DataFrame, width: int) -> np.ndarray:
     return rows["token"].to_numpy()[order].view(np.uint64)
 
 
-def _prefixes(percent: int, width: int, frequent: np.ndarray):
-    rank = np.argsort(frequent)
-    known = frequent[rank]
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for start, digest, offsets in shingle_sets(batch.column(1), width):
-                sizes = np.diff(offsets)
-                probe = sizes - needed(percent, sizes) + 1
-                index = sizes - -(-2 * percent * sizes // (100 + percent)) + 1
-                place = np.full(len(digest), -1, dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
-                    place = np.where(known[at] == digest, rank[at], -1)
-                hot = np.add.reduceat(place >= 0, offsets[:-1][sizes > 0]) if (sizes > 0).any() else np.zeros(0, int)
-                for row in np.flatnonzero(sizes > 0)[hot > 0].tolist():
-                    a, b = offsets[row], offsets[row + 1]
-                    order = np.argsort(place[a:b], kind="stable")
-                    digest[a:b] = digest[a:b][order]
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                within = np.arange(len(digest)) - np.repeat(offsets[:-1], sizes)
-                keep = within < probe[owner]
-                owner, within, digest = owner[keep], within[keep], digest[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[start:][owner]), pa.array(sizes[owner]), pa.array(digest.view(np.int64)),
-                        pa.array(within < index[owner]),
-                    ],
-                    names=["doc_id", "size", "token", "indexed"],
-                )
-
-    return emit
-
-
-def _shared(tokens: DataFrame) -> DataFrame:
-    """Rows of tokens that more than one group holds."""
-    bare = tokens.select("doc_id", "size", "token", "indexed", "group")
-    held = (
-        bare.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high"))
-        .filter("_low < _high").select("token")
-    )
-    return bare.join(held, "token", "left_semi")
-
-
-def _open(tokens: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs of a query and a member of an opened group; without ``whole`` the member is its smallest."""
-    shared = _shared(tokens)
-    matrix = (
-        shared.filter("indexed").groupBy("token", "group")
-        .agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("doc_id").alias("head"))
-    )
-    opened = (
-        shared.select("token", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"))
-        .join(matrix, "token")
-        .filter(f"group <> a_group and least <= a_size and 100 * most >= {percent} * a_size")
-    )
-    if not whole:
-        return opened.select("a", F.col("head").alias("b")).distinct()
-    queries = opened.select("token", "a", "a_size", "group").distinct()
-    members = shared.filter("indexed").select("token", "group", F.col("doc_id").alias("b"), "size")
-    return (
-        queries.join(members, ["token", "group"])
-        .filter(f"size <= a_size and 100 * size >= {percent} * a_size")
-        .select("a", "b").distinct()
-    )
-
-
-def _verified(pairs: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose whole sets reach the bound."""
-    spark = base.sparkSession
-    pairs = materialise(pairs)
+def _verified(pairs: DataFrame, base: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose whole sets reach the bound. Texts without a pair are passed over where they are read."""
+    pairs = scratch.write(pairs)
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = base.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(texts.mapInArrow(_packer(width), "doc_id long, tokens binary"))
+    wanted = base.sparkSession.sparkContext.broadcast(build_filter(nodes))
+    sets = scratch.write(
+        base.mapInArrow(_packer(width, wanted), "doc_id long, tokens binary").join(nodes, "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"])
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,12 +282,19 @@ def _verified(pairs: DataFrame, base: DataFrame, percent: int, width: int) -> Da
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    found = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    scratch.drop(sets)
+    wanted.unpersist()
+    return found
 
 
-def _packer(width: int):
+def _packer(width: int, wanted):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
+            keep = batch.column(0).is_valid()
+            hit = passes(bits, np.asarray(batch.column(0).fill_null(0)))
+            batch = batch.filter(pa.array(hit & np.asarray(keep)))
             for start, digest, offsets in shingle_sets(batch.column(1), width):
                 blobs = [digest[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays(

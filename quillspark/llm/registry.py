@@ -1,6 +1,8 @@
 """Importing the operator modules fills the registry."""
 
 from quillspark.llm.common import ORACLES, QUERIES
-from quillspark.llm import jaccard  # noqa: F401
+from quillspark.llm import (  # noqa: F401
+    decontaminate, jaccard, langmix, maxscore, mixing, packing, pii, substrings, toxicity, warc,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
