@@ -1,28 +1,31 @@
 """Similar-example retrieval: character bigrams, shared words, dense vectors.
 
-Exact top-k needs every query against every catalog row. No pair ever reaches a shuffle: each task
-scores its catalog rows against a block of queries with matrix products and passes on at most k rows
-per query, so what is shuffled grows with queries and tasks, not with pairs.
+Exact top-k needs every query against every catalog row. Queries go out in blocks of bounded size, each
+against one scan of the catalog; one block is the ordinary case. Tasks score their rows with matrix
+products and pass on at most k rows per query, so what is shuffled grows with queries and tasks, not
+with pairs, and no catalog text is shuffled at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark import fixed
-from quillspark.functions.text import bigrams, strip, words
+from quillspark.functions.text import strip, words
 
-# Queries are broadcast up to this many (query, feature) entries; beyond it they go in blocks.
-BROADCAST_ENTRIES = 500_000
-BLOCK_QUERIES = 512
-BLOCK_ROWS = 8192
-SLICE_ROWS = 1024
+BLOCK_QUERIES = 4096  # queries sent to the tasks at once
+BLOCK_CELLS = 4_000_000  # (feature, query) cells of a block: the product is dense
+SLICE_CELLS = 2_000_000  # (row, feature) or (row, query) cells a task works on at a time
 TOP_SCHEMA = "query_id long, catalog_id long, similarity double"
 
+# (row, feature, count) of a list of texts; features are unsigned 64-bit numbers.
+Featuriser = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
 
 def query_text(goal: Column, size: Column, user_input: Column) -> Column:
     """``intent complexity input``; a blank input adds nothing."""
@@ -37,39 +40,24 @@ def check_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("intent", F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("intent")))
 
 
-def bigram_features(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, feature, weight): how often each bigram occurs.
-
-    All bigrams of a row sit in one task, so the counts are complete before anything is shuffled.
-    """
-    return (
-        df.select(F.col(key), F.explode(bigrams(text)).alias("feature"))
-        .groupBy(key, "feature")
-        .agg(F.count("*").alias("weight"))
-    )
-
-
-def known_features(features: DataFrame, catalog_features: DataFrame) -> DataFrame:
-    """Query features that occur anywhere in the catalog; the rest count nowhere, not even in the norm."""
-    return features.join(catalog_features.select("feature").distinct(), "feature", "left_semi")
-
-
-def query_matrix(features: pd.DataFrame) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
-    ids = np.sort(features["query_id"].unique())
-    names = {f: i for i, f in enumerate(sorted(features["feature"].unique()))}
-    matrix = np.zeros((len(names), len(ids)))
-    matrix[features["feature"].map(names).to_numpy(), np.searchsorted(ids, features["query_id"].to_numpy())] = features["weight"]
-    return ids, names, matrix, (matrix**2).sum(axis=0)
-
-
-def count_bigrams(text: str) -> dict[str, int]:
-    """Bigram counts of a lower-cased text."""
-    low = text.lower()
-    codes = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+def bigram_counts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each character pair of the lower-cased texts occurs."""
+    low = [(text or "").lower() for text in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(text) for text in low]) if low else np.zeros(0, np.int64)
     if len(codes) < 2:
-        return {}
-    pairs, counts = np.unique(codes[:-1] << np.uint64(32) | codes[1:], return_counts=True)
-    return {chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF): int(n) for p, n in zip(pairs, counts)}
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
+    pairs = codes[:-1] << np.uint64(21) | codes[1:]  # code points have 21 bits
+    row = np.searchsorted(ends, np.arange(len(pairs)), side="right")
+    inside = np.arange(1, len(codes)) < ends[np.minimum(row, len(ends) - 1)]
+    row, pairs = row[inside], pairs[inside]
+    order = np.argsort(pairs, kind="stable")
+    order = order[np.argsort(row[order], kind="stable")]
+    row, pairs = row[order], pairs[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (pairs[1:] != pairs[:-1])
+    at = np.flatnonzero(first)
+    return row[at], pairs[at], np.diff(np.append(at, len(row))).astype(float)
 
 
 class RunningBest:
@@ -96,34 +84,85 @@ class RunningBest:
         return pd.DataFrame({"query_id": self.ids[q], "catalog_id": self.keys[q, r], "similarity": self.sims[q, r]})
 
 
-def slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(batch), SLICE_ROWS):
-        yield batch.iloc[start : start + SLICE_ROWS]
+class Block:
+    """Ids of some queries and their weights over the features they have, as one dense matrix."""
+
+    def __init__(self, ids: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.ids = np.array(ids, dtype=np.int64)
+        self.features = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.uint64)
+        self.matrix = np.zeros((len(self.features), len(ids)))
+        for column, (feature, count) in enumerate(parts):
+            self.matrix[np.searchsorted(self.features, feature), column] = count
+
+    def keep(self, features: np.ndarray) -> None:
+        """Only these features count, in products and in norms."""
+        self.matrix[~np.isin(self.features, features)] = 0.0
+
+
+def request_blocks(requests: DataFrame, featurise: Featuriser) -> Iterator[Block]:
+    """The requests (``query_id``, ``text``) in blocks that hold BLOCK_QUERIES queries and BLOCK_CELLS cells at most."""
+    ids: list[int] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: set[int] = set()
+    for r in requests.select("query_id", "text").toLocalIterator():
+        _, feature, count = featurise([r["text"]])
+        grown = seen.union(feature.tolist())
+        if ids and (len(ids) >= BLOCK_QUERIES or len(grown) * (len(ids) + 1) > BLOCK_CELLS):
+            yield Block(ids, parts)
+            ids, parts, grown = [], [], set(feature.tolist())
+        ids.append(r["query_id"])
+        parts.append((feature, count))
+        seen = grown
+    if ids:
+        yield Block(ids, parts)
+
+
+def slices(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    rows = max(16, SLICE_CELLS // max(width, 1))
+    for start in range(0, len(batch), rows):
+        yield batch.iloc[start : start + rows]
+
+
+def cosines(block: Block, texts: Sequence[str], featurise: Featuriser) -> np.ndarray:
+    """Cosine of every text with every query; the text's norm counts all its features."""
+    row, feature, count = featurise(texts)
+    squares = np.bincount(row, weights=count * count, minlength=len(texts))
+    at = np.minimum(np.searchsorted(block.features, feature), max(len(block.features) - 1, 0))
+    hit = block.features[at] == feature if len(block.features) else np.zeros(len(feature), bool)
+    rows = np.zeros((len(texts), len(block.features)))
+    rows[row[hit], at[hit]] = count[hit]
+    dots = rows @ block.matrix  # sums of whole numbers, hence exact
+    scale = np.sqrt(squares)[:, None] * np.sqrt((block.matrix**2).sum(axis=0))[None, :]
+    return np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
 
 
-def bigram_cosines(names: dict[str, int], matrix: np.ndarray, norms: np.ndarray, texts: pd.Series) -> np.ndarray:
-    """Cosine of every text with every query; the text's norm counts all its bigrams."""
-    rows = np.zeros((len(texts), len(names)))
-    squares = np.zeros(len(texts))
-    for r, text in enumerate(texts):
-        for feature, n in count_bigrams(text or "").items():
-            squares[r] += n * n
-            column = names.get(feature)
-            if column is not None:
-                rows[r, column] = n
-    dots = rows @ matrix  # sums of whole numbers, hence exact
-    scale = np.sqrt(squares)[:, None] * np.sqrt(norms)[None, :]
-    return np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
+def known_features(block: Block, texts: DataFrame, featurise: Featuriser) -> np.ndarray:
+    """The block's features that occur anywhere in ``texts``: at most as many rows per task as the block has."""
+    shared = texts.sparkSession.sparkContext.broadcast(block.features)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(len(shared.value), dtype=bool)
+        for batch in batches:
+            for part in slices(batch, 4096):
+                if seen.all():
+                    break
+                seen |= np.isin(shared.value, featurise(part["text"].tolist())[1])
+        yield pd.DataFrame({"at": np.flatnonzero(seen)})
+
+    rows = texts.select("text").mapInPandas(find, "at long").distinct().collect()
+    return block.features[[r["at"] for r in rows]]
 
 
 def knn_bigram(
     requests: DataFrame, catalog: DataFrame, k: int = 3, threshold: float = 0.1,
-    vocabulary: DataFrame | None = None, broadcast_entries: int = BROADCAST_ENTRIES,
+    vocabulary: DataFrame | None = None, featurise: Featuriser = bigram_counts,
 ) -> DataFrame:
     """Top-k catalog rows (``catalog_id``, ``text``) per request (``query_id``, ``text``) by cosine of bigram counts.
 
     A catalog of at most k rows is returned whole with similarity 1. ``vocabulary`` is the table
     whose bigrams count; it defaults to the catalog and matters when the catalog is a selection.
+    A request without a known bigram is at similarity 0 with every row. ``featurise`` puts other
+    counted features in the place of bigrams.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -139,59 +178,27 @@ def knn_bigram(
         ).select("query_id", F.explode("_ids").alias("catalog_id"), F.lit(1.0).alias("similarity")).withColumn(
             "rank", F.row_number().over(Window.partitionBy("query_id").orderBy("catalog_id"))
         )
-    base = catalog if vocabulary is None else vocabulary.select(F.col("text"))
-    wanted = bigram_features(requests, "query_id", F.col("text"))
-    seen = base.select(F.explode(F.array_distinct(bigrams(F.col("text")))).alias("feature"))
-    features = known_features(wanted, seen)
-    entries = features.limit(broadcast_entries + 1).toPandas()
-    if len(entries) <= broadcast_entries:
-        best = _score_by_broadcast(entries, catalog, k, threshold)
-    else:
-        best = _score_by_blocks(features, catalog, k, threshold)
-    if threshold <= 0:
-        # requests without a known bigram are at similarity 0 with every row: the first rows win
-        lost = requests.select("query_id").join(features.select("query_id").distinct(), "query_id", "left_anti")
-        first = catalog.select("catalog_id").orderBy("catalog_id").limit(k).agg(F.collect_list("catalog_id").alias("_ids"))
-        best = best.unionByName(
-            lost.select("query_id", F.explode(first.scalar()).alias("catalog_id"), F.lit(0.0).alias("similarity"))
-        )
-    return top_k(best, k)
-
+    base = catalog if vocabulary is None else vocabulary
 
-def _score_by_broadcast(entries, catalog, k, threshold) -> DataFrame:
-    spark = catalog.sparkSession
-    # queries without a known bigram have norm 0: similarity 0 with every row
-    shared = spark.sparkContext.broadcast(query_matrix(entries))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, names, matrix, norms = shared.value
-        best = RunningBest(ids, k)
-        for batch in batches:
-            for part in slices(batch):
-                best.update(bigram_cosines(names, matrix, norms, part["text"]), part["catalog_id"].to_numpy())
-        yield best.rows(threshold)
+    def score(block: Block) -> DataFrame:
+        block.keep(known_features(block, base, featurise))
+        shared = catalog.sparkSession.sparkContext.broadcast(block)
 
-    return catalog.mapInPandas(score, TOP_SCHEMA)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = RunningBest(shared.value.ids, k)
+            for batch in batches:
+                for part in slices(batch, len(shared.value.features) + len(best.ids)):
+                    best.update(cosines(shared.value, part["text"].tolist(), featurise), part["catalog_id"].to_numpy())
+            yield best.rows(threshold)
 
+        return catalog.mapInPandas(run, TOP_SCHEMA)
 
-def _score_by_blocks(features, catalog, k, threshold) -> DataFrame:
-    """Blocks of queries meet blocks of catalog rows; a block pair is one bounded task."""
-    n_q = features.select("query_id").distinct().count() // BLOCK_QUERIES + 1
-    n_c = catalog.count() // BLOCK_ROWS + 1
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = features.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_c", copies(n_c))
-    right = catalog.withColumn("_c", F.pmod(F.xxhash64("catalog_id"), F.lit(n_c)).cast("int")).withColumn("_q", copies(n_q))
+    return top_k(united([score(block) for block in request_blocks(requests, featurise)], catalog), k)
 
-    def score(entries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(entries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "catalog_id": [], "similarity": []})
-        ids, names, matrix, norms = query_matrix(entries)
-        best = RunningBest(ids, k)
-        for part in slices(rows):
-            best.update(bigram_cosines(names, matrix, norms, part["text"]), part["catalog_id"].to_numpy())
-        return best.rows(threshold)
 
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(score, TOP_SCHEMA)
+def united(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    """All parts as one table, empty without parts."""
+    return reduce(DataFrame.unionByName, parts) if parts else like.sparkSession.createDataFrame([], TOP_SCHEMA)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -200,9 +207,12 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn_metadata(requests: DataFrame, catalog: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Per request: best similarity, the threshold, candidates and whether any met the threshold."""
-    best = knn_bigram(requests, catalog, k=1, threshold=-1.0).select("query_id", "similarity")
+def knn_metadata(requests: DataFrame, catalog: DataFrame, threshold: float = 0.1, k: int = 3) -> DataFrame:
+    """Per request: best similarity, the threshold, candidates and whether any met the threshold.
+
+    ``k`` is the number of examples asked for: a catalog of no more rows counts as similarity 1.
+    """
+    best = knn_bigram(requests, catalog, k=k, threshold=-1.0).filter("rank = 1").select("query_id", "similarity")
     total = catalog.agg(F.count("*").alias("n")).scalar()
     top = F.coalesce("similarity", F.lit(0.0))
     return requests.select("query_id").join(best, "query_id", "left").select(
@@ -211,55 +221,55 @@ def knn_metadata(requests: DataFrame, catalog: DataFrame, threshold: float = 0.1
     )
 
 
+def expected_output_examples(catalog: DataFrame, labels: DataFrame) -> DataFrame:
+    """The catalog rows that carry an expected output: those ``labels`` (``catalog_id``) names."""
+    return catalog.join(labels.select("catalog_id").distinct(), "catalog_id", "left_semi")
+
+
 def knn_words(requests: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     """Top-k pool rows by shared words over query words; earlier rows win ties and fill up to k.
 
-    A word shared by very many rows is what makes an inverted index explode, so each task counts in
-    place and keeps, per query, only its k best rows before the shuffle.
+    A request without words is at similarity 0 with every row. Each task counts in place and keeps,
+    per query, only its k best rows before the shuffle.
     """
-    spark = pool.sparkSession
-    asked = requests.select(
-        "query_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word")
-    )
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
-    entries = asked.limit(BROADCAST_ENTRIES + 1).toPandas()
-    rows = pool.select(F.col("pos"), F.array_distinct(words(F.lower("text"))).alias("words"))
-    if len(entries) <= BROADCAST_ENTRIES:
-        index: dict[str, list[int]] = {}
-        ids = np.sort(entries["query_id"].unique())
-        for q, w in zip(np.searchsorted(ids, entries["query_id"].to_numpy()), entries["word"]):
-            index.setdefault(w, []).append(int(q))
-        shared = spark.sparkContext.broadcast((ids, {w: np.array(q) for w, q in index.items()}))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, index = shared.value
+    asked = requests.select("query_id", F.array_distinct(words(F.lower(F.coalesce("text", F.lit(""))))).alias("words"))
+    rows = pool.select("pos", F.array_distinct(words(F.lower(F.coalesce("text", F.lit(""))))).alias("words"))
+
+    def score(ids: list[int], terms: list[list[str]]) -> DataFrame:
+        names = pd.Index(sorted({t for some in terms for t in some}))
+        matrix = np.zeros((len(names), len(ids)), dtype=np.float32)
+        for column, some in enumerate(terms):
+            matrix[names.get_indexer(some), column] = 1.0
+        shared = pool.sparkSession.sparkContext.broadcast((np.array(ids, dtype=np.int64), names, matrix))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, names, matrix = shared.value
+            asked_for = np.maximum(matrix.sum(axis=0, dtype=np.float64), 1.0)
             best = RunningBest(ids, k)
             for batch in batches:
-                for part in slices(batch):
-                    hits = np.zeros((len(part), len(ids)))
-                    for r, tokens in enumerate(part["words"]):
-                        asking = [index[t] for t in tokens if t in index]
-                        if asking:
-                            hits[r] = np.bincount(np.concatenate(asking), minlength=len(ids))
-                    best.update(hits, part["pos"].to_numpy())
+                for part in slices(batch, len(ids) + len(names)):
+                    sizes = part["words"].map(len).to_numpy()
+                    at = names.get_indexer(np.concatenate(part["words"].tolist())) if sizes.sum() else np.zeros(0, np.int64)
+                    owner = np.repeat(np.arange(len(part)), sizes)[at >= 0]
+                    held = np.zeros((len(part), len(names)), dtype=np.float32)
+                    held[owner, at[at >= 0]] = 1.0
+                    best.update((held @ matrix).astype(np.float64) / asked_for, part["pos"].to_numpy())
             yield best.rows()
 
-        found = rows.mapInPandas(score, TOP_SCHEMA)
-    else:
-        # too many query words to hold: join on words, hot words spread by salt, then count
-        salts = 32
-        left = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        right = rows.select("pos", F.explode("words").alias("word")).withColumn("_s", F.pmod(F.xxhash64("pos"), F.lit(salts)).cast("int"))
-        counted = left.join(right, ["word", "_s"]).groupBy("query_id", F.col("pos").alias("catalog_id")).agg(
-            F.count("*").cast("double").alias("similarity")
-        )
-        first = rows.select(F.col("pos").alias("catalog_id")).orderBy("catalog_id").limit(k).groupBy().agg(
-            F.collect_list("catalog_id").alias("_ids")
-        )
-        filler = sizes.select("query_id", F.explode(first.scalar()).alias("catalog_id"), F.lit(0.0).alias("similarity"))
-        found = counted.unionByName(filler).groupBy("query_id", "catalog_id").agg(F.max("similarity").alias("similarity"))
-    best = top_k(found, k)
-    return best.join(sizes, "query_id").withColumn("similarity", F.col("similarity") / F.col("asked")).drop("asked")
+        return rows.mapInPandas(run, TOP_SCHEMA)
+
+    parts, ids, terms, seen = [], [], [], set()
+    for r in asked.toLocalIterator():
+        grown = seen.union(r["words"])
+        if ids and (len(ids) >= BLOCK_QUERIES or len(grown) * (len(ids) + 1) > BLOCK_CELLS):
+            parts.append(score(ids, terms))
+            ids, terms, grown = [], [], set(r["words"])
+        ids.append(r["query_id"])
+        terms.append(r["words"])
+        seen = grown
+    if ids:
+        parts.append(score(ids, terms))
+    return top_k(united(parts, pool), k)
 
 
 def cosine_vectors(a: Column, b: Column) -> Column:
@@ -272,38 +282,44 @@ def cosine_vectors(a: Column, b: Column) -> Column:
 
 
 def knn_vectors(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
-    """Top-k catalog vectors per query vector by cosine; (``query_id``|``catalog_id``, ``vector``)."""
-    limit = 20_000
-    blocks = queries.count() // limit + 1
-    if blocks > 1:
-        # as many scans of the catalog as blocks of queries, each block small enough to hold
-        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-        parts = [knn_vectors(queries.filter(block == b), catalog, k) for b in range(2 * blocks)]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole
-    held = queries.select("query_id", "vector").toPandas()
-    ids = held["query_id"].to_numpy()
-    matrix = np.array(held["vector"].tolist(), dtype=np.float64).reshape(len(held), -1)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        norms = np.linalg.norm(matrix, axis=1)
-        best = RunningBest(ids, k)
-        for batch in batches:
-            for part in slices(batch):
-                rows = np.array(part["vector"].tolist(), dtype=np.float64)
-                if not np.isfinite(rows).all():
-                    raise ValueError("catalog vectors contain NaN or infinite values")
-                scale = np.linalg.norm(rows, axis=1)[:, None] * norms[None, :]
-                dots = rows @ matrix.T
-                sims = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
-                best.update(sims, part["catalog_id"].to_numpy())
-        yield best.rows()
-
-    return top_k(catalog.select("catalog_id", "vector").mapInPandas(score, TOP_SCHEMA), k)
+    """Top-k catalog vectors per query vector by cosine; (``query_id``|``catalog_id``, ``vector``).
+
+    Vectors that are not finite stop the job, on either side; a vector of zeros is at similarity 0 with all.
+    """
+
+    def score(ids: list[int], vectors: list[list[float]]) -> DataFrame:
+        matrix = np.array(vectors, dtype=np.float64).reshape(len(ids), -1)
+        if not np.isfinite(matrix).all():
+            raise ValueError("query vectors contain NaN or infinite values")
+        shared = queries.sparkSession.sparkContext.broadcast((np.array(ids, dtype=np.int64), matrix))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
+            norms = np.linalg.norm(matrix, axis=1)
+            best = RunningBest(ids, k)
+            for batch in batches:
+                for part in slices(batch, len(ids) + matrix.shape[1]):
+                    rows = np.array(part["vector"].tolist(), dtype=np.float64)
+                    if not np.isfinite(rows).all():
+                        raise ValueError("catalog vectors contain NaN or infinite values")
+                    scale = np.linalg.norm(rows, axis=1)[:, None] * norms[None, :]
+                    dots = rows @ matrix.T
+                    sims = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 1e-10)
+                    best.update(sims, part["catalog_id"].to_numpy())
+            yield best.rows()
+
+        return catalog.select("catalog_id", "vector").mapInPandas(run, TOP_SCHEMA)
+
+    parts, ids, vectors = [], [], []
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        ids.append(r["query_id"])
+        vectors.append(r["vector"])
+        if len(ids) >= BLOCK_QUERIES or len(ids) * len(r["vector"]) >= BLOCK_CELLS:
+            parts.append(score(ids, vectors))
+            ids, vectors = [], []
+    if ids:
+        parts.append(score(ids, vectors))
+    return top_k(united(parts, catalog), k)
 
 
 def fewshot_prompts(requests: DataFrame, found: DataFrame, examples: DataFrame) -> DataFrame:

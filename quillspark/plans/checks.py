@@ -141,7 +141,7 @@ def import_validation(spark, folder):
     doc = F.col("doc_id")
     examples = views.documents(spark, folder).select(
         "doc_id",
-        F.struct(F.substring("text", 1, 200).alias("original_idea")).alias("inputs"),
+        F.struct(F.col("text").alias("original_idea")).alias("inputs"),
         F.struct(F.col("text").alias("improved_prompt")).alias("outputs"),
         F.when(doc % 13 != 0, F.struct(F.when(doc % 2 == 0, "langchain-hub").otherwise("other").alias("source"))).alias("metadata"),
     )

@@ -192,10 +192,11 @@ v_quality AS (
 
 SCORED_SQL = f"""
 v_priced AS (
-  SELECT h.*, i.copy_count, i.regeneration_count, i.reuse_count, i.feedback_score,
+  SELECT h.*, coalesce(i.copy_count, 0) AS copy_count, coalesce(i.regeneration_count, 0) AS regeneration_count,
+    coalesce(i.reuse_count, 0) AS reuse_count, i.feedback_score,
     length(original_idea) // 4 AS t_in, length(improved_prompt) // 4 AS t_out,
     coalesce(p.rate_in, d.rate_in, 0e0) AS rate_in, coalesce(p.rate_out, d.rate_out, 0e0) AS rate_out
-  FROM v_quality h JOIN v_impact i USING (conv_id)
+  FROM v_quality h LEFT JOIN v_impact i USING (conv_id)
   LEFT JOIN prices p ON lower(h.provider) = p.pp AND h.model = p.pm
   LEFT JOIN prices d ON lower(h.provider) = d.pp AND d.pm = 'default'),
 v_performance AS (

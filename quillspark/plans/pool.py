@@ -11,7 +11,7 @@ from quillspark.operators import normalize as N, pool as P, validate as V
 from quillspark.plans.common import count_terms, first_sql, has, pick_sql, q, query, rounded
 from quillspark.sources import views
 
-POOL_SQL = f"""v_pool AS (SELECT doc_id AS pos, substring(text, 1, 200) AS original_idea, '' AS context, text AS improved_prompt,
+POOL_SQL = f"""v_pool AS (SELECT doc_id AS pos, text AS original_idea, '' AS context, text AS improved_prompt,
   {pick_sql("(doc_id % 4)", views.FRAMEWORKS)} AS framework, source AS source_file FROM documents)"""
 MERGED_SQL = f"""{POOL_SQL}, v_all AS (
   SELECT 0 AS source_rank, * FROM v_pool WHERE pos % 2 = 0 UNION ALL SELECT 1, * FROM v_pool),
@@ -246,13 +246,13 @@ def score_lookup(spark, folder):
 
 @query(
     "normalize_example",
-    """SELECT doc_id AS pos, substring(text, 1, 200) AS original_idea, length(text) AS prompt_length,
+    """SELECT doc_id AS pos, text AS original_idea, length(text) AS prompt_length,
     CASE WHEN doc_id % 10 = 0 THEN 'unknown' ELSE 'decomposition' END AS framework FROM documents""",
 )
 def normalize_example(spark, folder):
     docs = views.documents(spark, folder)
     flat = F.col("doc_id") % 10 == 0
-    idea = F.substring("text", 1, 200)
+    idea = F.col("text")
     mixed = docs.select(
         F.col("doc_id").alias("pos"),
         F.when(flat, idea).alias("input"), F.when(flat, F.col("text")).alias("output"),
@@ -285,12 +285,12 @@ def prompt_to_unified(spark, folder):
 
 @query(
     "cache_keys",
-    """SELECT doc_id, sha256(substring(text, 1, 200) || '||legacy') AS cache_key,
+    """SELECT doc_id, sha256(text || '||legacy') AS cache_key,
     substring(k, 1, 8) || '-' || substring(k, 9, 4) || '-' || substring(k, 13, 4) || '-' || substring(k, 17, 4) || '-' || substring(k, 21, 12) AS prompt_id
-    FROM (SELECT *, sha256(substring(text, 1, 200) || '||legacy') AS k FROM documents)""",
+    FROM (SELECT *, sha256(text || '||legacy') AS k FROM documents)""",
 )
 def cache_keys(spark, folder):
-    parts = (F.substring("text", 1, 200), F.lit(""), F.lit("legacy"))
+    parts = (F.col("text"), F.lit(""), F.lit("legacy"))
     return views.documents(spark, folder).select(
         "doc_id", sha_key(*parts).alias("cache_key"), stable_uuid(*parts).alias("prompt_id")
     )
@@ -312,7 +312,7 @@ def canonical_keys(spark, folder):
 def structure_report(spark, folder):
     docs = views.documents(spark, folder).select(
         F.col("doc_id").alias("pos"),
-        F.struct(F.substring("text", 1, 200).alias("original_idea")).alias("inputs"),
+        F.struct(F.col("text").alias("original_idea")).alias("inputs"),
         F.when(F.col("doc_id") % 97 != 5, F.struct(F.col("text").alias("improved_prompt"))).alias("outputs"),
     )
     return V.structure_report(docs)

@@ -18,13 +18,13 @@ def requests(spark, folder):
 
 
 def catalog(spark, folder):
-    return views.pool(spark, folder, only_even=True).select(F.col("pos").alias("catalog_id"), F.col("original_idea").alias("text"))
+    return views.pool(spark, folder).select(F.col("pos").alias("catalog_id"), F.col("original_idea").alias("text"))
 
 
 REQUEST_SQL = f"""req AS (SELECT item_id AS query_id, {pick_sql("(item_id % 4)", ["generate", "debug", "refactor", "explain"])} || ' ' ||
-  {pick_sql("(item_id % 3)", ["simple", "moderate", "complex"])} || CASE WHEN {strip_sql("substring(text, 1, 200)")} <> '' THEN ' ' || {strip_sql("substring(text, 1, 200)")} ELSE '' END AS t FROM benchmark)"""
+  {pick_sql("(item_id % 3)", ["simple", "moderate", "complex"])} || CASE WHEN {strip_sql("text")} <> '' THEN ' ' || {strip_sql("text")} ELSE '' END AS t FROM benchmark)"""
 GRAMS = lambda key, source: f"""SELECT {key}, g, count(*)::DOUBLE AS w FROM (SELECT {key}, substring(lower(t), unnest(range(1, length(t))), 2) AS g FROM {source}) GROUP BY ALL"""
-KNN_SQL = f"""WITH {REQUEST_SQL}, cat AS (SELECT doc_id AS catalog_id, substring(text, 1, 200) AS t FROM documents WHERE doc_id % 2 = 0),
+KNN_SQL = f"""WITH {REQUEST_SQL}, cat AS (SELECT doc_id AS catalog_id, text AS t FROM documents),
   cg AS ({GRAMS("catalog_id", "cat")}), qg AS (SELECT * FROM ({GRAMS("query_id", "req")}) WHERE g IN (SELECT g FROM cg)),
   cn AS (SELECT catalog_id, sum(w * w) AS n FROM cg GROUP BY 1), qn AS (SELECT query_id, sum(w * w) AS n FROM qg GROUP BY 1),
   dots AS (SELECT query_id, catalog_id, sum(q.w * c.w) AS d FROM qg q JOIN cg c USING (g) GROUP BY ALL),
@@ -82,11 +82,28 @@ def knn_embeddings(spark, folder):
 @query("fewshot_prompts")
 def fewshot_prompts(spark, folder):
     asked = requests(spark, folder).withColumn("prompt_role", route(F.col("intent"), F.col("complexity"))["role"])
-    examples = views.pool(spark, folder, only_even=True).select(
+    examples = views.pool(spark, folder).select(
         F.col("pos").alias("catalog_id"), F.col("original_idea").alias("input_idea"), F.col("context").alias("input_context"),
         F.col("improved_prompt").alias("output"),
     )
-    # five examples for complex requests, three for the rest
-    wanted = F.when(F.col("complexity") == "complex", 5).otherwise(3)
-    found = R.knn_bigram(asked, catalog(spark, folder), k=5).join(asked.select("query_id", wanted.alias("_k")), "query_id")
-    return R.fewshot_prompts(asked, found.filter("rank <= _k").drop("_k"), examples)
+    return R.fewshot_prompts(asked, examples_for(asked, catalog(spark, folder)), examples)
+
+
+def examples_for(asked, known):
+    """Five examples for complex requests, three for the rest."""
+    large = F.col("complexity") == "complex"
+    return R.knn_bigram(asked.filter(large), known, k=5).unionByName(R.knn_bigram(asked.filter(~large), known, k=3))
+
+
+@query(
+    "knn_expected_output",
+    f"""{KNN_SQL.replace("dots AS (SELECT query_id, catalog_id, sum(q.w * c.w) AS d FROM qg q JOIN cg c USING (g)", "dots AS (SELECT query_id, catalog_id, sum(q.w * c.w) AS d FROM qg q JOIN cg c USING (g) WHERE catalog_id IN (SELECT doc_id FROM labels WHERE quality = 1)")}
+    SELECT query_id, catalog_id, round(similarity, 6) AS similarity, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, catalog_id) AS rank FROM sims WHERE similarity >= 0.1e0) WHERE rank <= 3""",
+)
+def knn_expected_output(spark, folder):
+    """Only rows with an expected output are candidates; bigrams of the whole catalog count."""
+    known = catalog(spark, folder)
+    good = views.table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("catalog_id"))
+    found = R.knn_bigram(requests(spark, folder), R.expected_output_examples(known, good), vocabulary=known)
+    return rounded(found, "similarity")

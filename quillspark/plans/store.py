@@ -168,13 +168,13 @@ def chat_messages(spark, folder):
 
 @query(
     "context_by_request",
-    """SELECT request, string_agg('### CONTEXT SOURCE: ' || url || ' (Category: general)' || chr(10) || left(html, 100), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p DESC, page_id) AS context
+    """SELECT request, string_agg('### CONTEXT SOURCE: ' || url || ' (Category: general)' || chr(10) || html, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p DESC, page_id) AS context
     FROM (SELECT page_id // 5 AS request, page_id, url, html, 1 + page_id % 3 AS p FROM pages) GROUP BY request""",
 )
 def context_by_request(spark, folder):
     pages = views.table(spark, folder, "pages").select(
         F.floor(F.col("page_id") / 5).alias("request"), F.col("page_id").alias("pos"), F.col("url").alias("source"),
-        F.substring("html", 1, 100).alias("content"), (F.lit(1) + F.col("page_id") % 3).alias("priority"), F.lit("general").alias("category"),
+        F.col("html").alias("content"), (F.lit(1) + F.col("page_id") % 3).alias("priority"), F.lit("general").alias("category"),
     )
     return N.aggregate_context(pages, "request")
 
@@ -338,7 +338,7 @@ def components(spark, folder):
     return views.documents(spark, folder).select(
         doc.alias("pos"), F.concat(F.lit("file-"), doc.cast("string")).alias("source_file"),
         views.pick(doc % 5, fixed.DOMAINS).alias("domain"), F.col("lang").alias("category"), F.col("source").alias("role"),
-        F.substring("text", 1, 80).alias("directive"), F.when(doc % 3 == 0, "N/A").when(doc % 3 == 1, "Chain-of-Thought").otherwise("").alias("framework"),
+        F.col("text").alias("directive"), F.when(doc % 3 == 0, "N/A").when(doc % 3 == 1, "Chain-of-Thought").otherwise("").alias("framework"),
         F.when(doc % 2 == 0, F.array(F.lit("be brief"), F.lit("be kind"))).alias("guardrails"), (doc % 100 / 100.0).alias("confidence"),
     )
 
@@ -346,7 +346,7 @@ def components(spark, folder):
 @query(
     "component_examples",
     f"""SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 1 AND doc_id % 5 = 0 THEN 'Crea un prompt para ' || lang || ' usando Chain-of-Thought' ELSE 'Genera prompt de ' || lang END AS original_idea,
-    array_to_string(list_filter(['## Role' || chr(10) || source, '## Directive' || chr(10) || substring(text, 1, 80),
+    array_to_string(list_filter(['## Role' || chr(10) || source, '## Directive' || chr(10) || text,
       CASE WHEN doc_id % 3 = 0 THEN '## Framework' || chr(10) || 'N/A' WHEN doc_id % 3 = 1 THEN '## Framework' || chr(10) || 'Chain-of-Thought' END,
       CASE WHEN doc_id % 2 = 0 THEN '## Guardrails' || chr(10) || 'be brief' || chr(10) || 'be kind' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS improved_prompt FROM documents""",
 )

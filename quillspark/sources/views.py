@@ -117,9 +117,10 @@ def impact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_with_impact(spark: SparkSession, folder: str) -> DataFrame:
-    return history(spark, folder).join(
-        impact(spark, folder).withColumnRenamed("user_id", "conv_id"), "conv_id"
-    )
+    """History with the reactions of its user; turns nobody reacted to have zero counts and no feedback."""
+    counts = ["copy_count", "regeneration_count", "reuse_count"]
+    reactions = impact(spark, folder).withColumnRenamed("user_id", "conv_id")
+    return history(spark, folder).join(reactions, "conv_id", "left").fillna(0, counts)
 
 
 def pool(spark: SparkSession, folder: str, only_even: bool = False) -> DataFrame:
@@ -129,7 +130,7 @@ def pool(spark: SparkSession, folder: str, only_even: bool = False) -> DataFrame
         docs = docs.filter(F.col("doc_id") % 2 == 0)
     return docs.select(
         F.col("doc_id").alias("pos"),
-        F.substring("text", 1, 200).alias("original_idea"),
+        F.col("text").alias("original_idea"),
         F.lit("").alias("context"),
         F.col("text").alias("improved_prompt"),
         pick(F.col("doc_id") % 4, FRAMEWORKS).alias("framework"),
@@ -137,21 +138,11 @@ def pool(spark: SparkSession, folder: str, only_even: bool = False) -> DataFrame
     )
 
 
-def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """The even documents with the flag that they carry an expected output."""
-    good = table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("pos")).distinct()
-    return (
-        pool(spark, folder, only_even=True)
-        .join(good.withColumn("has_expected_output", F.lit(True)), "pos", "left")
-        .withColumn("has_expected_output", F.coalesce("has_expected_output", F.lit(False)))
-    )
-
-
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items as retrieval requests."""
     return table(spark, folder, "benchmark").select(
         "item_id",
-        F.substring("text", 1, 200).alias("user_input"),
+        F.col("text").alias("user_input"),
         pick(F.col("item_id") % 4, ["generate", "debug", "refactor", "explain"]).alias("intent"),
         pick(F.col("item_id") % 3, ["simple", "moderate", "complex"]).alias("complexity"),
     )

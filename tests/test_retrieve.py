@@ -39,12 +39,13 @@ def frames(spark):
     return ask, rows
 
 
-@pytest.mark.parametrize("limit", [R.BROADCAST_ENTRIES, 0])
+@pytest.mark.parametrize("queries", [R.BLOCK_QUERIES, 2])
 @pytest.mark.parametrize("k,threshold", [(2, 0.1), (3, 1.0), (2, -1.0)])
-def test_bigram_top_k(spark, k, threshold, limit):
+def test_bigram_top_k(spark, monkeypatch, k, threshold, queries):
+    monkeypatch.setattr(R, "BLOCK_QUERIES", queries)
     ask, rows = frames(spark)
     got = {}
-    for r in R.knn_bigram(ask, rows, k, threshold, broadcast_entries=limit).orderBy("query_id", "rank").collect():
+    for r in R.knn_bigram(ask, rows, k, threshold).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.catalog_id, round(r.similarity, 9)))
     assert got == brute(k, threshold)
 
@@ -63,15 +64,17 @@ def test_parameters_are_checked(spark):
         R.knn_bigram(ask, rows, threshold=1.5)
 
 
-@pytest.mark.parametrize("limit", [R.BROADCAST_ENTRIES, 0])
-def test_word_top_k(spark, monkeypatch, limit):
-    monkeypatch.setattr(R, "BROADCAST_ENTRIES", limit)
-    ask = spark.createDataFrame([(0, "write a song about rain"), (1, "nothing shared here")], "query_id long, text string")
+@pytest.mark.parametrize("queries", [R.BLOCK_QUERIES, 1])
+def test_word_top_k(spark, monkeypatch, queries):
+    monkeypatch.setattr(R, "BLOCK_QUERIES", queries)
+    asked = [(0, "write a song about rain"), (1, "nothing shared here"), (2, "  "), (3, None)]
+    ask = spark.createDataFrame(asked, "query_id long, text string")
     pool = spark.createDataFrame(list(enumerate(CATALOG)), "pos long, text string")
     got = {}
     for r in R.knn_words(ask, pool, 3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.catalog_id, r.similarity))
-    assert got == {0: [(0, 0.8), (4, 0.8), (5, 0.2)], 1: [(0, 0.0), (1, 0.0), (2, 0.0)]}
+    none = [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert got == {0: [(0, 0.8), (4, 0.8), (5, 0.2)], 1: none, 2: none, 3: none}
 
 
 def test_vectors(spark):
@@ -81,3 +84,41 @@ def test_vectors(spark):
     assert got == [(2, 1.0), (1, 0.707107)]
     pair = spark.range(1).select(R.cosine_vectors(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(0.0), F.lit(0.0))))
     assert pair.first()[0] == 0.0
+
+
+def test_requests_without_a_known_bigram(spark):
+    ask = spark.createDataFrame([(0, "日本"), (1, "")], "query_id long, text string")
+    _, rows = frames(spark)
+    assert R.knn_bigram(ask, rows, k=2).count() == 0
+    meta = {r.query_id: r for r in R.knn_metadata(ask, rows).collect()}
+    assert [(meta[q].highest_similarity, meta[q].met_threshold, meta[q].total_candidates) for q in (0, 1)] == [(0.0, False, 7)] * 2
+
+
+def test_metadata_of_a_small_catalog(spark):
+    ask, rows = frames(spark)
+    meta = R.knn_metadata(ask, rows.filter("catalog_id < 3"), k=3).collect()
+    assert all(r.highest_similarity == 1.0 and r.met_threshold for r in meta)
+
+
+def test_query_vectors_must_be_finite(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1.0])], "catalog_id long, vector array<double>")
+    ask = spark.createDataFrame([(0, [float("nan"), 0.0])], "query_id long, vector array<double>")
+    with pytest.raises(ValueError):
+        R.knn_vectors(ask, rows)
+
+
+def test_other_features_and_vocabulary(spark):
+    import numpy as np
+
+    def letters(texts):
+        found = [(i, ord(c), n) for i, t in enumerate(texts) for c, n in Counter(t or "").items()]
+        row, feature, count = zip(*found) if found else ((), (), ())
+        return np.array(row, dtype=np.int64), np.array(feature, dtype=np.uint64), np.array(count, dtype=float)
+
+    ask = spark.createDataFrame([(0, "ab")], "query_id long, text string")
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "aab"), (3, "c")], "catalog_id long, text string")
+    got = [(r.catalog_id, round(r.similarity, 6)) for r in R.knn_bigram(ask, rows, 2, featurise=letters).orderBy("rank").collect()]
+    assert got == [(2, 0.948683), (0, 0.707107)]
+    # without "b" in the vocabulary the query is "a" alone
+    got = R.knn_bigram(ask, rows.filter("catalog_id <> 1"), 1, vocabulary=rows.filter("catalog_id = 0"), featurise=letters).collect()
+    assert [(r.catalog_id, r.similarity) for r in got] == [(0, 1.0)]
