@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+# braces, and strings as wholes; a string that never ends runs to the end of the text
+JSON_PIECES = re.compile(r'[{}]|"(?:[^"\\]|\\.)*+(?:"|\\?\Z)', re.S)
+
 FACTS = T.StructType(
     [
         T.StructField("valid", T.BooleanType()),
@@ -20,9 +24,14 @@ FACTS = T.StructType(
 )
 
 
+def _refuse(name: str) -> None:
+    """NaN and infinities are no JSON, though Python would take them."""
+    raise ValueError(name)
+
+
 def parse_or_none(text: str) -> tuple[bool, object]:
     try:
-        return True, json.loads(text)
+        return True, json.loads(text, parse_constant=_refuse)
     except (ValueError, RecursionError):
         return False, None
 
@@ -81,23 +90,14 @@ def balanced_object(text: str | None) -> str | None:
     if text is None:
         return None
     start = text.find("{")
-    if start < 0:
-        return None
-    depth, quoted, skip = 0, False, False
-    for at in range(start, len(text)):
-        char = text[at]
-        if skip:
-            skip = False
-        elif quoted and char == "\\":
-            skip = True
-        elif char == '"':
-            quoted = not quoted
-        elif not quoted and char == "{":
+    depth = 0
+    for piece in JSON_PIECES.finditer(text, start) if start >= 0 else ():
+        if piece.group() == "{":
             depth += 1
-        elif not quoted and char == "}":
+        elif piece.group() == "}":
             depth -= 1
-            if depth == 0:
-                return text[start : at + 1]
+            if not depth:
+                return text[start : piece.end()]
     return None
 
 

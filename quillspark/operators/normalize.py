@@ -259,7 +259,8 @@ def expand_examples(components: DataFrame, per_component: int = 3, variation: st
             "_directive": F.when(clean("directive") == "", directive_default).otherwise(clean("directive")),
         }
     )
-    key = F.xxhash64(c("source_file"), c("_domain"), c("_role"), c("_i"), F.lit(seed))
+    digest = F.md5(F.concat_ws("|", "source_file", "_domain", "_role", c("_i").cast("string"), F.lit(str(seed))))
+    key = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     chosen = numbered.withColumn("_options", options).withColumn(
         "_template", F.get(c("_options"), F.pmod(key, F.size("_options").cast("long")).cast("int"))
     )

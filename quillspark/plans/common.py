@@ -107,11 +107,12 @@ pairs AS (
   WHERE role = 'user' AND next_role = 'assistant'),
 sys AS (SELECT conv_id, arg_min(text, turn) AS context FROM conversations WHERE role = 'system' GROUP BY conv_id),
 v_history AS (
-  SELECT p.conv_id, p.turn, p.conv_id * 100 + p.turn AS id, idea AS original_idea,
+  SELECT p.conv_id, p.turn, p.conv_id * 1048576 + p.turn AS id, idea AS original_idea,
     coalesce(context, '') AS context, (p.conv_id + p.turn) % 6 AS variant,
     CASE (p.conv_id + p.turn) % 6 WHEN 0 THEN reply
       {" ".join(f"WHEN {n} THEN {lines_literal(t)} || reply" for n, t in views.PREFIXES.items())}
-      ELSE '{{"prompt": "p' || p.conv_id || '", "role": "", "context": null}}' END AS improved_prompt,
+      ELSE '{{"prompt":"p' || p.conv_id || CASE WHEN p.conv_id % 2 = 0 THEN '","role":"writer","context":"notes","reply":' ELSE '","role":"","context":null,"reply":' END
+        || to_json(reply) || '}}' END AS improved_prompt,
     {pick_sql("((p.conv_id + p.turn) % 6)", views.TEMPLATE_BY_VARIANT)} AS template_id,
     {pick_sql("(p.conv_id % 5)", views.PROVIDERS)} AS provider,
     {pick_sql("(p.conv_id % 5)", views.MODELS)} AS model,

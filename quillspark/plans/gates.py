@@ -99,8 +99,8 @@ GOOD_BLOCKS = f"list_filter({BLOCKS}, lambda b: {CODE_LINES} >= 3 AND {re_any('b
 V02_SQL = {
     "A1_filler": filler_sql(X)[2],
     "A4_repetition": repetition_sql(X),
-    # in this view valid JSON is always the three-key object with two empty values
-    "J1_empty": "CASE WHEN template_id <> 'json' THEN 'SKIP' ELSE 'FAIL' END",
+    # in this view JSON is valid in the last variant alone, and filled for even conversations
+    "J1_empty": "CASE WHEN template_id <> 'json' THEN 'SKIP' WHEN variant = 5 AND conv_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END",
     "P1_steps": f"CASE WHEN template_id <> 'procedure_md' THEN 'SKIP' WHEN len({STEPS}) = 0 OR {STEP_RATIO} > 0.3e0 THEN 'FAIL' ELSE 'PASS' END",
     "C1_specific": f"CASE WHEN template_id <> 'checklist_md' THEN 'SKIP' WHEN len({BULLETS}) = 0 OR {BULLET_RATIO} > 0.4e0 THEN 'FAIL' ELSE 'PASS' END",
     "E1_code": f"CASE WHEN template_id <> 'example_md' THEN 'SKIP' WHEN len({BLOCKS}) > 0 AND len({GOOD_BLOCKS}) = len({BLOCKS}) THEN 'PASS' ELSE 'FAIL' END",
@@ -198,7 +198,7 @@ def _advice_sql() -> str:
 
 
 # every document read as procedure and checklist by turns, so that both gates have work
-DOCS_REPORT = f"""docs AS (SELECT doc_id AS id, text AS improved_prompt, CASE WHEN doc_id % 2 = 0 THEN 'procedure_md' ELSE 'checklist_md' END AS template_id FROM documents)"""
+DOCS_REPORT = f"""docs AS (SELECT doc_id AS id, doc_id AS conv_id, 0 AS variant, text AS improved_prompt, CASE WHEN doc_id % 2 = 0 THEN 'procedure_md' ELSE 'checklist_md' END AS template_id FROM documents)"""
 
 
 def docs_report_sql() -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark import fixed
 from quillspark.functions.classify import route
 from quillspark.operators import retrieve as R
-from quillspark.plans.common import pick_sql, query, rounded, strip_sql, words_sql
+from quillspark.plans.common import pick_sql, q, query, rounded, strip_sql, words_sql
 from quillspark.sources import views
 
 
@@ -79,7 +80,35 @@ def knn_embeddings(spark, folder):
     return rounded(R.knn_vectors(asked, rest), "similarity")
 
 
-@query("fewshot_prompts")
+def _prompt_sql() -> str:
+    """Role, task and examples put together as the operator does for requests without optional sections."""
+    roles = "CASE " + " ".join(f"WHEN intent = {q(i)} AND complexity = {q(c)} THEN {q(r)}" for (i, c), (_, r) in fixed.ROUTES.items()) + " END"
+    text = lambda level, ask, answer: (
+        f"string_agg('{level} Example ' || rank || chr(10) || '**{ask}:** ' || text || chr(10) || '**{answer}:** ' || text || chr(10), chr(10) ORDER BY rank)"
+    )
+    lines = lambda value: value.replace("\n", "' || chr(10) || '")
+    plain = lines(
+        "'# Role\nYou are a ' || role || '.\n\n# Task\n' || idea || CASE WHEN n > 0 THEN "
+        "'\n\n# Examples\nHere are some similar examples to guide you:\n\n' || plain_examples ELSE '' END"
+    )
+    focus = "CASE WHEN regexp_matches(lower(idea), 'optimizar|refactor') THEN 'Optimize the code for better performance and maintainability' ELSE 'Implement the requested functionality' END"
+    rich = lines(
+        f"'# Role\nYou are a ' || role || '.\n\n# Understanding the Request\nFirst, let me rephrase the request to ensure clarity:\n\n**Original Request:** ' || idea "
+        f"|| '\n**Rephrased Understanding:** ' || {focus} || '\n\n# Task\nBased on the above understanding, please:' || CASE WHEN n > 0 THEN "
+        "'\n\n## Reference Examples\nThese examples may help guide your approach:\n\n' || rich_examples ELSE '' END || "
+        "'\n\n## Requirements\n- Provide a clear, well-structured response\n- Include code examples where applicable\n- Explain your reasoning'"
+    )
+    return f"""{KNN_SQL}, r AS (SELECT item_id, text AS idea, {pick_sql("(item_id % 4)", fixed.INTENTS)} AS intent, {pick_sql("(item_id % 3)", fixed.COMPLEXITIES)} AS complexity FROM benchmark),
+    top AS (SELECT query_id, catalog_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, catalog_id) AS rank FROM sims WHERE similarity >= 0.1e0),
+    ex AS (SELECT query_id, count(*) AS n, {text("##", "Input", "Output")} AS plain_examples,
+      {text("###", "Request", "Response").replace(" ORDER BY rank)", " ORDER BY rank) FILTER (rank <= 3)")} AS rich_examples
+      FROM top JOIN documents ON doc_id = catalog_id JOIN r ON item_id = query_id
+      WHERE rank <= CASE WHEN complexity = 'complex' THEN 5 ELSE 3 END GROUP BY query_id)
+    SELECT item_id AS query_id, CASE WHEN complexity = 'complex' THEN {rich} ELSE {plain} END AS template, coalesce(n, 0)::INT AS fewshot_count
+    FROM (SELECT r.*, {roles} AS role, coalesce(n, 0) AS n, plain_examples, rich_examples FROM r LEFT JOIN ex ON query_id = item_id)"""
+
+
+@query("fewshot_prompts", _prompt_sql())
 def fewshot_prompts(spark, folder):
     asked = requests(spark, folder).withColumn("prompt_role", route(F.col("intent"), F.col("complexity"))["role"])
     examples = views.pool(spark, folder).select(

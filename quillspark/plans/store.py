@@ -43,9 +43,9 @@ def group_filter(spark, folder):
     return views.history(spark, folder).filter(parse("model:deepseek-chat")).select("id", "model")
 
 
-@query("history_by_id", over_history("SELECT id, framework FROM v_history WHERE id = 500"))
+@query("history_by_id", over_history("SELECT id, framework FROM v_history WHERE id = 3 * 1048576"))
 def history_by_id(spark, folder):
-    return T.by_key(views.history(spark, folder), "id", 500).select("id", "framework")
+    return T.by_key(views.history(spark, folder), "id", 3 << 20).select("id", "framework")
 
 
 @query("history_retention", over_history("SELECT count(*) FILTER (created_at < TIMESTAMP '2024-01-04') AS deleted FROM v_history"))
@@ -81,7 +81,16 @@ def session_turns(spark, folder):
     return df.select("conv_id", "turn", "turn_number", "current_turn", "resolved", "remaining")
 
 
-@query("session_turns_reopening")
+@query(
+    "session_turns_reopening",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) % 2 = 0 AS clear, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    s(conv_id, turn, n, cur, res) AS (
+      SELECT conv_id, turn, n, (role = 'user')::INT, CASE role WHEN 'assistant' THEN clear ELSE false END FROM t WHERE n = 1
+      UNION ALL SELECT t.conv_id, t.turn, t.n, cur + (role = 'user' AND NOT res)::INT,
+        CASE WHEN role = 'assistant' THEN clear WHEN role = 'user' AND NOT res THEN cur + 1 >= 2 ELSE res END
+      FROM s JOIN t ON t.conv_id = s.conv_id AND t.n = s.n + 1)
+    SELECT conv_id, turn, n AS turn_number, cur AS current_turn, res AS resolved, greatest(0, 2 - cur) AS remaining FROM s""",
+)
 def session_turns_reopening(spark, folder):
     df = S.wizard_turns(views.table(spark, folder, "conversations"), max_turns=2, clear=F.length("text") % 2 == 0)
     return df.select("conv_id", "turn", "turn_number", "current_turn", "resolved", "remaining")
@@ -358,7 +367,29 @@ def component_examples(spark, folder):
     )
 
 
-@query("expanded_examples")
+def _expanded_sql(per_component: int) -> str:
+    """Template by digest, placeholders filled, context appended: the operator's steps in SQL."""
+    options = "CASE domain " + " ".join(
+        f"WHEN {q(d)} THEN [{', '.join(q(t) for t in fixed.EXAMPLE_TEMPLATES[d])}]" for d in fixed.DOMAINS
+    ) + " END"
+    defaults = "CASE domain " + " ".join(f"WHEN {q(d)} THEN {q(fixed.DEFAULT_DIRECTIVES[d])}" for d in fixed.DOMAINS) + " END"
+    filled = (
+        f"replace(replace(replace(replace(template || {q(fixed.CONTEXT_TAIL)}, '{{role}}', role), '{{directive}}', directive), "
+        "'{domain_lower}', lower(domain)), '{framework}', framework)"
+    )
+    return f"""WITH c AS (SELECT doc_id, 'file-' || doc_id AS source_file, {pick_sql("(doc_id % 5)", fixed.DOMAINS)} AS domain,
+      regexp_replace({strip_sql("source")}, '\\.+$', '') AS r, regexp_replace({strip_sql("text")}, '\\.+$', '') AS d,
+      CASE doc_id % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN 'Chain-of-Thought' ELSE '' END AS framework, doc_id % 100 / 100e0 AS confidence FROM documents),
+    n AS (SELECT *, CASE WHEN r = '' THEN 'assistant' ELSE r END AS role, CASE WHEN d = '' THEN {defaults} ELSE d END AS directive, {options} AS options,
+      unnest(range(0, {per_component}))::INT AS number FROM c),
+    t AS (SELECT *, options[1 + (('0x' || substring(md5(source_file || '|' || domain || '|' || role || '|' || number || '|0'), 1, 8))::BIGINT % len(options))::INT] AS template FROM n),
+    e AS (SELECT *, {strip_sql(f"replace(replace({filled}, '..', '.'), '  ', ' ')")} AS x FROM t)
+    SELECT source_file || ':' || domain AS source_component_id, number, role, confidence,
+      CASE WHEN regexp_matches(y, '[.!?]$') THEN y ELSE y || '.' END AS example
+    FROM (SELECT *, CASE WHEN length(x) < 50 THEN x || {q(fixed.PADDING)} ELSE x END AS y FROM e)"""
+
+
+@query("expanded_examples", _expanded_sql(3))
 def expanded_examples(spark, folder):
     df = N.expand_examples(components(spark, folder), 3, "add_context")
     return df.select("metadata.source_component_id", "number", "role", "example", "metadata.confidence")

@@ -75,7 +75,14 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     for number, prefix in PREFIXES.items():
         text = text.when(F.col("variant") == number, F.concat(F.lit(prefix), F.col("reply")))
     text = text.otherwise(
-        F.concat(F.lit('{"prompt": "p'), conv.cast("string"), F.lit('", "role": "", "context": null}'))
+        F.to_json(
+            F.struct(
+                F.concat(F.lit("p"), conv.cast("string")).alias("prompt"),
+                F.when(conv % 2 == 0, "writer").otherwise("").alias("role"),
+                F.when(conv % 2 == 0, "notes").alias("context"), F.col("reply"),
+            ),
+            {"ignoreNullFields": "false"},
+        )
     )
     return (
         turn_pairs(spark, folder)
@@ -83,7 +90,7 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("variant", variant)
         .select(
             "conv_id", "turn",
-            (conv * 100 + turn).alias("id"),
+            (conv * (1 << 20) + turn).alias("id"),
             F.col("idea").alias("original_idea"),
             F.coalesce("context", F.lit("")).alias("context"),
             "variant",
