@@ -123,11 +123,11 @@ class WordIds:
             self.old, self.young = self.young, {}
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         missing = set().union(*split).difference(self.young) if split else set()
-        again = missing.intersection(self.old)
+        again = {w for w in missing if w in self.old}
         self.young.update((w, self.old[w]) for w in again)
         parts = {w: self.parts(w) for w in missing - again}
         unknown = {p for pair in parts.values() for p in pair}.difference(self.young)
-        again = unknown.intersection(self.old)
+        again = {w for w in unknown if w in self.old}
         self.young.update((w, self.old[w]) for w in again)
         self.learn(sorted(unknown - again))
         look = self.young.__getitem__
