@@ -27,26 +27,15 @@ def word_digests(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(digests: Column) -> Column:
-    """Seeds of the first mask for each place, then those of the next; none below SPAN words."""
+def seeded(rows: DataFrame, digests: str, place: str, mask: str) -> DataFrame:
+    """A row for each seed: its hash, place and mask; none below SPAN words.
 
-    def of(number: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(digests) - SPAN),
-            lambda i: F.xxhash64(F.lit(number), *[F.get(digests, i + place) for place in mask]),
-        )
-
-    return F.when(F.size(digests) >= SPAN, F.concat(*[of(n, m) for n, m in enumerate(MASKS)])).otherwise(F.array().cast("array<bigint>"))
-
-
-def _seeded(rows: DataFrame, digests: str, seed: str, place: str, mask: str) -> DataFrame:
-    per_mask = F.size(digests) - (SPAN - 1)
-    return (
-        rows.select("*", F.posexplode(seeds(F.col(digests))).alias("_n", seed))
-        .withColumn(mask, F.floor(F.col("_n") / per_mask).cast("int"))
-        .withColumn(place, F.col("_n") - F.col(mask) * per_mask)
-        .drop("_n")
-    )
+    Places are rows before seeds are hashed, so that hashing is compiled with the scan and the join.
+    """
+    places = F.when(F.size(digests) >= SPAN, F.sequence(F.lit(0), F.size(digests) - SPAN)).otherwise(F.array().cast("array<int>"))
+    at = [F.xxhash64(F.lit(n), *[F.get(digests, F.col(place) + k) for k in chosen]) for n, chosen in enumerate(MASKS)]
+    pairs = [part for n, seed in enumerate(at) for part in (F.lit(n), seed)]
+    return rows.select("*", F.explode(places).alias(place)).select("*", F.stack(F.lit(len(MASKS)), *pairs).alias(mask, "seed"))
 
 
 def _first_of_run() -> Column:
@@ -107,12 +96,12 @@ def overlaps(
     ).filter(F.size("w") >= SPAN).distinct()
     words = items.agg(F.sum(F.size("w"))).first()[0] or 0
     blocks = max(1, -(-words // block_words))
-    at_docs = _seeded(rows.filter(F.size("h") >= SPAN), "h", "seed", "pos", "mask")
+    at_docs = seeded(rows, "h", "pos", "mask")
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "w"), F.lit(blocks)) == block)
         part = part.withColumn("item", F.xxhash64("item_id", "w"))
-        at_items = _seeded(part, "w", "seed", "at", "item_mask").select("seed", "item", "at").distinct()
+        at_items = seeded(part.select("item", "w"), "w", "at", "item_mask").select("seed", "item", "at").distinct()
         hits = (
             at_docs.join(F.broadcast(at_items), "seed").join(F.broadcast(part), "item")
             .filter(_first_of_run())
