@@ -11,7 +11,8 @@ opens a group only when its overlap with that union can still reach the bound.
    together inside a task before they are shuffled. A token held by one group only is finished;
    otherwise the groups holding it open each other, sizes permitting.
 4. Opened groups are first compared by their smallest members, which merges most of what belongs
-   together. What is left is compared member by member where members share a prefix token.
+   together. Otherwise the members of the smaller group meet those of the larger one chunk by chunk;
+   pairs that share enough prefix tokens are compared, the best of each query first.
 
 Steps 3 and 4 lose no link: any total order of tokens is exact, and a pair is left out only when its
 two documents are already connected. No step lists the pairs inside a group.
@@ -35,6 +36,7 @@ from quillspark.llm.shingles import ragged, segments, shingle_sets
 BANDS, ROWS_PER_BAND = 6, 2
 LOCAL_FREQUENT = 4  # copies inside a task from which a token counts as frequent
 MOST_FREQUENT = 100_000  # frequent tokens named in the order; the order needs no more to be exact
+CHUNK = 64  # members of a large group that meet a query at once
 SEEDS = (np.arange(1, BANDS * ROWS_PER_BAND + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
@@ -102,33 +104,30 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
     links = scratch.write(links.unionByName(found))
     first, groups = groups, _grouped(reps, links, scratch)
 
-    # groups of several members that did not meet by their smallest ones
-    many = first.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1").select("group")
-    now = groups.select("doc_id", F.col("group").alias("now"))
-    apart = (
-        opened.join(now.select(F.col("doc_id").alias("a"), F.col("now").alias("na")), "a")
-        .join(now.select(F.col("doc_id").alias("b"), F.col("now").alias("nb")), "b")
-        .filter("na <> nb").select("a", "b")
+    # groups of several members that did not meet by their smallest ones: the smaller group's members
+    # query the larger group, whose members lie in chunks of bounded size
+    sizes = first.groupBy("group").agg(F.count("*").alias("size"))
+    apart = scratch.write(
+        _apart(opened, groups)
+        .join(sizes.select(F.col("group").alias("a"), F.col("size").alias("sa")), "a")
+        .join(sizes.select(F.col("group").alias("b"), F.col("size").alias("sb")), "b").filter("sa > 1 or sb > 1")
+        .select(F.expr("if(sa <= sb, a, b)").alias("a"), F.expr("if(sa <= sb, b, a)").alias("b"))
     )
-    left = many.select(F.col("group").alias("a"), F.lit(1).alias("ma"))
-    right = many.select(F.col("group").alias("b"), F.lit(1).alias("mb"))
-    apart = scratch.write(apart.join(left, "a", "left").join(right, "b", "left").filter("ma = 1 or mb = 1").select("a", "b"))
-    named = apart.select(F.col("a").alias("group")).union(apart.select("b")).distinct()
-    inside = scratch.write(
-        live.select("doc_id", "n", "tokens").join(first.join(named, "group"), "doc_id")
-        .select("group", "doc_id", "n", F.explode("tokens").alias("token"))
+    part = lambda side: live.select("doc_id", "n", "tokens").join(
+        first.join(apart.select(F.col(side).alias("group")).distinct(), "group"), "doc_id"
     )
-    both = apart.union(apart.select("b", "a"))
-    one = inside.select(F.col("group").alias("a"), F.col("doc_id").alias("x"), F.col("n").alias("xn"), "token")
-    two = inside.select(F.col("group").alias("b"), F.col("doc_id").alias("y"), F.col("n").alias("yn"), "token")
-    rest = (
-        both.join(one, "a").join(two, ["b", "token"])
-        .filter(f"x < y and 100 * yn >= {percent} * xn and 100 * xn >= {percent} * yn")
-        .groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("common"))
-        .filter(f"common >= {_shared_prefix(percent, 'xn', 'yn')}").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    place = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / CHUNK))
+    chunks = part("b").join(sizes, "group").groupBy(F.col("group").alias("b"), place.alias("chunk")).agg(
+        F.collect_list(F.struct("doc_id", "n", "tokens")).alias("members")
     )
-    links = scratch.write(links.unionByName(_verified(rest, base, percent, width, scratch)))
-    groups = _grouped(reps, links, scratch)
+    queries = part("a").select(F.col("group").alias("a"), F.col("doc_id").alias("x"), "n", "tokens")
+    meetings = apart.join(queries, "a").join(chunks, "b").select("a", "b", "x", "n", "tokens", "members")
+    candidates = scratch.write(meetings.mapInArrow(_meet(percent), "a long, b long, x long, y long, common long"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    best = candidates.groupBy("b", "x").agg(F.max(F.struct("common", "y")).alias("top")).select("x", "top.y").select(*pair).distinct()
+    for pairs in (lambda: best, lambda: _apart(candidates, groups).select(*pair).distinct()):
+        links = scratch.write(links.unionByName(_verified(pairs(), base, percent, width, scratch)))
+        groups = _grouped(reps, links, scratch)
 
     sets = classes.join(groups.withColumnRenamed("doc_id", "rep"), "rep").select("lo", "hi", F.col("group").alias("component_id"))
     return scratch.write(
@@ -141,6 +140,12 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
     )
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose ``a`` and ``b``, heads of groups, are still in different ones."""
+    now = lambda c: groups.select(F.col("doc_id").alias(c), F.col("group").alias(f"_{c}"))
+    return pairs.join(now("a"), "a").join(now("b"), "b").filter("_a <> _b").drop("_a", "_b")
+
+
 def _grouped(reps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     found = components(links, scratch)
     return scratch.write(
@@ -218,6 +223,32 @@ def _prefix(digest: np.ndarray, offsets: np.ndarray, probe: np.ndarray, known: n
     return digest[np.repeat(offsets[:-1], probe) + ragged(probe)]
 
 
+def _meet(percent: int):
+    """Members of a chunk that share as many prefix tokens with the query as a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, n, tokens, members in zip(*(batch.column(i) for i in range(6))):
+                held = members.values
+                ids, sizes = np.asarray(held.field("doc_id")), np.asarray(held.field("n"))
+                lists = held.field("tokens")
+                owner = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+                mine = np.sort(np.asarray(tokens.values))
+                theirs = np.asarray(lists.flatten())
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                common = np.bincount(owner[mine[at] == theirs], minlength=len(ids))
+                own = n.as_py()
+                overlap = -(-percent * (sizes + own) // (100 + percent))
+                least = np.maximum(1, overlap - -(-percent * np.maximum(sizes, own) // 100) + 1)
+                fits = (100 * np.minimum(sizes, own) >= percent * np.maximum(sizes, own)) & (common >= least)
+                out.extend((a.as_py(), b.as_py(), x.as_py(), int(y), int(c)) for y, c in zip(ids[fits], common[fits]))
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "x", "y", "common"])
+
+    return run
+
+
 def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, group) rows; members of a group that meet in a batch give one row for a token."""
     for batch in batches:
