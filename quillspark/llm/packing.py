@@ -26,8 +26,9 @@ from quillspark.llm.common import buffers, query, table
 
 WINDOW = 4096
 END_ID = 2
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 1 << 20
 CACHE_WORDS = 400_000
+GROUP = 1024  # texts looked up together
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # letters that stay as they are when composed or lowered
 TAIL = b".,;:!?%$#*&)"
 SCHEMA = (
@@ -203,8 +204,8 @@ def pack(
             data, offsets = buffers(batch.column(1))
             whole = data.tobytes()
             ids, bounds = batch.column(0).to_pylist(), offsets.tolist()
-            for first in range(0, len(ids), 256):
-                few = range(first, min(first + 256, len(ids)))
+            for first in range(0, len(ids), GROUP):
+                few = range(first, min(first + GROUP, len(ids)))
                 for row, raw in zip(few, encoder.encode([whole[bounds[i] : bounds[i + 1]] for i in few])):
                     names.append(ids[row])
                     held.append(raw + end)
