@@ -45,6 +45,31 @@ def judge_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+def join_cases(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Runs with the limits and terms of their case.
+
+    ``cases`` has one row per case_id with min_chars, max_questions, min_confidence, banned and wanted,
+    each null where the default holds. A run whose case is unknown is kept, with defaults.
+    """
+    limits = cases.select(
+        "case_id", "min_chars", "max_questions", "min_confidence", "banned", "wanted", F.lit(True).alias("known_case")
+    )
+    none = F.array().cast("array<string>")
+    return runs.join(limits, "case_id", "left").withColumns(
+        {
+            "banned": F.coalesce("banned", none), "wanted": F.coalesce("wanted", none),
+            "known_case": F.coalesce("known_case", F.lit(False)),
+        }
+    )
+
+
+def case_results(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Judged runs with their own case's limits, and whether every wanted term and no banned one is there."""
+    judged = judge_runs(join_cases(runs, cases))
+    held = C.case_assertions(F.col("output"), F.coalesce("min_chars", F.lit(50)), F.col("wanted"), F.col("banned"))
+    return judged.withColumn("asserted", held)
+
+
 def bucket_report(judged: DataFrame) -> DataFrame:
     """Totals and rates per bucket and over all, in one pass over the runs."""
     both = judged.withColumn("bucket", F.explode(F.array("bucket", F.lit("all"))))

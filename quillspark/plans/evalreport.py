@@ -35,6 +35,42 @@ def judged_runs(spark, folder):
     return judged(spark, folder).select("case_id", "run", "bucket", "category", "copyable", "reviewable")
 
 
+def cases(spark, folder):
+    """A case per conversation but every eleventh; limits and terms vary by its number, some are left to the default."""
+    number = F.col("case_no")
+    turns = views.table(spark, folder, "conversations").select(F.col("conv_id").alias("case_no")).distinct()
+    prefix = views.pick(number % 3, ["good-", "bad-", "ambig-"])
+    return turns.filter(number % 11 != 0).select(
+        F.concat(prefix, number.cast("string")).alias("case_id"),
+        F.when(number % 4 == 1, 400).when(number % 4 == 2, 80).alias("min_chars"),
+        F.when(number % 5 == 0, 0).alias("max_questions"), F.when(number % 2 == 0, 0.2).alias("min_confidence"),
+        F.when(number % 7 == 3, F.array(F.lit("LATENCY"), F.lit("writer"))).alias("banned"),
+        F.when(number % 3 == 1, F.array(F.lit("#"), F.lit("e"))).alias("wanted"),
+    )
+
+
+CASES_SQL = f"""v_cases AS (SELECT {pick_sql("(conv_id % 3)", ["good-", "bad-", "ambig-"])} || conv_id AS case_id,
+  CASE conv_id % 4 WHEN 1 THEN 400 WHEN 2 THEN 80 END AS min_chars, CASE WHEN conv_id % 5 = 0 THEN 0 END AS max_questions,
+  CASE WHEN conv_id % 2 = 0 THEN 0.2e0 END AS min_confidence, CASE WHEN conv_id % 7 = 3 THEN ['LATENCY', 'writer'] ELSE []::VARCHAR[] END AS banned,
+  CASE WHEN conv_id % 3 = 1 THEN ['#', 'e'] ELSE []::VARCHAR[] END AS wanted, true AS known FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 11 <> 0),
+v_met AS (SELECT r.*, coalesce(min_chars, 50) AS lc, coalesce(max_questions, 5) AS lq, coalesce(min_confidence, 0.5e0) AS lf, coalesce(banned, []) AS banned,
+  coalesce(wanted, []) AS wanted, coalesce(known, false) AS known_case FROM v_runs r LEFT JOIN v_cases USING (case_id))"""
+
+
+@query(
+    "case_results",
+    over_history("").rstrip()
+    + f""", {RUNS_SQL}, {CASES_SQL} SELECT case_id, run, known_case, CASE WHEN length({strip_sql("output")}) < lc THEN 'emptyFinalPrompt'
+    WHEN regexp_matches(output, {q(fixed.PLACEHOLDER_MARK)}) THEN 'unfilledPlaceholders' WHEN {has("lower(output)", fixed.CHATTY_TERMS)} THEN 'chattyOutput'
+    WHEN len(list_filter(banned, lambda b: contains(lower(output), lower(b)))) > 0 THEN 'bannedContent'
+    WHEN questions > lq THEN 'tooManyQuestions' WHEN confidence < lf THEN 'other' ELSE 'success' END AS category,
+    length(output) >= lc AND len(list_filter(wanted, lambda w: NOT contains(output, w))) = 0 AND len(list_filter(banned, lambda b: contains(output, b))) = 0 AS asserted
+    FROM v_met""",
+)
+def case_results(spark, folder):
+    return E.case_results(views.runs(spark, folder), cases(spark, folder)).select("case_id", "run", "known_case", "category", "asserted")
+
+
 BUCKET_SQL = """SELECT bucket, count(*) AS total, round(avg((category = 'success')::INT), 6) AS valid_rate,
   round(avg(copyable::INT), 6) AS copyable_rate, round(avg(reviewable::INT), 6) AS review_rate
   FROM (SELECT * FROM v_judged UNION ALL SELECT * REPLACE ('all' AS bucket) FROM v_judged) GROUP BY bucket"""
