@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "quillspark", master: str | None = None, **conf: object) -> SparkSession:
@@ -27,7 +30,26 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: ob
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors, once per application, wherever the driver imported it from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quillspark-package-"), "quillspark.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("quillspark", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
