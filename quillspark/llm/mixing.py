@@ -1,6 +1,6 @@
 """Language-model scores by logistic context mixing over hashed-context bit predictors.
 
-Texts are read as bytes, a byte as eight bits. For each order 1 to 4 a predictor counts zeros and ones
+Texts are read as bytes, a byte as eight bits. For each order 1 to 5 a predictor counts zeros and ones
 in a slot that hashes the last bytes and the bits of the byte so far; its input is the log odds of its
 counts. Inputs are combined with weights that a gate selects (the longest context seen and the bit's
 place), the weights are learned online, and an adaptive map over gate and probability refines the result.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quillspark.llm.common import mix, query, slices, table, word_hashes
 from quillspark.llm.scratch import Scratch
 
-ORDERS = 4
+ORDERS = 5
 SLOTS = 1 << 22
 PRIOR = 0.4
 GATES = (ORDERS + 1) * 8
@@ -46,17 +46,18 @@ class Model:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte of every row and a closing zero byte, each with the four bytes before it, as one number; and row offsets."""
+    """Every byte of every row and a closing zero byte, each with the ORDERS bytes before it, as one number; and row offsets."""
     rows, sizes = len(offsets) - 1, np.diff(offsets)
     owner = np.repeat(np.arange(rows), sizes)
-    padded = np.zeros(len(data) + 5 * rows, dtype=np.uint64)
-    padded[np.arange(len(data)) + 5 * owner + 4] = data
+    width = ORDERS + 1  # zero bytes before a text, and the closing one
+    padded = np.zeros(len(data) + width * rows, dtype=np.uint64)
+    padded[np.arange(len(data)) + width * owner + ORDERS] = data
     key = padded.copy()
     for back in range(1, ORDERS + 1):
         key[back:] |= padded[:-back] << np.uint64(8 * back)
     keep = np.ones(len(padded), dtype=bool)
-    first = offsets[:-1] + 5 * np.arange(rows)
-    for k in range(4):
+    first = offsets[:-1] + width * np.arange(rows)
+    for k in range(ORDERS):
         keep[first + k] = False
     return key[keep], offsets + np.arange(rows + 1)
 

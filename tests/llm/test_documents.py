@@ -300,7 +300,7 @@ def test_mixing_probabilities_sum_to_one():
         np.random.default_rng(1).integers(0, 9, mixing.SLOTS).astype(np.float32),
         np.full((mixing.GATES, mixing.ORDERS + 1), 0.4), np.zeros((mixing.GATES, mixing.CELLS)),
     )
-    context = np.uint64(0x6162636400)
+    context = np.uint64(0x616263646500)
     p = 2.0 ** mixing.log2_byte(model, context | np.arange(256, dtype=np.uint64))
     assert p.sum() == pytest.approx(1.0, abs=1e-4)
     names, memo = np.zeros(mixing.MEMO, np.uint64), np.zeros(mixing.MEMO)
