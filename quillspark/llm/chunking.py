@@ -24,35 +24,33 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int, least: int, mos
     """Ends of all chunks of all rows of a slice; every row starts anew and ends with a chunk.
 
     A chunk ends where the top ``bits`` of the hash are 0, at ``least`` bytes or more, before a byte that
-    starts a character, and after ``most`` bytes at the latest (the next character start).
+    starts a character. Where that leaves more than ``most`` bytes, it ends at the least hash within them,
+    so that even periodic text, which may never hit, is cut by its content.
     """
     if not len(data):
         return np.zeros(0, np.int64)
     opens = np.ones(len(data) + 1, dtype=bool)
     opens[:-1] = (data & 0xC0) != 0x80
-    cuts = (np.flatnonzero((gear_hashes(data) >> np.uint32(32 - bits)) == 0) + 1)
+    hashes = gear_hashes(data)
+    cuts = np.flatnonzero((hashes >> np.uint32(32 - bits)) == 0) + 1
     cuts = cuts[opens[cuts]]
-    ends: list[int] = []
     points = cuts.tolist()
     bounds = np.searchsorted(cuts, offsets, side="right").tolist()
+    ends: list[int] = []
+
+    def forced(at: int) -> int:
+        window = np.where(opens[at + least : at + most + 1], hashes[at + least - 1 : at + most], np.uint32(0xFFFFFFFF))
+        return at + least + int(window.argmin())
+
     for row, (start, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        if start == stop:
-            continue
         at = start
-        for cut in points[bounds[row] : bounds[row + 1]]:
+        for cut in [*points[bounds[row] : bounds[row + 1]], stop]:
             while cut - at > most:
-                at += most
-                while not opens[at]:
-                    at += 1
+                at = forced(at)
                 ends.append(at)
             if cut - at >= least and cut < stop:
                 ends.append(cut)
                 at = cut
-        while stop - at > most:
-            at += most
-            while not opens[at]:
-                at += 1
-            ends.append(at)
         if at < stop:
             ends.append(stop)
     return np.array(ends, dtype=np.int64)

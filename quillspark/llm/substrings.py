@@ -21,7 +21,7 @@ from quillspark.llm.idfilter import build_filter, passes
 from quillspark.llm.scratch import Scratch
 
 BITS, LEAST, MOST = 5, 24, 192
-MIN_BYTES = 150
+MIN_BYTES = 120
 CHUNK = "digest long, check long, doc_id long, start long, length long, chars long, chars_before long"
 
 
