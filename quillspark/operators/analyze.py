@@ -38,19 +38,29 @@ def unpivot_metrics(scored: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return scored.unpivot(list(keep), METRICS, "metric", "value")
 
 
-def summarize(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, exact median, sample deviation and range of every metric."""
+def summarize(
+    scored: DataFrame, keys: Sequence[str] = (), since: Column | None = None, until: Column | None = None
+) -> DataFrame:
+    """Count, mean, exact median, sample deviation, range and time span of every metric.
+
+    ``since`` and ``until`` bound the time of the events, both included.
+    """
+    if since is not None:
+        scored = scored.filter(F.col("created_at") >= since)
+    if until is not None:
+        scored = scored.filter(F.col("created_at") <= until)
     # scores come from regular expressions over whole texts; they are computed once, not per pass
-    return _summary(materialise(scored.select(*keys, *METRICS)), keys)
+    return _summary(materialise(scored.select(*keys, "created_at", *METRICS)), keys)
 
 
 def _summary(slim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    long = unpivot_metrics(slim, keys)
+    long = unpivot_metrics(slim, [*keys, "created_at"])
     by = [*keys, "metric"]
     moments = long.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std_dev"),
         F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.min("created_at").alias("start_at"), F.max("created_at").alias("end_at"),
     )
     return moments.join(exact_quantiles(long, by, "value", {"median": ("median", 0.5)}), by)
 
@@ -75,9 +85,9 @@ def direction(rate: Column) -> Column:
 
 
 def trend_summary(scored: DataFrame) -> DataFrame:
-    """Statistics and direction of every metric."""
+    """Statistics, sample size, time span and direction of every metric."""
     slim = materialise(scored.select("id", "created_at", *METRICS))
-    return _summary(slim, ()).join(endpoint_slopes(slim), "metric")
+    return _summary(slim.drop("id"), ()).join(endpoint_slopes(slim), "metric")
 
 
 def recommendations(trends: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed
+from quillspark.functions.classify import coarse_intent
 from quillspark.functions.text import is_blank
 from quillspark.operators.ordered import with_position
 from quillspark.session import materialise
@@ -151,6 +152,16 @@ def with_share(counts: DataFrame, count: str = "n") -> DataFrame:
     return counts.withColumn("share", F.try_divide(F.col(count) * 100.0, total))
 
 
+def catalog_profile(catalog: DataFrame) -> DataFrame:
+    """Size of a catalog and its counts by coarse intent and by complexity (``unknown`` where none is given)."""
+    rows = F.array(
+        F.struct(F.lit("total").alias("dimension"), F.lit("all").alias("value")),
+        F.struct(F.lit("intent").alias("dimension"), coarse_intent(F.col("original_idea")).alias("value")),
+        F.struct(F.lit("complexity").alias("dimension"), F.coalesce("complexity", F.lit("unknown")).alias("value")),
+    )
+    return catalog.select(F.inline(rows)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
 def skip_rate_guard(df: DataFrame, good: Column, stop: bool = False) -> DataFrame:
     """Share of bad records and what it means: 5 % raises a flag, 20 % or no good record fails."""
     total = df.agg(

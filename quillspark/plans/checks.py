@@ -8,7 +8,7 @@ from quillspark import fixed
 from quillspark.functions import checks as C, classify as K, gates as G
 from quillspark.operators import analyze as A, normalize as N, validate as V
 from quillspark.plans.common import (
-    SPACE, WORD, count_terms, first_sql, has, over_history, pick_sql, py, q, query, re_any, rounded, strip_sql,
+    SPACE, WORD, count_terms, first_sql, has, lines_literal, over_history, pick_sql, py, q, query, re_any, rounded, strip_sql,
     sum_sql, words_sql,
 )
 from quillspark.sources import views
@@ -212,10 +212,25 @@ def prompt_warnings(spark, folder):
     return df.select("id", F.array_join("warnings", " | ").alias("warnings"))
 
 
-@query("autocorrected_prompts")
+def _autocorrected_sql() -> str:
+    """Role header, fence taken out or put in, then the warnings once more."""
+    rows = "string_split(t, chr(10))"
+    at = f"list_position(list_transform({rows}, lambda s: regexp_matches({strip_sql('s')}, '^(def |function |class )')), true)"
+    drop = f"f = 'no_markdown' AND contains({I}, '```')"
+    fence = f"f = 'markdown' AND NOT contains({I}, '```') AND {has(I, ['def ', 'function '])}"
+    header = f"CASE WHEN {has(f'lower({I})', ['role', 'task', 'you are'])} THEN {I} ELSE {lines_literal(fixed.ANSWER_ROLE_HEADER)} || {I} END"
+    return over_history("").rstrip() + f""", {CONSTRAINT_SQL},
+      a AS (SELECT *, {header} AS t, {drop} AS dropped, {fence} AS fenced FROM (SELECT *, {pick_sql('(turn % 4)', FORMATS)} AS f FROM v_prompts)),
+      b AS (SELECT *, CASE WHEN fenced THEN coalesce({at}, 0) ELSE 0 END AS p FROM a),
+      c AS (SELECT * REPLACE (CASE WHEN dropped THEN replace(replace(t, '```', ''), '`', '"') WHEN p > 0
+        THEN array_to_string({rows}[1:p - 1] || ['```python'] || {rows}[p:] || ['```'], chr(10)) ELSE t END AS improved_prompt) FROM b)
+    SELECT id, improved_prompt AS template, w = '' AS passed, w AS warnings FROM (SELECT *, {_warnings_sql()} AS w FROM c)"""
+
+
+@query("autocorrected_prompts", _autocorrected_sql())
 def autocorrected_prompts(spark, folder):
     df = V.autocorrect(prompts(spark, folder, views.pick(F.col("turn") % 4, FORMATS)))
-    return df.select("id", F.length("template").alias("length"), "passed", F.array_join("warnings", " | ").alias("warnings"))
+    return df.select("id", "template", "passed", F.array_join("warnings", " | ").alias("warnings"))
 
 
 @query(

@@ -197,7 +197,7 @@ LONG_SQL = (
     over_scored(
         f"""SELECT metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
         round(coalesce(stddev_samp(value), 0), 6) AS std_dev, round(min(value), 6) AS min_value,
-        round(max(value), 6) AS max_value FROM ({LONG_SQL}) GROUP BY metric"""
+        round(max(value), 6) AS max_value, min(created_at) AS start_at, max(created_at) AS end_at FROM ({LONG_SQL}) GROUP BY metric"""
     ),
 )
 def metrics_summarize(spark, folder):
@@ -209,7 +209,7 @@ def metrics_summarize(spark, folder):
     over_scored(
         f"""SELECT provider, metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
         round(coalesce(stddev_samp(value), 0), 6) AS std_dev, round(min(value), 6) AS min_value,
-        round(max(value), 6) AS max_value FROM ({LONG_SQL}) GROUP BY provider, metric"""
+        round(max(value), 6) AS max_value, min(created_at) AS start_at, max(created_at) AS end_at FROM ({LONG_SQL}) GROUP BY provider, metric"""
     ),
 )
 def metrics_summarize_by_provider(spark, folder):
@@ -218,6 +218,20 @@ def metrics_summarize_by_provider(spark, folder):
     )
 
 
+@query(
+    "metrics_summarize_range",
+    over_scored(
+        f"""SELECT metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(coalesce(stddev_samp(value), 0), 6) AS std_dev,
+        round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, min(created_at) AS start_at, max(created_at) AS end_at
+        FROM ({LONG_SQL}) WHERE created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-06' GROUP BY metric"""
+    ),
+)
+def metrics_summarize_range(spark, folder):
+    day = lambda text: F.lit(text).cast("timestamp")
+    found = A.summarize(scored(spark, folder), since=day("2024-01-02"), until=day("2024-01-06"))
+    return rounded(found, "mean", "median", "std_dev", "min_value", "max_value")
+
+
 SLOPE_SQL = f"""
 v_long AS ({LONG_SQL}),
 v_newest AS (SELECT * FROM v_long WHERE id IN (SELECT id FROM v_scored ORDER BY created_at DESC, id DESC LIMIT 10)),
@@ -237,7 +251,7 @@ def over_trend(select: str) -> str:
     over_trend(
         f"""SELECT l.metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
         round(coalesce(stddev_samp(value), 0), 6) AS std_dev, round(min(value), 6) AS min_value,
-        round(max(value), 6) AS max_value, round(any_value(change_rate), 6) AS change_rate, any_value({TREND_SQL}) AS trend
+        round(max(value), 6) AS max_value, min(created_at) AS start_at, max(created_at) AS end_at, round(any_value(change_rate), 6) AS change_rate, any_value({TREND_SQL}) AS trend
         FROM v_long l JOIN v_slope s ON l.metric = s.metric GROUP BY l.metric"""
     ),
 )

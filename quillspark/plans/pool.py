@@ -172,13 +172,29 @@ def framework_families(spark, folder):
     return rounded(P.with_share(df), "share")
 
 
+COMPLEXITY_BY_DOC = ["simple", "moderate", "complex"]
+
+
 @query(
     "catalog_profile",
-    f"""WITH {POOL_SQL} SELECT {first_sql("lower(original_idea)", [("explain", ["explain"]), ("create/implement", ["create", "implement"])], "other")} AS intent,
-    count(*) AS n FROM v_pool GROUP BY ALL""",
+    f"""WITH {POOL_SQL}, r AS (SELECT CASE WHEN pos % 4 < 3 THEN {pick_sql("(pos % 4)", COMPLEXITY_BY_DOC)} ELSE 'unknown' END AS complexity,
+      {first_sql("lower(original_idea)", [("explain", ["explain"]), ("create/implement", ["create", "implement"])], "other")} AS intent FROM v_marked)
+    SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM r UNION ALL SELECT 'intent', intent, count(*) FROM r GROUP BY intent
+    UNION ALL SELECT 'complexity', complexity, count(*) FROM r GROUP BY complexity""".replace(
+        ", r AS", ", v_marked AS (SELECT pos, CASE pos % 5 WHEN 0 THEN 'Explain: ' WHEN 1 THEN 'implement ' ELSE '' END || original_idea AS original_idea FROM v_pool), r AS"
+    ),
 )
 def catalog_profile(spark, folder):
-    return views.pool(spark, folder).groupBy(K.coarse_intent(F.col("original_idea")).alias("intent")).agg(F.count("*").alias("n"))
+    """Every fifth idea asks to explain, the next to implement; every fourth has no complexity."""
+    pos = F.col("pos")
+    mark = F.when(pos % 5 == 0, "Explain: ").when(pos % 5 == 1, "implement ").otherwise("")
+    marked = views.pool(spark, folder).withColumns(
+        {
+            "original_idea": F.concat(mark, F.col("original_idea")),
+            "complexity": F.when(pos % 4 < 3, views.pick(pos % 4, COMPLEXITY_BY_DOC)),
+        }
+    )
+    return P.catalog_profile(marked)
 
 
 @query(

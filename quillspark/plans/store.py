@@ -123,6 +123,16 @@ def latest_per_key(spark, folder):
     return S.latest_per_key(events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
 
 
+@query(
+    "idle_sessions",
+    """SELECT user_id AS conv_id, max(ts) AS last_activity FROM events GROUP BY user_id
+    HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
+)
+def idle_sessions(spark, folder):
+    turns = views.table(spark, folder, "events").select(F.col("user_id").alias("conv_id"), "ts")
+    return S.idle_sessions(turns, turns.agg(F.max("ts").alias("t")).scalar(), hours=24)
+
+
 @query(
     "failure_streaks",
     """SELECT user_id, count(*) AS length, min(ts) AS started_at, max(ts) AS last_at, max(ts) FILTER (k = 3) AS opened_at, max(ts) FILTER (k = 3) + INTERVAL 300 SECOND AS open_until FROM (
