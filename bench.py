@@ -24,7 +24,7 @@ HEADLINE = [
 
 def main() -> None:
     from quillspark.plans.registry import QUERIES
-    from quillspark.session import build_session
+    from quillspark.session import build_session, scratch
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,7 +41,8 @@ def main() -> None:
         best = None
         for _ in range(repeat):
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            with scratch(spark):
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)

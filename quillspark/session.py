@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "quillspark", master: str | None = None, **conf: object) -> SparkSession:
@@ -69,12 +72,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[app]
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def note_written(path: str) -> None:
+    """Lists a folder that the innermost open ``scratch`` will delete."""
+    _WRITTEN.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what jobs inside have written below the shared folder, results once they are used included."""
+    start = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[start:]:
+            delete_folder(spark, path)
+        del _WRITTEN[start:]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back, which cuts its lineage.
 
-    A written table is computed once and keeps column pruning for every later reader.
+    A written table is computed once and keeps column pruning for every later reader. It stays until
+    the ``scratch`` around it ends, or the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quillspark/{uuid.uuid4().hex}"
+    note_written(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,9 @@ TABLES = (
 ).split()
 
 
+from quillspark.session import scratch  # noqa: E402
+
+
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -49,7 +52,8 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
 
 
 def compare(spark, con, name, fn, sql, folder) -> tuple[bool, str]:
-    got = fn(spark, folder).toPandas()
+    with scratch(spark):
+        got = fn(spark, folder).toPandas()
     if sql is None:
         return True, f"{len(got)} rows, no SQL"
     want = con.execute(sql).df()

@@ -36,3 +36,16 @@ def test_every_oracle_has_its_query():
 def test_scan_reads_only_what_is_needed(spark):
     plan = QUERIES["keep_newest"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "value" not in plan.split("ReadSchema")[1]
+
+
+def test_written_tables_go_with_their_scope(spark):
+    import os
+
+    from quillspark.session import scratch, shared_folder
+
+    root = f"{shared_folder(spark)}/quillspark"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with scratch(spark):
+        assert QUERIES["trend_summary"](spark, SMALL).count() == 4
+        assert set(os.listdir(root)) > before
+    assert set(os.listdir(root)) == before
