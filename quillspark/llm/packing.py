@@ -27,8 +27,7 @@ from quillspark.llm.common import buffers, query, table
 WINDOW = 4096
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
-GROUP = 1024  # texts looked up together
+CACHE_WORDS = 700_000
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # letters that stay as they are when composed or lowered
 TAIL = b".,;:!?%$#*&)"
 SCHEMA = (
@@ -85,13 +84,14 @@ def near_equal_windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, in
         windows = max(windows + 1, int(windows * (1 + (most - capacity) / capacity / 2)))
 
 
-class WordIds:
-    """Token ids of texts, one word at a time: no token spans ASCII white space in these vocabularies.
+class WordIds(dict):
+    """Little-endian unsigned 32-bit ids by word: no token spans ASCII white space in these vocabularies.
 
-    Ids of words are kept in two generations, so memory stays bounded.
+    Words are worked out when first met and kept in two generations, so memory stays bounded.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,47 +100,33 @@ class WordIds:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = iter(range(256, 512))
         self.chars = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-        self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        """Ids of new words; one of lower-case letters is one unit of the vocabulary's merges."""
-        merge, chars = self.tokenizer.model.tokenize, self.chars
-        for word in words:
-            if LETTERS.fullmatch(word):
-                text = word.decode() if word.isascii() else "".join([chars[b] for b in word])
-                ids = [token.id for token in merge(text)]
+    def __missing__(self, word: bytes) -> bytes:
+        raw = self.old.get(word)
+        if raw is None:
+            # a letter followed by punctuation ends a token, so a word's tail is looked up on its own
+            stem = word.rstrip(TAIL)
+            if stem and len(stem) < len(word) and 97 <= stem[-1] <= 122 and b"<|" not in word:
+                raw = self[stem] + self[word[len(stem) :]]
+            elif LETTERS.fullmatch(word):  # one unit of the vocabulary's merges
+                text = word.decode() if word.isascii() else "".join([self.chars[b] for b in word])
+                raw = packed([token.id for token in self.tokenizer.model.tokenize(text)])
             else:
-                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self.young[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text.
-
-        The vocabulary is lower case, so ASCII letters are lowered first, and a letter followed by
-        punctuation ends a token, so a word's tail is looked up on its own.
-        """
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        missing = set().union(*split).difference(self.young) if split else set()
-        again = {w for w in missing if w in self.old}
-        self.young.update((w, self.old[w]) for w in again)
-        parts = {w: self.parts(w) for w in missing - again}
-        unknown = {p for pair in parts.values() for p in pair}.difference(self.young)
-        again = {w for w in unknown if w in self.old}
-        self.young.update((w, self.old[w]) for w in again)
-        self.learn(sorted(unknown - again))
-        look = self.young.__getitem__
-        self.young.update([(w, b"".join(map(look, pair))) for w, pair in parts.items() if len(pair) > 1])
-        return [b"".join(map(look, words)) for words in split]
-
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        stem = word.rstrip(TAIL)
-        if len(stem) in (0, len(word)) or not 97 <= stem[-1] <= 122 or b"<|" in word:
-            return (word,)
-        return stem, word[len(stem) :]
+                raw = packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        self[word] = raw
+        return raw
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text. The vocabulary is lower case, so ASCII letters are lowered first."""
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -204,14 +190,13 @@ def pack(
             data, offsets = buffers(batch.column(1))
             whole = data.tobytes()
             ids, bounds = batch.column(0).to_pylist(), offsets.tolist()
-            for first in range(0, len(ids), GROUP):
-                few = range(first, min(first + GROUP, len(ids)))
-                for row, raw in zip(few, encoder.encode([whole[bounds[i] : bounds[i + 1]] for i in few])):
-                    names.append(ids[row])
-                    held.append(raw + end)
-                    tokens += len(raw) // 4 + 1
-                    if tokens >= block_tokens:
-                        yield flush()
+            for name, start, stop in zip(ids, bounds, bounds[1:]):
+                raw = encoder.encode(whole[start:stop])
+                names.append(name)
+                held.append(raw + end)
+                tokens += len(raw) // 4 + 1
+                if tokens >= block_tokens:
+                    yield flush()
         if names:
             yield flush()
 
