@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.operators.ordered import neighbour, running, with_position
+from quillspark.operators.ordered import running, with_position
+from quillspark.session import materialise
 
 TURN_BUCKET = 1024
 
@@ -104,15 +105,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def failure_streaks(
     events: DataFrame, key: str, time: str, tie: str, failed: Column, least: int = 5, cooldown: int = 300
 ) -> DataFrame:
-    """Runs of failures without a success between them that open the breaker.
+    """Runs of failures without a success between them that open the breaker, with their first opening.
 
     Ordered by a range sort over (key, time, tie), so a key with a third of all events is many tasks.
     """
-    slim = events.select(key, F.col(time).alias("ts"), F.col(tie).alias("tie"), failed.cast("int").alias("failed"))
-    placed = with_position(slim, [F.col(key), F.col("ts"), F.col("tie")], "pos", "bucket")
-    marked = running(placed, [key], ["pos"], {"island": 1 - F.col("failed")}, "bucket")
-    failures = marked.filter("failed = 1")
-    numbered = running(failures, [key, "island"], ["pos"], {"number": F.lit(1)}, "bucket")
+    numbered = _numbered_failures(events, key, time, tie, failed)
     return numbered.groupBy(key, "island").agg(
         F.count("*").alias("length"), F.min("ts").alias("started_at"), F.max("ts").alias("last_at"),
         F.max(F.when(F.col("number") == least, F.col("ts"))).alias("opened_at"),
@@ -121,6 +118,49 @@ def failure_streaks(
     ).drop("island")
 
 
+def _numbered_failures(events: DataFrame, key: str, time: str, tie: str, failed: Column) -> DataFrame:
+    """Failures with their run (``island``) and their 1-based number in it."""
+    slim = events.select(key, F.col(time).alias("ts"), F.col(tie).alias("tie"), failed.cast("int").alias("failed"))
+    placed = with_position(slim, [F.col(key), F.col("ts"), F.col("tie")], "pos", "bucket")
+    marked = running(placed, [key], ["pos"], {"island": 1 - F.col("failed")}, "bucket")
+    return running(marked.filter("failed = 1"), [key, "island"], ["pos"], {"number": F.lit(1)}, "bucket")
+
+
+def failure_openings(
+    events: DataFrame, key: str, time: str, tie: str, failed: Column, least: int = 5, cooldown: int = 300
+) -> DataFrame:
+    """Every opening of the breaker: ``key, opened_at, open_until``.
+
+    Attempts are refused while it is open, so failures before ``open_until`` do not count and counting
+    starts over with the first one after it; a success starts over too. Each failure knows where
+    counting would go on if it started there; the starts that really occur are found by doubling those
+    jumps, in as many rounds as the logarithm of a run's openings.
+    """
+    by = [key, "island"]
+    numbered = _numbered_failures(events, key, time, tie, failed)
+    fails = materialise(numbered.select(*by, (F.col("number") - 1).alias("at"), "ts"))
+    opening = fails.filter(F.col("at") >= least - 1).select(
+        *by, (F.col("at") - (least - 1)).alias("at"), F.col("ts").alias("opened_at"),
+        (F.col("ts") + F.make_dt_interval(secs=F.lit(cooldown))).alias("open_until"),
+    )
+    # counting goes on at the first failure that is not before the end: as many come before it
+    mixed = fails.select(*by, "ts", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("at")).unionByName(
+        opening.select(*by, F.col("open_until").alias("ts"), F.lit(0).alias("kind"), "at")
+    )
+    placed = with_position(mixed, [*map(F.col, by), F.col("ts"), F.col("kind"), F.col("at")], "place", "bucket")
+    counted = running(placed, by, ["place"], {"before": F.col("kind")}, "bucket").filter("kind = 0")
+    jumps = materialise(counted.select(*by, "at", F.col("before").alias("to")))
+    reached = materialise(jumps.filter("at = 0").select(*by, "at"))
+    known, size = jumps.select(*by, "at"), -1
+    while (grown := reached.count()) != size:
+        size = grown
+        further = reached.join(jumps, [*by, "at"]).select(*by, F.col("to").alias("at")).join(known, [*by, "at"], "left_semi")
+        reached = materialise(reached.union(further).distinct())
+        ahead = jumps.select(*by, F.col("at").alias("to"), F.col("to").alias("next"))
+        jumps = materialise(jumps.join(ahead, [*by, "to"]).select(*by, "at", F.col("next").alias("to")))
+    return reached.join(opening, [*by, "at"]).select(key, "opened_at", "open_until")
+
+
 def fold_cache(accesses: DataFrame) -> DataFrame:
     """Cache state from an access log with ``cache_key, ts, event_id, op``.
 

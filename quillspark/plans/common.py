@@ -94,6 +94,19 @@ def pick_sql(index: str, options) -> str:
     return "CASE " + index + " " + " ".join(f"WHEN {i} THEN {q(o)}" for i, o in enumerate(options)) + " END"
 
 
+def openings_sql(least: int, cooldown: int) -> str:
+    """State of a breaker failure by failure: count, end of the opening, and whether it opens here."""
+    opens = f"(until IS NULL OR t.ts >= until) AND (CASE WHEN until IS NULL THEN cnt ELSE 0 END) + 1 = {least}"
+    return f"""WITH RECURSIVE i AS (SELECT user_id, ts, event_id, event_type, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+      t AS (SELECT user_id, island, ts, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS n FROM i WHERE event_type = 'error'),
+      s(user_id, island, n, ts, cnt, until, opens) AS (
+        SELECT user_id, island, n, ts, 1, CASE WHEN {least} = 1 THEN ts + INTERVAL {cooldown} SECOND END, {least} = 1 FROM t WHERE n = 1
+        UNION ALL SELECT t.user_id, t.island, t.n, t.ts,
+          CASE WHEN until IS NOT NULL AND t.ts < until THEN cnt WHEN until IS NULL THEN cnt + 1 ELSE 1 END,
+          CASE WHEN until IS NOT NULL AND t.ts < until THEN until WHEN {opens} THEN t.ts + INTERVAL {cooldown} SECOND END, {opens}
+        FROM s JOIN t ON t.user_id = s.user_id AND t.island = s.island AND t.n = s.n + 1)"""
+
+
 def lines_literal(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark import fixed
 from quillspark.functions import extract as X
 from quillspark.operators import gating, normalize as N, recover, sessions as S, store as T
-from quillspark.plans.common import SPACE, count_terms, has, over_history, pick_sql, py, q, query, re_any, rounded, strip_sql, words_sql
+from quillspark.plans.common import SPACE, count_terms, has, openings_sql, over_history, pick_sql, py, q, query, re_any, rounded, strip_sql, words_sql
 from quillspark.sources import views
 
 
@@ -145,6 +145,15 @@ def failure_streaks(spark, folder):
     return S.failure_streaks(events, "user_id", "ts", "event_id", F.col("event_type") == "error", least=3)
 
 
+@query(
+    "failure_openings",
+    openings_sql(2, 600) + "SELECT user_id, ts AS opened_at, until AS open_until FROM s WHERE opens",
+)
+def failure_openings(spark, folder):
+    events = views.table(spark, folder, "events")
+    return S.failure_openings(events, "user_id", "ts", "event_id", F.col("event_type") == "error", least=2, cooldown=600)
+
+
 CACHE_SQL = """v_log AS (SELECT sha256(user_id || '|' || event_type) AS cache_key, event_id AS prompt_id, ts, event_id,
     CASE WHEN event_id % 997 = 500 THEN 'delete' WHEN event_id % 5 = 0 THEN 'put' ELSE 'get' END AS op FROM events),
   v_gone AS (SELECT cache_key, max((ts, event_id)) AS gone FROM v_log WHERE op = 'delete' GROUP BY cache_key),

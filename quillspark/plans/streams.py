@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import gates as G
-from quillspark.plans.common import COHERENCE_SQL, HISTORY_SQL, CLARITY_SQL, QUALITY_SQL, query, rounded
+from quillspark.plans.common import COHERENCE_SQL, HISTORY_SQL, CLARITY_SQL, QUALITY_SQL, openings_sql, query, rounded
 from quillspark.plans.gates import filler_sql
 from quillspark.functions import scores as S
 from quillspark.streaming import jobs as J
@@ -90,14 +90,11 @@ def stream_sessions(spark, folder):
 
 @query(
     "stream_streaks",
-    """SELECT user_id AS key, ts AS opened_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS k FROM (
-      SELECT user_id, ts, event_id, event_type, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)
-    WHERE event_type = 'error') WHERE k = 4""",
+    openings_sql(2, 600) + "SELECT user_id AS key, ts AS opened_at FROM s WHERE opens",
 )
 def stream_streaks(spark, folder):
     events = J.events_stream(spark, folder, "events")
-    alarms = J.streak_alarms(events, "user_id", "ts", "event_id", F.col("event_type") == "error", least=4, cooldown=30)
+    alarms = J.streak_alarms(events, "user_id", "ts", "event_id", F.col("event_type") == "error", least=2, cooldown=600)
     return J.drain(alarms, stateful_python=True).select("key", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"))
 
 

@@ -90,7 +90,10 @@ def activity_sessions(events: DataFrame, key: str, time: str, gap: str = "24 hou
 
 
 class StreakProcessor(StatefulProcessor):
-    """Consecutive failures of a key; opens at ``least`` and starts over after the cool-down."""
+    """Consecutive failures of a key; opens at ``least`` and starts over after the cool-down.
+
+    Failures while it is open do not count, as attempts are refused then.
+    """
 
     def __init__(self, least: int, cooldown: int) -> None:
         self.least, self.cooldown = least, cooldown
@@ -109,10 +112,11 @@ class StreakProcessor(StatefulProcessor):
             if not failed:
                 count, until = 0, 0.0
                 continue
+            if until:  # refused while open, so no attempt
+                continue
             count += 1
-            if count >= self.least:
-                if count == self.least:
-                    alarms.append((key[0], ts, ts + pd.Timedelta(seconds=self.cooldown)))
+            if count == self.least:
+                alarms.append((key[0], ts, ts + pd.Timedelta(seconds=self.cooldown)))
                 until = now + self.cooldown
         self.state.update((count, until))
         yield pd.DataFrame(alarms, columns=["key", "opened_at", "open_until"])

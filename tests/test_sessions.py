@@ -53,6 +53,18 @@ def test_failure_streaks(spark):
     assert got == [(5, start + dt.timedelta(seconds=4)), (6, start + dt.timedelta(seconds=15))]
 
 
+def test_breaker_opens_again_after_the_cool_down(spark):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    rows = [(1, i, at(100 * i), 1) for i in range(20)] + [(2, i, at(i), int(i != 3)) for i in range(9)] + [(3, 0, at(0), 1)]
+    df = spark.createDataFrame(rows, "k long, i long, ts timestamp, f int")
+    got = S.failure_openings(df, "k", "ts", "i", F.col("f") == 1).collect()
+    assert sorted((r.k, r.opened_at, r.open_until) for r in got) == [
+        (1, at(400), at(700)), (1, at(1100), at(1400)), (1, at(1800), at(2100)), (2, at(8), at(308)),
+    ]
+    assert S.failure_openings(df.filter("false"), "k", "ts", "i", F.col("f") == 1).count() == 0
+
+
 def test_fold_cache(spark):
     start = dt.datetime(2024, 1, 1)
     log = [("a", "put"), ("a", "get"), ("b", "put"), ("a", "delete"), ("a", "get"), ("a", "put"), ("b", "touch"), ("c", "get")]
