@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontaminate, jaccard, packing, pii, toxicity
 from quillspark.llm.common import table
-from quillspark.session import shared_folder
+from quillspark.session import note_written, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage keeps is written to the shared folder and read by the next."""
     root = f"{shared_folder(spark).rstrip('/')}/quillspark-llm/pipeline-{uuid.uuid4().hex}"
+    note_written(root)
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{root}/{number}-{name}"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.session import shared_folder
+from quillspark.session import delete_folder, note_written, shared_folder
 
 
 class Scratch:
@@ -23,7 +23,7 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         for path in list(self.paths.values()):
-            self._delete(path)
+            delete_folder(self.spark, path)
 
     def write(self, df: DataFrame, keep: bool = False) -> DataFrame:
         """``df``, computed once. A kept table outlives the context: a result that is still to be read."""
@@ -31,7 +31,9 @@ class Scratch:
         self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        if not keep:
+        if keep:
+            note_written(path)
+        else:
             self.paths[id(out)] = path
             out._scratch = out  # keeps the id from being reused while the table is listed
         return out
@@ -40,8 +42,4 @@ class Scratch:
         for df in tables:
             path = self.paths.pop(id(df), None)
             if path:
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                delete_folder(self.spark, path)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import query, table
-from quillspark.session import shared_folder
+from quillspark.session import note_written, shared_folder
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -206,7 +206,11 @@ def write_archives(
                     frame = compressor.compress(record_bytes(page, url, payload, digest, refers, f"{name}:{place}"))
                     total += len(frame)
                     out.write(frame)
-            store.move(attempt, f"{root}/{name}")
+            # another attempt of this task has written the same bytes
+            if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                store.move(attempt, f"{root}/{name}")
+            else:
+                store.delete_file(attempt)
             done = pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([total], pa.int64())], names=["archive", "records", "bytes"]
             )
@@ -222,7 +226,9 @@ def write_archives(
         if held:
             yield flush()
 
-    return mark_revisits(pages, id_col, body_col, url_col).mapInArrow(run, "archive string, records long, bytes long")
+    # one order whatever the order of fetching, so that a task that runs again cuts the same archives
+    rows = mark_revisits(pages, id_col, body_col, url_col).sortWithinPartitions("page_id", "digest", "url")
+    return rows.mapInArrow(run, "archive string, records long, bytes long")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,6 +275,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Writes all pages to archives and reads them back."""
     root = f"{shared_folder(spark).rstrip('/')}/quillspark-llm/warc-{uuid.uuid4().hex}"
     root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    note_written(root)
     written = write_archives(table(spark, folder, "pages"), root)
     if written.agg(F.sum("records")).first()[0] is None:
         spark_rows = spark.createDataFrame([], RECORD)
