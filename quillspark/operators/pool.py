@@ -38,8 +38,11 @@ def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """First row per key in the given total order.
 
     Only key digests and order columns are shuffled to find the winners; the rows themselves are
-    then picked by a semi join on the order columns, which are unique.
+    then picked by a semi join on the order columns, which are unique. Rows read from several documents
+    are ordered by document first.
     """
+    if "source_path" in df.columns and "source_path" not in order:
+        order = [*order[:-1], "source_path", order[-1]]
     digest = F.xxhash64(key)
     # two independent digests, so that distinct keys do not merge
     winners = (

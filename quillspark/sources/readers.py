@@ -18,6 +18,7 @@ def read_wrapped(spark: SparkSession, path: str | list[str], item: T.StructType,
 
     Each document is parsed by both shapes; one that fits neither stops the job. A document is one
     cell, so large pools belong in many documents or in JSON lines, which the other readers take.
+    ``pos`` counts within a document; ``source_path`` and ``pos`` together are a place in all of them.
     """
     as_list = F.from_json("value", T.ArrayType(item))
     wrapped = F.from_json("value", T.StructType([T.StructField(key, T.ArrayType(item))]))[key]
@@ -26,8 +27,8 @@ def read_wrapped(spark: SparkSession, path: str | list[str], item: T.StructType,
     checked = F.when(items.isNull(), F.raise_error(F.lit(f"expected an array or an object with '{key}'"))).otherwise(items)
     return (
         spark.read.text(path, wholetext=True)
-        .select(F.posexplode(checked).alias("pos", "_r"))
-        .select(F.col("pos").cast("long").alias("pos"), "_r.*")
+        .select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(checked).alias("pos", "_r"))
+        .select("source_path", F.col("pos").cast("long").alias("pos"), "_r.*")
     )
 
 

@@ -156,3 +156,16 @@ def test_prices(spark):
     rows = [("Anthropic", "claude-sonnet-4-5-20250929"), ("anthropic", "other"), ("ollama", "x"), ("nobody", "gpt-4o")]
     got = M.with_prices(spark.createDataFrame(rows, "provider string, model string")).collect()
     assert {(r.provider, r.model): r.rate_in for r in got} == {rows[0]: 0.003, rows[1]: 0.0, rows[2]: 0.0, rows[3]: 0.0}
+
+
+def test_duplicates_across_documents_are_found(spark, tmp_path):
+    from quillspark.operators import pool as P
+
+    row = {"inputs": {"original_idea": "same", "context": ""}, "outputs": {"improved_prompt": "same"}}
+    other = {"inputs": {"original_idea": "other", "context": ""}, "outputs": {"improved_prompt": "other"}}
+    (tmp_path / "a.json").write_text(json.dumps([row, other]))
+    (tmp_path / "b.json").write_text(json.dumps([row]))
+    rows = R.read_examples(spark, str(tmp_path)).select("source_path", "pos", "inputs.original_idea", "inputs.context", "outputs.improved_prompt")
+    got = [(r.source_path[-6:], r.pos) for r in P.dedup_by_input(rows).collect()]
+    assert sorted(got) == [("a.json", 0), ("a.json", 1)]
+    assert P.dedup_by_io(rows, ("pos",)).count() == 2
