@@ -27,6 +27,7 @@ from quillspark.llm.common import buffers, query, table
 WINDOW = 4096
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
+BLOCK_TEXTS = 50_000
 CACHE_WORDS = 700_000
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # letters that stay as they are when composed or lowered
 TAIL = b".,;:!?%$#*&)"
@@ -195,7 +196,7 @@ def pack(
                 names.append(name)
                 held.append(raw + end)
                 tokens += len(raw) // 4 + 1
-                if tokens >= block_tokens:
+                if tokens >= block_tokens or len(names) >= BLOCK_TEXTS:
                     yield flush()
         if names:
             yield flush()
