@@ -25,13 +25,13 @@ FACTS = T.StructType(
 
 
 def _refuse(name: str) -> None:
-    """NaN and infinities are no JSON, though Python would take them."""
     raise ValueError(name)
 
 
-def parse_or_none(text: str) -> tuple[bool, object]:
+def parse_or_none(text: str, strict: bool = False) -> tuple[bool, object]:
+    """Whether the text is JSON, and its value; gates take NaN and infinities, recovery (``strict``) does not."""
     try:
-        return True, json.loads(text, parse_constant=_refuse)
+        return True, json.loads(text, parse_constant=_refuse) if strict else json.loads(text)
     except (ValueError, RecursionError):
         return False, None
 
@@ -76,15 +76,6 @@ def json_facts(text: Column) -> Column:
     return _json_facts(text)
 
 
-@F.pandas_udf(T.BooleanType())
-def _json_valid(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else parse_or_none(t)[0] for t in texts], dtype="object")
-
-
-def json_valid(text: Column) -> Column:
-    return _json_valid(text)
-
-
 def balanced_object(text: str | None) -> str | None:
     """The text from the first opening brace to its partner, braces in strings not counted."""
     if text is None:
@@ -101,6 +92,16 @@ def balanced_object(text: str | None) -> str | None:
     return None
 
 
+@F.pandas_udf(T.BooleanType())
+def _json_strict(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else parse_or_none(t, strict=True)[0] for t in texts], dtype="object")
+
+
+def json_strict(text: Column) -> Column:
+    """Validity as a browser's parser sees it."""
+    return _json_strict(text)
+
+
 @F.pandas_udf(T.StringType())
 def _balanced(texts: pd.Series) -> pd.Series:
     return pd.Series([balanced_object(t) for t in texts], dtype="object")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.jsonudf import first_json_object, json_valid
+from quillspark.functions.jsonudf import first_json_object, json_strict
 from quillspark.functions.text import first_match, strip
 
 
@@ -15,7 +15,7 @@ def recover_json(responses: DataFrame, raw: str, mode: str = "extract") -> DataF
     earlier ones left, the others pass null to the scanner.
     """
     text = F.col(raw)
-    direct = responses.withColumn("_valid", json_valid(text))
+    direct = responses.withColumn("_valid", json_strict(text))
     if mode == "strict":
         return direct.withColumns(
             {"json": F.when(F.col("_valid"), text), "method": F.lit(None).cast("string"), "ok": F.col("_valid")}
@@ -33,6 +33,6 @@ def recover_json(responses: DataFrame, raw: str, mode: str = "extract") -> DataF
     ).when(F.col("_scan").isNotNull(), "scan")
     candidate = F.coalesce(F.when(F.col("_valid"), text), "_fence", "_tag", "_scan")
     picked = found.withColumns({"json": candidate, "method": method})
-    return picked.withColumn("ok", F.coalesce(F.col("_valid") | json_valid(F.when(~F.col("_valid"), F.col("json"))), F.lit(False))).drop(
+    return picked.withColumn("ok", F.coalesce(F.col("_valid") | json_strict(F.when(~F.col("_valid"), F.col("json"))), F.lit(False))).drop(
         "_valid", "_fence", "_tag", "_scan"
     )

@@ -176,3 +176,13 @@ def test_repeated_words(spark):
     texts = ["word word word word", "word word word", "the the the the the", "Word wORD word x word"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(C.has_repeated_word(TX.words(F.col("t"))))
     assert [r[0] for r in df.collect()] == [True, False, False, True]
+
+
+def test_recovery_refuses_what_a_browser_refuses(spark):
+    from quillspark.operators.recover import recover_json
+
+    texts = ['{"a": NaN}', '{"a": 1}', 'x {"b": "}"} y', 'x {"c": "\\""', '```json\n{"d": {"e": 2}}\n```']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, raw string")
+    got = {r.id: (r.ok, r.method, r.json) for r in recover_json(rows, "raw").collect()}
+    assert got[0][0] is False and got[1] == (True, None, '{"a": 1}')
+    assert got[2] == (True, "scan", '{"b": "}"}') and got[3][0] is False and got[4] == (True, "fence", '{"d": {"e": 2}}')
