@@ -113,11 +113,11 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
         .join(sizes.select(F.col("group").alias("b"), F.col("size").alias("sb")), "b").filter("sa > 1 or sb > 1")
         .select(F.expr("if(sa <= sb, a, b)").alias("a"), F.expr("if(sa <= sb, b, a)").alias("b"))
     )
-    part = lambda side: live.select("doc_id", "n", "tokens").join(
-        first.join(apart.select(F.col(side).alias("group")).distinct(), "group"), "doc_id"
-    )
+    # sizes come in before members are dealt by document, so that chunks and not groups are dealt out
+    wanted = lambda side: apart.select(F.col(side).alias("group")).distinct().join(sizes, "group")
+    part = lambda side: live.select("doc_id", "n", "tokens").join(first.join(wanted(side), "group"), "doc_id")
     place = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / CHUNK))
-    chunks = part("b").join(sizes, "group").groupBy(F.col("group").alias("b"), place.alias("chunk")).agg(
+    chunks = part("b").groupBy(F.col("group").alias("b"), place.alias("chunk")).agg(
         F.collect_list(F.struct("doc_id", "n", "tokens")).alias("members")
     )
     queries = part("a").select(F.col("group").alias("a"), F.col("doc_id").alias("x"), "n", "tokens")

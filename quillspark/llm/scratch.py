@@ -9,19 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.session import delete_folder, note_written, shared_folder
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """Cuts lineage by writing tables; ``drop`` removes those given, leaving the context all but the kept ones."""
+    """Cuts lineage by writing tables; ``drop`` removes those given, leaving the context all but the kept ones.
+
+    Inside, Arrow batches hold at most ``batch_rows`` rows: texts and sets are long.
+    """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, batch_rows: int = 2000):
         self.spark = spark
+        self.batch_rows = batch_rows
         self.root = f"{shared_folder(spark).rstrip('/')}/quillspark-llm/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
 
     def __enter__(self) -> "Scratch":
+        self.before = self.spark.conf.get(BATCH_ROWS)
+        if not 0 < int(self.before) <= self.batch_rows:
+            self.spark.conf.set(BATCH_ROWS, self.batch_rows)
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(BATCH_ROWS, self.before)
         for path in list(self.paths.values()):
             delete_folder(self.spark, path)
 
