@@ -48,16 +48,14 @@ def bigram_counts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     if len(codes) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
     pairs = codes[:-1] << np.uint64(21) | codes[1:]  # code points have 21 bits
-    row = np.searchsorted(ends, np.arange(len(pairs)), side="right")
+    row = np.repeat(np.arange(len(low)), [len(text) for text in low])[:-1]
     inside = np.arange(1, len(codes)) < ends[np.minimum(row, len(ends) - 1)]
-    row, pairs = row[inside], pairs[inside]
-    order = np.argsort(pairs, kind="stable")
-    order = order[np.argsort(row[order], kind="stable")]
-    row, pairs = row[order], pairs[order]
-    first = np.ones(len(row), dtype=bool)
-    first[1:] = (row[1:] != row[:-1]) | (pairs[1:] != pairs[:-1])
-    at = np.flatnonzero(first)
-    return row[at], pairs[at], np.diff(np.append(at, len(row))).astype(float)
+    # rows of a slice fit above the 42 bits of a pair, so one sort of plain numbers counts all texts
+    keys = np.sort(row[inside].astype(np.uint64) << np.uint64(42) | pairs[inside])
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    found = keys[at]
+    row = (found >> np.uint64(42)).astype(np.int64)
+    return row, found & np.uint64((1 << 42) - 1), np.diff(np.append(at, len(keys))).astype(float)
 
 
 class RunningBest:
