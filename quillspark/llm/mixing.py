@@ -35,6 +35,7 @@ RATE = 0.15
 HEAD = 1 << 18  # most frequent tokens, whose counts every task holds; the others are joined
 END_TOKEN = int(mix(np.array([0x454E44], dtype=np.uint64)).view(np.int64)[0])
 MEMO = 1 << 20
+HELD = 1 << 21  # distinct keys a task adds up before it passes them on
 
 
 @dataclass
@@ -110,10 +111,26 @@ def log2_byte(model: Model, key: np.ndarray) -> np.ndarray:
     return total
 
 
+def _summed(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of a task with their counts, added up while no more than HELD distinct ones are at hand."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for keys in parts:
+        held.append(np.unique(keys, return_counts=True))
+        size += len(held[-1][0])
+        if size >= HELD:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size >= HELD // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _merged(held)
+
+
 def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [np.unique(contexts(data, offsets)[0], return_counts=True) for _, _, data, offsets in slices(batch.column(0))]
-        key, n = _merged(parts)
+    parts = (contexts(data, offsets)[0] for batch in batches for _, _, data, offsets in slices(batch.column(0)))
+    for key, n in _summed(parts):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
@@ -234,12 +251,18 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [np.unique(word_hashes(data, offsets)[0], return_counts=True) for _, _, data, offsets in slices(batch.column(0))]
-        key, n = _merged(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(key.view(np.int64), END_TOKEN)), pa.array(np.append(n, batch.num_rows))], names=["token", "n"]
-        )
+    texts = 0
+
+    def parts() -> Iterator[np.ndarray]:
+        nonlocal texts
+        for batch in batches:
+            texts += batch.num_rows
+            for _, _, data, offsets in slices(batch.column(0)):
+                yield word_hashes(data, offsets)[0]
+
+    for key, n in _summed(parts()):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["token", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([END_TOKEN], pa.int64()), pa.array([texts], pa.int64())], names=["token", "n"])
 
 
 SCORED = (
