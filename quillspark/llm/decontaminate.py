@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quillspark.llm.common import query, table
 
 # Places a seed reads; masks share one span.
-MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8))
+MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 4, 5, 6, 8))
 SPAN = 9
 MISMATCH = 2
 MIN_MATCHED = 12  # equal words an overlap needs, or
