@@ -32,7 +32,7 @@ EXCEPTIONS = (
     "trash can", "trash cans", "trash bin", "trash bag", "trash collection", "class clown", "clown fish", "circus clown",
     "rodeo clown", "pond scum", "soap scum", "sore loser", "idiot proof", "worthless check",
 )
-SEED_WEIGHT = 4.0
+SEED_WEIGHT = 3.0
 STEM_LENGTHS = range(4, 10)
 MOST_TERMS = 50_000  # candidate terms, by number of toxic documents
 SAMPLE_LABELS = 100_000  # labelled rows the lexicon and the calibration are fitted on
@@ -177,8 +177,8 @@ def learn(
 ) -> Lexicon:
     """A lexicon from the labelled rows whose crc32 remainder is not ``held``.
 
-    Terms must be surer than chance: log odds less ``SURENESS`` standard errors above 0. A longer stem
-    stays only if it is clearly stronger than the stem it begins with. Without labels the seed terms
+    Terms must be surer than chance: their weight is log odds less ``SURENESS`` standard errors. Seed
+    terms the labels do not speak of keep a fixed weight. Without labels the seed terms
     and a fixed calibration are used.
     """
     sample = labelled(docs, labels, label, modulus, held, most_labels)
@@ -202,22 +202,36 @@ def learn(
 
 
 def chosen_terms(in_toxic: dict[str, int], in_clean: dict[str, int], toxic: int, clean: int) -> dict[str, float]:
-    weights = {}
+    """Terms with the lower bound of their log odds as weight, so that chance finds weigh next to nothing.
+
+    A stem gives way to a longer term that accounts for nearly all of its documents; other longer
+    terms stay only if they are clearly stronger than a stem they begin with.
+    """
+    weights, largest = {}, Counter()
     for term, k in in_toxic.items():
         m = in_clean.get(term, 0)
         odds = math.log((k + 0.5) / (toxic + 1) * (clean + 1) / (m + 0.5))
         error = math.sqrt(1 / (k + 0.5) - 1 / (toxic + 1) + 1 / (m + 0.5) - 1 / (clean + 1))
         if odds - SURENESS * error > 0:
-            weights[term] = odds
+            weights[term] = odds - SURENESS * error
+            for stem in stems(term):
+                largest[stem] = max(largest[stem], k)
     kept: dict[str, float] = {}
     for term in sorted(weights, key=lambda t: (len(t.rstrip("*")), t)):
-        bare = term.rstrip("*")
-        shorter = [kept[bare[:n] + "*"] for n in STEM_LENGTHS if n < len(bare) and bare[:n] + "*" in kept]
-        if not shorter or weights[term] > max(shorter) + 0.5:
+        if largest[term] >= 0.9 * in_toxic[term]:
+            continue
+        shorter = [kept[stem] for stem in stems(term) if stem in kept]
+        if not shorter or weights[term] > max(shorter) + 0.3:
             kept[term] = weights[term]
     return kept
 
 
+def stems(term: str) -> list[str]:
+    """Shorter stems a term begins with."""
+    bare = term.rstrip("*")
+    return [bare[:n] + "*" for n in STEM_LENGTHS if n < len(bare)]
+
+
 def _calibrated(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
     """Power, slope and offset by regularised logistic regression on counted (sum, length) cells."""
 
