@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_TEXTS = 2000
+
+
+def for_long_texts(fn):
+    """``fn(spark, ...)`` with Arrow batches of at most BATCH_TEXTS rows from then on in the session.
+
+    Texts are long, and the JVM and the Python worker both hold whole batches.
+    """
+
+    @wraps(fn)
+    def run(spark, *args):
+        if not 0 < int(spark.conf.get(BATCH_ROWS)) <= BATCH_TEXTS:
+            spark.conf.set(BATCH_ROWS, BATCH_TEXTS)
+        return fn(spark, *args)
+
+    return run
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
+        fn = for_long_texts(fn)
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql

@@ -28,7 +28,7 @@ WINDOW = 4096
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
 BLOCK_TEXTS = 50_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # letters that stay as they are when composed or lowered
 TAIL = b".,;:!?%$#*&)"
 SCHEMA = (

@@ -6,19 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.common import BATCH_ROWS, BATCH_TEXTS
 from quillspark.session import delete_folder, note_written, shared_folder
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 class Scratch:
     """Cuts lineage by writing tables; ``drop`` removes those given, leaving the context all but the kept ones.
 
     Inside, Arrow batches hold at most ``batch_rows`` rows: texts and sets are long.
     """
 
-    def __init__(self, spark: SparkSession, batch_rows: int = 2000):
+    def __init__(self, spark: SparkSession, batch_rows: int = BATCH_TEXTS):
         self.spark = spark
         self.batch_rows = batch_rows
         self.root = f"{shared_folder(spark).rstrip('/')}/quillspark-llm/{uuid.uuid4().hex}"
