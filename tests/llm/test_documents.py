@@ -318,6 +318,41 @@ def test_mixing_learns_what_repeats(spark):
     assert got[9]["bits_per_byte"] < 1.0 < got[10]["bits_per_byte"]
 
 
+@pytest.mark.parametrize("kept", [0, mixing.KEPT])
+def test_mixing_counts_are_exact(spark, monkeypatch, kept):
+    """Orders 1 to 5 see what plain counting sees, however many contexts there are, held by tasks or joined."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcé"), size=rng.integers(0, 60))) for _ in range(60)]
+    raw = [b"\0" * mixing.ORDERS + t.encode() + b"\0" for t in texts]
+    keys = [[int.from_bytes(r[i - mixing.ORDERS : i + 1], "big") for i in range(mixing.ORDERS, len(r))] for r in raw]
+    counts = Counter(k for i in range(40) for k in keys[i])
+    every = sorted({k for ks in keys for k in ks})
+    counted = spark.createDataFrame([(k, counts[k], 1) for k in every], "key long, n long, uses long")
+    checked = 0
+    for r in mixing.families(counted).collect():
+        family = np.zeros(len(r["key"]), np.int64)
+        after, after_n = np.array(r["after"] or [], np.int64), np.array(r["after_n"] or [], np.int64)
+        got = mixing.deeper_counts(np.array(r["key"], np.uint64), np.array(r["n"]), family, after, after_n, np.zeros(len(after), np.int64))
+        for at, key in enumerate(r["key"]):
+            for order in range(2, mixing.ORDERS + 1):
+                for bit in range(8):
+                    same = lambda k, left: (k & ((1 << (8 * order + 8)) - 1)) >> left
+                    like = [k for k in counts if same(k, 8 - bit) == same(key, 8 - bit)]
+                    ones = sum(counts[k] for k in like if k >> (7 - bit) & 1)
+                    assert got[order - 2, bit, :, at].tolist() == [sum(counts[k] for k in like) - ones, ones]
+            checked += 1
+        if checked > 40:
+            break
+    monkeypatch.setattr(mixing, "KEPT", kept or 1)
+    out = by_id(mixing.scores(docs_of(spark, texts).repartition(1), F.col("doc_id") < 40))
+    assert len(out) == 60 and all(r["score"] < 0 for r in out.values())
+    monkeypatch.undo()
+    whole = by_id(mixing.scores(docs_of(spark, texts).repartition(1), F.col("doc_id") < 40))
+    assert all(out[i]["score"] == pytest.approx(whole[i]["score"], rel=0.02) for i in out)
+
+
 def test_languages_are_told_apart(spark):
     words = {"xx": "tion ing the ea st".split(), "yy": "ung keit schen lich ä".split(), "zz": "oux eau êle tre ç".split()}
     rng = np.random.default_rng(2)
