@@ -140,6 +140,27 @@ def test_chunk_dedup_finds_shifted_passages(spark):
     assert substrings.repeated_spans(docs_of(spark, [None, ""])).count() == 0
 
 
+def test_chunk_dedup_finds_whole_short_passages(spark):
+    """Passages of 51 words at many offsets, each in two documents, come out whole in both."""
+    rng = np.random.default_rng(11)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopé"), size=rng.integers(2, 9))) for _ in range(n))
+    passages = [prose(51) for _ in range(150)]
+    texts = [f"{prose(rng.integers(1, 90))} {p} {prose(rng.integers(1, 60))}" for p in passages for _ in range(2)]
+    rows = substrings.repeated_spans(docs_of(spark, texts)).collect()
+    found = 0
+    for r in rows:
+        passage = passages[r["doc_id"] // 2]
+        span = texts[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]]
+        assert len(span.encode()) == r["n_bytes"]
+        found += passage in span and len(span) < len(passage) + 12
+    assert found >= 298
+    long = prose(900)
+    both = [f"{prose(9)} {long}", f"{long} {prose(9)}"]
+    assert substrings.agreeing(b"abc", b"abd") == 2 and substrings.agreeing(b"", b"x") == 0
+    assert all(long in both[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]] for r in substrings.repeated_spans(docs_of(spark, both)).collect())
+    assert substrings.extension(("é".encode(), "aé".encode()), ("xé".encode(), "aè".encode()))[2:] == ("é".encode(), b"a")
+
+
 def test_chunks_cover_texts_and_keep_bounds():
     from quillspark.llm.chunking import GEAR, chunk_ends, gear_hashes
 
