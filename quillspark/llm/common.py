@@ -120,9 +120,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((total[ends] - total[starts]) * powers(BASE, n)[starts]), first
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes not marked in ``outside``; runs never cross rows."""
     n = len(data)
-    inside = ~SPACES[data]
+    inside = ~outside[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.zeros(n, dtype=bool)
