@@ -23,7 +23,7 @@ from quillspark.llm.common import LOWER, query, slices, table, word_bounds
 from quillspark.llm.scratch import Scratch
 
 MIN_DOCS, SMOOTHING, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
-BLOCK_TERMS, BLOCK_SOURCES = 4096, 64  # expected size of a block of terms and of sources
+BLOCK_TERMS, BLOCK_SOURCES = 256, 64  # expected size of a block of terms and of sources
 OUTSIDE = np.ones(256, dtype=bool)  # bytes of no term: ASCII other than letters
 OUTSIDE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
