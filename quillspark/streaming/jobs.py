@@ -7,18 +7,21 @@ checkpoint are the caller's. ``drain`` runs one to the end of what is available.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.functions import scores as S
 from quillspark.operators import gating, metrics as M
 from quillspark.operators.sessions import latest_per_key
 from quillspark.session import shared_folder
-from quillspark.sources import writers
+from quillspark.sources import keyed, writers
+from quillspark.streaming.stateful import beat, ended_sessions, session_turns, streak_alarms
 
+__all__ = [
+    "activity_sessions", "drain", "ended_sessions", "events_stream", "first_requests", "gate_stream", "hit_counts", "impact_stream",
+    "ingest_log", "keep_latest", "rolling", "score_stream", "session_turns", "streak_alarms", "upsert_to", "wizard_stream",
+]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -89,88 +92,12 @@ def activity_sessions(events: DataFrame, key: str, time: str, gap: str = "24 hou
     )
 
 
-class StreakProcessor(StatefulProcessor):
-    """Consecutive failures of a key; opens at ``least`` and starts over after the cool-down.
-
-    Failures while it is open do not count, as attempts are refused then.
-    """
-
-    def __init__(self, least: int, cooldown: int) -> None:
-        self.least, self.cooldown = least, cooldown
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", T.StructType([T.StructField("count", T.IntegerType()), T.StructField("until", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        count, until = self.state.get() if self.state.exists() else (0, 0.0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "tie"])
-        alarms = []
-        for ts, failed in zip(batch["ts"], batch["failed"]):
-            now = ts.timestamp()
-            if until and now >= until:
-                count, until = 0, 0.0
-            if not failed:
-                count, until = 0, 0.0
-                continue
-            if until:  # refused while open, so no attempt
-                continue
-            count += 1
-            if count == self.least:
-                alarms.append((key[0], ts, ts + pd.Timedelta(seconds=self.cooldown)))
-                until = now + self.cooldown
-        self.state.update((count, until))
-        yield pd.DataFrame(alarms, columns=["key", "opened_at", "open_until"])
-
-    def close(self) -> None:
-        pass
-
-
-def streak_alarms(events: DataFrame, key: str, time: str, tie: str, failed: Column, least: int = 5, cooldown: int = 300) -> DataFrame:
-    """An alarm whenever a key fails often enough in a row; rows of a batch are taken in time order."""
-    slim = events.select(F.col(key).cast("long").alias("key"), F.col(time).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("tie"), failed.alias("failed"))
-    return slim.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=StreakProcessor(least, cooldown),
-        outputStructType="key long, opened_at timestamp, open_until timestamp", outputMode="Append", timeMode="None",
-    )
-
-
-class WizardProcessor(StatefulProcessor):
-    """Turn counter and resolution of a session."""
-
-    def __init__(self, max_turns: int) -> None:
-        self.max_turns = max_turns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "wizard", T.StructType([T.StructField(n, T.IntegerType()) for n in ("number", "turn")] + [T.StructField("resolved", T.BooleanType())])
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        number, turn, resolved = self.state.get() if self.state.exists() else (0, 0, False)
-        batch = pd.concat(list(rows)).sort_values("turn")
-        out = []
-        for at, role, told in zip(batch["turn"], batch["role"], batch["told"]):
-            number += 1
-            if role == "user" and not resolved:
-                turn += 1
-                resolved = turn >= self.max_turns
-            elif role == "assistant" and told is not None and not pd.isna(told):
-                resolved = bool(told)
-            out.append((key[0], at, number, turn, resolved, max(0, self.max_turns - turn)))
-        self.state.update((number, turn, resolved))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "turn_number", "current_turn", "resolved", "remaining"])
-
-    def close(self) -> None:
-        pass
-
-
-def wizard_stream(turns: DataFrame, max_turns: int = 3, clear: Column | None = None) -> DataFrame:
-    told = F.lit(None).cast("boolean") if clear is None else F.when(F.col("role") == "assistant", clear)
-    return turns.select("conv_id", "turn", "role", told.alias("told")).groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=WizardProcessor(max_turns),
-        outputStructType="conv_id long, turn long, turn_number int, current_turn int, resolved boolean, remaining int",
-        outputMode="Append", timeMode="None",
-    )
+def wizard_stream(turns: DataFrame, max_turns: int = 3, clear: Column | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Wizard state after every message of ``conv_id, turn, role, ts``; a day's pause starts it anew."""
+    states = session_turns(turns, "conv_id", "ts", "turn", max_turns, clear, delay=delay)
+    out = states.select("conv_id", "turn", "turn_number", "current_turn", "resolved", "remaining")
+    out.heartbeats = states.heartbeats
+    return out
 
 
 def upsert_to(path: str):
@@ -182,10 +109,27 @@ def upsert_to(path: str):
     return write
 
 
+def keep_latest(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], buckets: int = keyed.BUCKETS
+) -> DataFrame:
+    """Puts a stream into a table with one row per key, batch by batch, and returns the table.
+
+    A batch that a restart repeats is recognised by its id. Neither the stream nor a batch keeps state for a key.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keyed.upsert(batch, path, batch_id, keys, order, buckets)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return keyed.read_keyed(stream.sparkSession, path, stream.schema)
+
+
 def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] | None = None, stateful_python: bool = False) -> DataFrame:
     """Runs a stream over all that is available and returns what it wrote.
 
-    With ``keys`` the rows are updates, of which the last per key counts.
+    With ``keys`` the rows are updates, of which the last per key counts. A stream that waits for its
+    watermark is then told that the input has ended, so that rows and timers still waiting are dealt with.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/quillspark/stream-{uuid.uuid4().hex}"
@@ -194,11 +138,17 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] | None =
     if stateful_python:
         spark.conf.set(name, ROCKSDB)
     try:
-        query = (
-            stream.writeStream.outputMode(mode).foreachBatch(upsert_to(f"{base}/rows"))
-            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        def run() -> None:
+            query = (
+                stream.writeStream.outputMode(mode).foreachBatch(upsert_to(f"{base}/rows"))
+                .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+
+        run()
+        if heartbeats := getattr(stream, "heartbeats", None):
+            beat(spark, heartbeats)
+            run()
     finally:
         spark.conf.set(name, before)
     shape = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
