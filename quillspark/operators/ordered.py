@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillspark.session import materialise
 
 BUCKET_ROWS = 65536
+HISTOGRAM_BINS = 4096
+FEW_VALUES = 65536
 
 
 def literal_rows(spark, rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
@@ -116,37 +118,81 @@ def exact_quantiles(
 
     ``wanted`` maps an output column to ``("median", .5)``, ``("nearest", p)`` for the value at
     1-based rank ``ceil(n p)``, or ``("floor", p)`` for 0-based index ``floor(n p)``, the last
-    value at most. Equal values are counted before the shuffle; their counts are summed along
-    buckets whose bounds come from one bounded-size sketch.
-    """
-    spark = df.sparkSession
-    keys = list(keys)
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 256)
-    present = df.filter(F.col(value).isNotNull())
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = present.agg(F.percentile_approx(F.col(value).cast("double"), shares, 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    counts = counts.withColumn("_b", F.size(F.filter(edges, lambda e: e <= F.col(value).cast("double"))))
-    upto = running(counts, keys, [value], {"_upto": F.col("_n")}, "_b").withColumn("_from", F.col("_upto") - F.col("_n"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = upto.join(sizes, keys) if keys else upto.withColumn("_total", sizes.select("_total").scalar())
-
-    def at(index: Column) -> Column:
-        hit = (F.col("_from") <= index) & (index < F.col("_upto"))
-        return F.max(F.when(hit, F.col(value)))
+    value at most. Null values are left out; a null key is a key. Without keys there is one row, of nulls if
+    there are no values.
 
+    Equal values are counted once. Every wanted rank then has an interval of values it must lie in,
+    at first its key's whole range. While an interval holds many distinct values, one pass counts them in
+    HISTOGRAM_BINS bins and the rank goes on with the one bin that contains it. What is left is ordered
+    per key and interval, which is never more than FEW_VALUES rows.
+    """
+    whole = not keys
+    present = df.select(*keys, F.col(value).alias("_v")).filter("_v is not null")
+    # without keys all rows have the same one
+    counts = materialise(present.withColumn("_all", F.lit(0)).groupBy("_all", *keys, "_v").agg(F.count("*").alias("_n")))
+    keys = list(keys) or ["_all"]
+    sizes = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_rows")
+    ).filter("_total > 0")
     total = F.col("_total")
-    out = []
+    ranks = {}
     for name, (kind, p) in wanted.items():
         if kind == "median":
-            low, high = at(F.floor((total - 1) / 2)), at(F.floor(total / 2))
-            out.append(((low + high) / 2).alias(name))
+            ranks |= {f"{name} low": F.floor((total - 1) / 2), f"{name} high": F.floor(total / 2)}
         elif kind == "nearest":
             # decimal product, so that e.g. 20 * 0.95 is 19 and not a hair more
             rank = F.ceil(total.cast("decimal(20,0)") * F.lit(str(p)).cast("decimal(6,4)")).cast("long")
-            out.append(at(F.greatest(rank - 1, F.lit(0))).alias(name))
+            ranks[name] = F.greatest(rank - 1, F.lit(0))
         else:
-            out.append(at(F.least(F.floor(total * F.lit(p)).cast("long"), total - 1)).alias(name))
-    return placed.groupBy(*keys).agg(*out)
+            ranks[name] = F.least(F.floor(total * F.lit(p)).cast("long"), total - 1)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), r.cast("long").alias("_rank")) for n, r in ranks.items()]))
+    targets = sizes.select(*keys, "_lo", "_hi", "_rows", each.alias("_t")).select(*keys, "_lo", "_hi", "_rows", "_t._name", "_t._rank")
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    while largest > FEW_VALUES:
+        targets = materialise(_narrowed(counts, targets, keys))
+        before, largest = largest, targets.agg(F.max("_rows")).first()[0]
+        if largest >= before:  # values too close together for the bins to tell apart
+            break
+    upto = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = _inside(counts, targets, keys).withColumn("_upto", F.sum("_n").over(upto)).withColumn("_from", F.col("_upto") - F.col("_n"))
+    found = _matched(placed, targets, keys, (F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v")))
+    out = [
+        ((at(f"{n} low") + at(f"{n} high")) / 2 if kind == "median" else at(n)).alias(n) for n, (kind, _) in wanted.items()
+    ]
+    return found.groupBy(*([] if whole else keys)).agg(*out)
+
+
+def _matched(rows: DataFrame, targets: DataFrame, keys: Sequence[str], also: Column) -> DataFrame:
+    """Rows of an interval with the targets in it."""
+    renamed = targets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_lo").alias("_tlo"), F.col("_hi").alias("_thi"), "_name", "_rank")
+    same = F.col("_lo").eqNullSafe(F.col("_tlo")) & F.col("_hi").eqNullSafe(F.col("_thi")) & also
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(renamed, same).drop(*[f"_k{i}" for i in range(len(keys))], "_tlo", "_thi")
+
+
+def _inside(counts: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counted values with the intervals they lie in, one row for each."""
+    spans = targets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi").distinct()
+    within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    for i, k in enumerate(keys):
+        within = within & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return counts.join(spans, within).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _narrowed(counts: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every target with the bin of its interval that holds its rank; bins follow the order of values."""
+    half = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(8e307)).otherwise(
+        F.greatest(F.lit(-8e307), F.least(F.lit(8e307), F.col(c).cast("double") / 2))
+    )
+    width = half("_hi") - half("_lo")
+    place = F.when(width > 0, F.floor((half("_v") - half("_lo")) / width * HISTOGRAM_BINS)).otherwise(0)
+    bins = _inside(counts, targets, keys).groupBy(*keys, "_lo", "_hi", place.alias("_bin")).agg(
+        F.sum("_n").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.count("*").alias("_rows")
+    )
+    # as many rows per interval as there are bins
+    upto = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = bins.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_from", F.col("_upto") - F.col("_n"))
+    found = _matched(placed, targets, keys, (F.col("_from") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    return found.select(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_rows", "_name", (F.col("_rank") - F.col("_from")).alias("_rank"))
