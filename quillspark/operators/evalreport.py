@@ -164,14 +164,31 @@ def ambiguity(cases: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def frequent_words(text: str, size: int = 10, longer_than: int = 3) -> Column:
+    """Most frequent longer words of a text as ``(word, n)``, first seen first on ties.
+
+    Words are sorted with their places, runs of equal ones counted by where they start: a row stays a row.
+    """
+    let = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731 - worked out once, however often it is used
+    kept = F.filter(F.transform(words(F.lower(text)), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.length(x["w"]) > longer_than)
+
+    def counted(x: Column) -> Column:
+        at = lambda i: F.get(x, i)
+        fresh = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (at(i)["w"] != at(i - 1)["w"]))
+        runs = let(F.when(F.size(x) > 0, fresh).otherwise(F.array().cast("array<int>")), lambda starts: F.transform(
+            starts, lambda s, k: F.struct(
+                (s - F.coalesce(F.get(starts, k + 1), F.size(x))).alias("less"), at(s)["i"].alias("first"), at(s)["w"].alias("word")
+            )
+        ))
+        return F.transform(F.slice(F.array_sort(runs), 1, size), lambda r: F.struct(r["word"].alias("word"), (-r["less"]).cast("long").alias("n")))
+
+    return let(F.array_sort(kept), counted)
+
+
 def top_words(docs: DataFrame, keys: list[str], text: str, size: int = 10, longer_than: int = 3) -> DataFrame:
     """Most frequent longer words per document, first seen first on ties."""
-    tokens = docs.select(*keys, F.posexplode(words(F.lower(text))).alias("_p", "word")).filter(
-        F.length("word") > longer_than
-    )
-    counted = tokens.groupBy(*keys, "word").agg(F.count("*").alias("n"), F.min("_p").alias("first"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    listed = docs.select(*keys, F.posexplode(frequent_words(text, size, longer_than)).alias("_p", "_w"))
+    return listed.select(*keys, F.col("_w.word").alias("word"), F.col("_w.n").alias("n"), (F.col("_p") + 1).alias("rank"))
 
 
 def keyword_features(runs: DataFrame, text: str = "output") -> DataFrame:
@@ -195,22 +212,25 @@ def keyword_features(runs: DataFrame, text: str = "output") -> DataFrame:
 
 
 def pair_similarity(sets: DataFrame, case: str = "case_no", run: str = "run") -> DataFrame:
-    """Mean keyword overlap and word Jaccard over all pairs of runs of a case.
+    """Mean keyword overlap and word Jaccard over all pairs of different runs of a case.
 
-    Runs of a case are cut into blocks of bounded size; a pair of blocks yields one row of sums, so
-    no pair of runs is ever a row, and a case with very many runs is spread over its block pairs.
+    Runs of a case are cut into blocks of bounded size, which meet by pairs of blocks and never by case
+    alone: a pair yields one row of sums, so no pair of runs is ever a row, and a case with very many runs
+    is as many tasks as it has pairs of blocks.
     """
     sizes = sets.groupBy(case).agg(F.count("*").alias("_n"))
     numbered = sets.join(sizes.select(case, F.ceil(F.col("_n") / BLOCK_RUNS).alias("_blocks")), case).withColumn(
-        "_block", F.pmod(F.xxhash64(run), F.col("_blocks"))
+        "_block", F.pmod(F.xxhash64(run, "keywords", "long_words"), F.col("_blocks"))
     )
-    blocks = numbered.groupBy(case, "_block").agg(
+    blocks = numbered.groupBy(case, "_blocks", "_block").agg(
         F.collect_list(F.struct(F.col(run).alias("run"), "keywords", "long_words")).alias("_runs")
     )
-    left = blocks.select(case, F.col("_block").alias("_b1"), F.col("_runs").alias("_r1"))
-    right = blocks.select(case, F.col("_block").alias("_b2"), F.col("_runs").alias("_r2"))
-    pairs = left.join(right, case).filter("_b1 <= _b2")
-    counts = lambda x, y: (F.col("_b1") < F.col("_b2")) | (x["run"] < y["run"])
+    # the cells of a triangle of blocks: a block is first in the cells of its row, second in those of its column
+    last = F.col("_blocks") - 1
+    left = blocks.select(case, F.col("_block").alias("_b1"), F.explode(F.sequence("_block", last)).alias("_b2"), F.col("_runs").alias("_r1"))
+    right = blocks.select(case, F.explode(F.sequence(F.lit(0).cast("long"), "_block")).alias("_b1"), F.col("_block").alias("_b2"), F.col("_runs").alias("_r2"))
+    pairs = left.join(right, [case, "_b1", "_b2"])
+    counts = lambda x, y: (x["run"] < y["run"]) | ((F.col("_b1") < F.col("_b2")) & (x["run"] != y["run"]))
 
     def total(field: str | None) -> Column:
         value = lambda x, y: jaccard(x[field], y[field]) if field else F.lit(1.0)
@@ -231,17 +251,11 @@ def variability(runs: DataFrame, case: str = "case_no") -> DataFrame:
     # five aggregates read the features; the texts are gone through once
     featured = materialise(
         keyword_features(runs).select(
-            case, "run", "output", "confidence", "verb", "object", "tech", "has_sections", "long_words", "length"
+            case, "run", "confidence", "verb", "object", "tech", "has_sections", "long_words", "length",
+            F.coalesce(frequent_words("output")["word"], F.array().cast("array<string>")).alias("keywords"),
         )
     )
-    tops = top_words(featured, [case, "run"], "output").groupBy(case, "run").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_t")
-    )
-    sets = (
-        featured.select(case, "run", "long_words")
-        .join(tops, [case, "run"], "left")
-        .select(case, "run", "long_words", F.coalesce(F.col("_t.word"), F.array().cast("array<string>")).alias("keywords"))
-    )
+    sets = featured.select(case, "run", "long_words", "keywords")
     base = featured.groupBy(case).agg(
         F.count("*").alias("runs"), F.stddev_pop("confidence").alias("confidence_sd"),
         F.stddev_pop("length").alias("length_sd"),

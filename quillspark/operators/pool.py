@@ -7,6 +7,7 @@ the shuffle, so a text copied into a third of all rows costs one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,30 +35,29 @@ def union_sources(sources: dict[str, DataFrame], position: str = "pos") -> DataF
     return whole.withColumn(position, F.col(position).cast("long"))
 
 
+BROADCAST_BYTES = 32 << 20
+
+
 def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """First row per key in the given total order.
+    """First row per key in the given total order, whose columns are not null.
 
-    Only key digests and order columns are shuffled to find the winners; the rows themselves are
-    then picked by a semi join on the order columns, which are unique. Rows read from several documents
-    are ordered by document first.
+    Key digests and order columns are written once; rows that come later than the first of their key are
+    found among them. Rows are then left out by their order columns, which are unique. Those of the
+    later rows go to the tasks that read the rows, so that no row is shuffled; only if they are more than
+    BROADCAST_BYTES are both sides shuffled by the order columns. Rows read from several documents are
+    ordered by document first.
     """
     if "source_path" in df.columns and "source_path" not in order:
         order = [*order[:-1], "source_path", order[-1]]
-    digest = F.xxhash64(key)
+    order = list(order)
     # two independent digests, so that distinct keys do not merge
-    winners = (
-        df.select(digest.alias("_h"), F.md5(key.cast("binary")).alias("_m"), *order)
-        .groupBy("_h", "_m")
-        .agg(F.min(F.struct(*order)).alias("_first"))
-        .select("_first.*")
-        if len(order) > 1
-        # a plain number keeps the aggregate hash-based
-        else df.select(digest.alias("_h"), F.md5(key.cast("binary")).alias("_m"), *order)
-        .groupBy("_h", "_m")
-        .agg(F.min(order[0]).alias(order[0]))
-        .select(order[0])
-    )
-    return df.join(winners, list(order), "left_semi")
+    slim = materialise(df.select(F.xxhash64(key).alias("_h"), F.md5(key.cast("binary")).alias("_m"), *order))
+    # a plain number keeps the aggregate hash-based
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    repeated = slim.groupBy("_h", "_m").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    later = materialise(slim.join(repeated, ["_h", "_m"]).filter(place != F.col("_first")).select(*order))
+    size = later.agg(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 16 for c in order]))).first()[0]
+    return df.join(F.broadcast(later) if (size or 0) <= BROADCAST_BYTES else later, order, "left_anti")
 
 
 def dedup_by_io(pool: DataFrame, order: Sequence[str] = ("source_rank", "pos")) -> DataFrame:
@@ -81,11 +81,12 @@ def stamp_dedup(pool: DataFrame, at: Column) -> DataFrame:
 
 
 def merge_into(pool: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pool with the batch's new rows appended and deduplicated, and those new rows alone."""
+    """The pool with the batch's new rows appended and deduplicated, and those new rows alone.
+
+    The pool comes first, so a batch's row that is left is one the pool does not have.
+    """
     merged = dedup_by_io(union_sources({"pool": pool, "batch": batch}))
-    known = pool.select(io_hash(F.col("original_idea"), F.col("improved_prompt")).alias("io_hash")).distinct()
-    added = merged.filter(F.col("source_rank") == 1).join(known, "io_hash", "left_anti")
-    return merged, added
+    return merged, merged.filter(F.col("source_rank") == 1)
 
 
 def duplicate_groups(pool: DataFrame, key: Column) -> DataFrame:
@@ -98,10 +99,11 @@ def duplicate_groups(pool: DataFrame, key: Column) -> DataFrame:
 
 
 def duplicate_members(pool: DataFrame, key: Column) -> DataFrame:
-    """One row per member of a duplicate group: an index list of unbounded length stays rows."""
-    hashed = pool.withColumn("key", F.sha2(key, 256))
-    groups = duplicate_groups(pool, key).select("key")
-    return hashed.join(groups, "key", "left_semi")
+    """One row per member of a duplicate group, with the group's size and first position.
+
+    An index list of unbounded length stays rows.
+    """
+    return pool.withColumn("key", F.sha2(key, 256)).join(duplicate_groups(pool, key), "key")
 
 
 def duplicate_audit(pool: DataFrame, key: Column) -> DataFrame:

@@ -77,8 +77,7 @@ def duplicate_audit(spark, folder):
 )
 def duplicate_members(spark, folder):
     pool = views.pool(spark, folder)
-    groups = P.duplicate_groups(pool, P.input_key()).select("key", "first_pos")
-    return P.duplicate_members(pool, P.input_key()).join(groups, "key").select("pos", "first_pos")
+    return P.duplicate_members(pool, P.input_key()).select("pos", "first_pos")
 
 
 @query(

@@ -186,3 +186,33 @@ def test_recovery_refuses_what_a_browser_refuses(spark):
     got = {r.id: (r.ok, r.method, r.json) for r in recover_json(rows, "raw").collect()}
     assert got[0][0] is False and got[1] == (True, None, '{"a": 1}')
     assert got[2] == (True, "scan", '{"b": "}"}') and got[3][0] is False and got[4] == (True, "fence", '{"d": {"e": 2}}')
+
+
+def _exchanged(df):
+    """Columns that go through any exchange of the plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return " ".join(part.split("Input", 1)[1].splitlines()[0] for part in plan.split("\n(") if "Exchange" in part.split("\n")[0] and "Input" in part)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_first_wins_shuffles_no_texts(spark, tmp_path, monkeypatch, limit):
+    from quillspark.operators import pool as P
+
+    rows = [(i, f"idea {i % 40}", "", f"prompt {i % 30} " * 20) for i in range(400)] + [(500, None, None, None), (501, None, None, None)]
+    spark.createDataFrame(rows, "pos long, original_idea string, context string, improved_prompt string").repartition(4).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    monkeypatch.setattr(P, "BROADCAST_BYTES", limit)
+    first = P.dedup_by_input(df)
+    seen = {}
+    for pos, idea, context, _ in rows:
+        seen.setdefault((idea, context), pos)
+    assert sorted(r.pos for r in first.collect()) == sorted(seen.values())
+    assert "improved_prompt" not in _exchanged(first) or limit == 0
+    merged, added = P.merge_into(df.filter("pos < 100"), df)
+    pairs = {}
+    for pos, idea, _, prompt in rows:
+        pairs.setdefault((idea or "", prompt or ""), pos)
+    assert merged.count() == len(pairs) and sorted(r.pos for r in added.collect()) == sorted(p for p in pairs.values() if p >= 100)
+    members = P.duplicate_members(df, P.input_key()).select("pos", "first_pos", "occurrences")
+    assert "improved_prompt" not in _exchanged(members)
+    assert {r.pos: r.first_pos for r in members.collect()} == {p: seen[(i, c)] for p, i, c, _ in rows}
