@@ -96,7 +96,7 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
             F.count("*").alias("common"), F.min("a_least").alias("al"), F.max("a_most").alias("am"),
             F.min("b_least").alias("bl"), F.max("b_most").alias("bm"),
         )
-        .filter(f"al < am or bl < bm or common >= {_shared_prefix(percent, 'al', 'bl')}").select("a", "b")
+        .filter(f"common >= if(al = am and bl = bm, {_shared_prefix(percent, 'al', 'bl')}, {_least_shared(percent)})").select("a", "b")
     )
     scratch.drop(matrix)
     # a group is named by its smallest member
@@ -167,6 +167,17 @@ def _shared_prefix(percent: int, one: str, two: str) -> str:
     return f"greatest(1, {overlap} - ceil({percent} * greatest({one}, {two}) / 100.0) + 1)"
 
 
+def _least_shared(percent: int) -> str:
+    """The same for any member of sizes ``al`` to ``am`` with any of sizes ``bl`` to ``bm``.
+
+    A smaller set of s tokens and a larger one of t share more than
+    ``percent * (s + t) / (100 + percent) - percent * t / 100`` prefix tokens, which grows with s and
+    falls with t, so the least s and the greatest t, either way round, bound it for all.
+    """
+    more = lambda s, t: f"floor({percent} * ({s} + {t}) / {100 + percent}.0 - {percent} * {t} / 100.0) + 1"
+    return f"greatest(1, least({more('al', 'bm')}, {more('bl', 'am')}))"
+
+
 def _describer(percent: int, width: int, frequent: np.ndarray):
     """Size, fingerprint, bands and prefix of every set."""
     rank = np.argsort(frequent)
