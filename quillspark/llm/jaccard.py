@@ -52,8 +52,8 @@ def similarity_components(
 
     Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|``; a component is named by its
     smallest id. Null, empty and blank texts have size 0 and link with nothing; a text shorter than
-    ``width`` words is one shingle. Rows that repeat an id give a row each; their texts count as one
-    document's. A null id stays null and is its own component. Only the two named columns are read.
+    ``width`` words is one shingle. Rows that repeat an id give a row each; their texts are one
+    document, whose set is the union of theirs. A null id stays null and is its own component. Only the two named columns are read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
@@ -61,7 +61,7 @@ def similarity_components(
 
 
 def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
-    facts = scratch.write(base.mapInArrow(_describer(percent, width, _frequent(base, width)), FACTS))
+    facts = _facts(base, percent, width, scratch)
     live = facts.filter("n > 0 and doc_id is not null")
     classes = scratch.write(live.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
@@ -140,6 +140,24 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
     )
 
 
+def _facts(base: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """FACTS of every row; rows that repeat an id all have those of the union of its sets."""
+    frequent = _frequent(base, width)
+    facts = scratch.write(base.mapInArrow(_describer(percent, width, frequent), FACTS))
+    counted = facts.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    repeated = scratch.write(counted.filter("copies > 1"))
+    ids = repeated.select("doc_id")
+    if ids.isEmpty():
+        return facts
+    wanted = base.sparkSession.sparkContext.broadcast(build_filter(ids))
+    joined = _sets(base, ids, width, wanted).mapInArrow(_set_describer(percent, frequent), FACTS).join(repeated, "doc_id")
+    each = joined.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    out = scratch.write(facts.join(ids, "doc_id", "left_anti").unionByName(each))
+    wanted.unpersist()
+    scratch.drop(facts)
+    return out
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows whose ``a`` and ``b``, heads of groups, are still in different ones."""
     now = lambda c: groups.select(F.col("doc_id").alias(c), F.col("group").alias(f"_{c}"))
@@ -186,24 +204,41 @@ def _describer(percent: int, width: int, frequent: np.ndarray):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, digest, offsets in shingle_sets(batch.column(1), width):
-                sizes = np.diff(offsets)
-                lows = segments(digest * np.uint64(0x9FB21C651E98DF25), offsets, np.add, 0)
-                highs = segments((digest ^ (digest >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), offsets, np.bitwise_xor, 0)
-                bands = _bands(digest, offsets)
-                probe = np.where(sizes > 0, sizes - needed(percent, sizes) + 1, 0)
-                tokens = _prefix(digest, offsets, probe, known, rank)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, len(sizes)), pa.array(sizes), pa.array(lows.view(np.int64)),
-                        pa.array(highs.view(np.int64)), _lists(bands.reshape(-1), np.full(len(sizes), BANDS)),
-                        _lists(tokens, probe),
-                    ],
-                    names=[f.split()[0] for f in FACTS.split(", ")],
-                )
+                yield _described(batch.column(0).slice(start, len(offsets) - 1), digest, offsets, percent, known, rank)
 
     return describe
 
 
+def _set_describer(percent: int, frequent: np.ndarray):
+    """The same for documents of several rows, whose sets are given."""
+    rank = np.argsort(frequent)
+    known = frequent[rank]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                digest = union(batch.column(1)[row]).copy()
+                yield _described(batch.column(0).slice(row, 1), digest, np.array([0, len(digest)]), percent, known, rank)
+
+    return describe
+
+
+def _described(ids: pa.Array, digest: np.ndarray, offsets: np.ndarray, percent: int, known: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    sizes = np.diff(offsets)
+    lows = segments(digest * np.uint64(0x9FB21C651E98DF25), offsets, np.add, 0)
+    highs = segments((digest ^ (digest >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), offsets, np.bitwise_xor, 0)
+    bands = _bands(digest, offsets)
+    probe = np.where(sizes > 0, sizes - needed(percent, sizes) + 1, 0)
+    tokens = _prefix(digest, offsets, probe, known, rank)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, pa.array(sizes), pa.array(lows.view(np.int64)), pa.array(highs.view(np.int64)),
+            _lists(bands.reshape(-1), np.full(len(sizes), BANDS)), _lists(tokens, probe),
+        ],
+        names=[f.split()[0] for f in FACTS.split(", ")],
+    )
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
@@ -300,16 +335,14 @@ def _verified(pairs: DataFrame, base: DataFrame, percent: int, width: int, scrat
     pairs = scratch.write(pairs)
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = base.sparkSession.sparkContext.broadcast(build_filter(nodes))
-    sets = scratch.write(
-        base.mapInArrow(_packer(width, wanted), "doc_id long, tokens binary").join(nodes, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-    )
+    # both joins below read the one shuffle of this grouping
+    sets = _sets(base, nodes, width, wanted)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                x, y = union(left), union(right)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if not len(small) or 100 * len(small) < percent * len(large):
                     keep.append(False)
@@ -322,14 +355,25 @@ def _verified(pairs: DataFrame, base: DataFrame, percent: int, width: int, scrat
                 names=["a", "b"],
             )
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("parts").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("parts").alias("y"))
     found = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
-    scratch.drop(sets)
     wanted.unpersist()
     return found
 
 
+def union(parts: pa.ListScalar) -> np.ndarray:
+    """The sorted union of a document's packed sets, one for each of its rows."""
+    sets = [np.frombuffer(p.as_buffer(), np.uint64) for p in parts.values]
+    return sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+
+
+def _sets(base: DataFrame, nodes: DataFrame, width: int, wanted) -> DataFrame:
+    """``doc_id, parts`` of the ids in ``nodes``, for which ``wanted`` is a filter: a packed set for each row."""
+    packed = base.mapInArrow(_packer(width, wanted), "doc_id long, tokens binary").join(nodes, "doc_id", "left_semi")
+    return packed.groupBy("doc_id").agg(F.collect_list("tokens").alias("parts"))
+
+
 def _packer(width: int, wanted):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
