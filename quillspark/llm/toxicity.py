@@ -3,7 +3,8 @@
 Folding lowers letters, turns look-alike letters of other scripts and digits put for letters into the
 letters they stand for, drops invisible characters and turns the rest into spaces. Terms are whole
 words or stems that begin a word; weights are log odds learned from labels. A hit inside an exception phrase does
-not count. The sum of the hits, divided by a power of the length, is calibrated to 0..1.
+not count. The sum of the hits, divided by a power of the length, and the strongest hit, which no length
+dilutes, are calibrated to 0..1.
 """
 
 from __future__ import annotations
@@ -70,13 +71,14 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of whole words (``word``) and stems (``stem*``), and the calibration of their sum."""
+    """Weights of whole words (``word``) and stems (``stem*``), and the calibration of their sum and of the greatest."""
 
     terms: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
     power: float = 0.0
     slope: float = 1.0
     offset: float = -3.0
+    strong: float = 0.0
     built: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self):
@@ -116,16 +118,18 @@ class Lexicon:
                 del found[place]
         return found
 
-    def total(self, text: str | None) -> tuple[float, int]:
-        """Sum of the hits' weights and number of words."""
+    def features(self, text: str | None) -> tuple[float, float, int]:
+        """Sum of the hits' weights, the greatest of them, and number of words."""
         if not text:
-            return 0.0, 0
+            return 0.0, 0.0, 0
         folded = fold(text)
-        return sum(self.hits(folded).values()), folded.count(" ")
+        weights = self.hits(folded).values()
+        return sum(weights), max(weights, default=0.0), folded.count(" ")
 
     def score(self, text: str | None) -> float:
-        total, words = self.total(text)
-        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * normalised(total, words, self.power) + self.offset))))
+        total, strongest, words = self.features(text)
+        sure = self.slope * normalised(total, words, self.power) + self.strong * strongest + self.offset
+        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, sure))))
 
 
 def normalised(total, words, power):
@@ -233,45 +237,56 @@ def stems(term: str) -> list[str]:
 
 
 def _calibrated(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
-    """Power, slope and offset by regularised logistic regression on counted (sum, length) cells."""
+    """Power, weights and offset by regularised logistic regression on counted cells of the features.
+
+    The offset then puts a score of a half where the labelled rows balance recall and precision.
+    """
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: Counter = Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total, words = lexicon.total(text)
-                tally[(min(int(total * 2), 400), int(math.log2(words + 1) * 2), y)] += 1
-            columns = list(zip(*tally)) if tally else [(), (), ()]
+                total, strongest, words = lexicon.features(text)
+                tally[(round(8 * math.log2(1 + total)), round(8 * strongest), int(math.log2(words + 1) * 2), y)] += 1
+            columns = list(zip(*tally)) if tally else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in columns), pa.array(list(tally.values()), pa.int64())],
-                names=["total", "words", "y", "n"],
+                names=["total", "strongest", "words", "y", "n"],
             )
 
     rows = (
-        sample.mapInArrow(cells, "total long, words long, y long, n long").groupBy("total", "words", "y")
-        .agg(F.sum("n").alias("n")).collect()
+        sample.mapInArrow(cells, "total long, strongest long, words long, y long, n long")
+        .groupBy("total", "strongest", "words", "y").agg(F.sum("n").alias("n")).collect()
     )
-    total = np.array([r["total"] / 2 for r in rows])
+    total = np.array([2 ** (r["total"] / 8) - 1 for r in rows])
+    strongest = np.array([r["strongest"] / 8 for r in rows])
     words = np.array([2 ** (r["words"] / 2) for r in rows])
     y, n = np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float)
     best = None
     for power in (0.25, 0.5, 1.0):  # some normalisation always
-        x = normalised(total, words, power)
-        w = np.zeros(2)
-        design = np.stack([x, np.ones_like(x)], axis=1)
+        design = np.stack([normalised(total, words, power), strongest, np.ones_like(total)], axis=1)
+        w = np.zeros(3)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            gradient = design.T @ (n * (p - y)) + 1e-3 * w
-            curve = (design * (n * p * (1 - p) + 1e-9)[:, None]).T @ design + 1e-3 * np.eye(2)
-            step = np.linalg.solve(curve, gradient)
-            w = w - np.clip(step, -2, 2)
+            gradient = design.T @ (n * (p - y)) + 1e-2 * w
+            curve = (design * (n * p * (1 - p) + 1e-9)[:, None]).T @ design + 1e-2 * np.eye(3)
+            w = w - np.clip(np.linalg.solve(curve, gradient), -2, 2)
+            w[:2] = np.maximum(w[:2], 1e-3)  # a hit never makes a text cleaner
         p = np.clip(1 / (1 + np.exp(-np.clip(design @ w, -30, 30))), 1e-9, 1 - 1e-9)
         loss = -(n * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
-        if w[0] > 0 and (best is None or loss < best[0]):
-            best = (loss, power, float(w[0]), float(w[1]))
-    if best is None:
-        return lexicon
-    return Lexicon(lexicon.terms, lexicon.exceptions, best[1], best[2], best[3])
+        if best is None or loss < best[0]:
+            best = (loss, power, w, design @ w)
+    _, power, w, sure = best
+    return Lexicon(lexicon.terms, lexicon.exceptions, power, float(w[0]), float(w[2]) - balanced(sure, y, n), float(w[1]))
+
+
+def balanced(sure: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The cut of ``sure`` with the greatest F1 over rows counted ``n`` times, half way to the next value below."""
+    values, at = np.unique(sure, return_inverse=True)
+    toxic, all_rows = np.bincount(at, n * y), np.bincount(at, n)
+    caught, flagged = np.cumsum(toxic[::-1])[::-1], np.cumsum(all_rows[::-1])[::-1]
+    cut = int((2 * caught / (flagged + toxic.sum())).argmax())
+    return float(values[cut] if cut == 0 else (values[cut] + values[cut - 1]) / 2)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
