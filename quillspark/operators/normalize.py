@@ -324,3 +324,13 @@ def chat_messages(turns: DataFrame, session: str = "conv_id", chunk: int = 256)
         .agg(F.array_sort(F.collect_list(entry)).alias("_m"))
         .select(session, "chunk", F.transform("_m", lambda m: F.struct(m["role"], m["content"])).alias("messages"))
     )
+
+
+def nested_value(json: Column, path: str) -> Column:
+    """Text of the value at a dotted path of a JSON text.
+
+    Null where a part of the path is missing, where a part before the last is no object, for a JSON null,
+    and for text that is no JSON. Objects and lists come as JSON text.
+    """
+    keys = "".join(f"[{chr(34)}{part}{chr(34)}]" for part in path.split("."))
+    return F.try_variant_get(F.try_parse_json(json), f"${keys}", "string")

@@ -412,3 +412,25 @@ def _expanded_sql(per_component: int) -> str:
 def expanded_examples(spark, folder):
     df = N.expand_examples(components(spark, folder), 3, "add_context")
     return df.select("metadata.source_component_id", "number", "role", "example", "metadata.confidence")
+
+
+@query(
+    "nested_values",
+    """SELECT event_id, CASE WHEN event_id % 7 <> 5 AND event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS inner_value,
+    CASE WHEN event_id % 7 = 5 THEN NULL WHEN event_id % 3 = 1 THEN event_type END AS outer_value FROM events""",
+)
+def nested_values(spark, folder):
+    """A nested value where it is there, under a value that is no object, where its parent is missing, and in broken JSON."""
+    event, props = F.col("event_id"), F.col("props")
+    wrap = lambda before, value, after: F.concat(F.lit(before), value, F.lit(after))
+    record = (
+        F.when(event % 7 == 5, wrap('{"outputs": ', props, ""))
+        .when(event % 3 == 0, wrap('{"outputs": {"inner": ', props, "}}"))
+        .when(event % 3 == 1, wrap('{"outputs": "', F.col("event_type"), '"}'))
+        .otherwise(wrap('{"other": ', props, "}"))
+    )
+    rows = views.table(spark, folder, "events").select("event_id", record.alias("record"))
+    return rows.select(
+        "event_id", N.nested_value(F.col("record"), "outputs.inner.k").alias("inner_value"),
+        F.when(event % 3 == 1, N.nested_value(F.col("record"), "outputs")).alias("outer_value"),
+    )

@@ -125,3 +125,18 @@ def test_bare_scores_lookup(spark):
     prompts = spark.createDataFrame([("auth_001",), ("x",)], "id string")
     scores = spark.createDataFrame([("security_auth_001", 0.5)], "id string, score double")
     assert {r.id: r.validator_score for r in P.score_lookup(prompts, scores).collect()} == {"auth_001": 0.5, "x": 0.96}
+
+
+def test_nested_values(spark):
+    from quillspark.operators.normalize import nested_value
+
+    cases = [
+        ('{"a": {"b": {"c": "x"}}}', "x"), ('{"a": {"b": {"c": 5}}}', "5"), ('{"a": {"b": {"c": null}}}', None), ('{"a": {"b": {}}}', None),
+        ('{"a": {"b": "c"}}', None), ('{"a": [1, 2]}', None), ("{}", None), ("[]", None), ('"a"', None), ('{"a": ', None), ("", None), (None, None),
+        ('{"a": {"b": {"c": {"d": 1}}}}', '{"d":1}'),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, t string")
+    got = {r.i: r.v for r in df.select("i", nested_value(F.col("t"), "a.b.c").alias("v")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    odd = spark.createDataFrame([('{"a b": {"c-d": 1}}',)], "t string")
+    assert odd.select(nested_value(F.col("t"), "a b.c-d")).first()[0] == "1"
