@@ -3,7 +3,8 @@
 A seed hashes the words a fixed mask picks and ignores those between, so a substituted word spoils only
 some seeds. Hashes of test texts and of documents are joined; each hit lies on a diagonal of document
 against test text, and the overlap around it is the best run on that diagonal when matches count 1 and
-substitutions cost MISMATCH.
+substitutions cost MISMATCH. Long documents are looked at in pieces that overlap by the longest test text, so
+that a row never carries more words than a few times that, however many places of it hit.
 """
 
 from __future__ import annotations
@@ -18,49 +19,82 @@ SPAN = 9
 MISMATCH = 2
 MIN_MATCHED = 12  # equal words an overlap needs, or
 MIN_SHARE = 0.6  # this share of a test text's words, if that is less
+PIECE_WORDS = 4096  # least places of a piece of a document
 BLOCK_WORDS = 1_000_000  # words of test texts that are sent to the tasks at once
 
 
-def word_digests(text: Column) -> Column:
-    """Digest of every run of letters and digits in lower case."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits in lower case."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def digests(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeded(rows: DataFrame, digests: str, place: str, mask: str) -> DataFrame:
-    """A row for each seed: its hash, place and mask; none below SPAN words.
+def seed_at(number: int, words: str, place: Column) -> Column:
+    """Hash of the words that a mask reads at a place."""
+    return F.xxhash64(F.lit(number), *[F.get(words, place + k) for k in MASKS[number]])
+
+
+def seeded(
+    rows: DataFrame, words: str, place: str, mask: str, first: Column | None = None, last: Column | None = None
+) -> DataFrame:
+    """A row for each seed from place ``first`` to ``last``: its hash, place and mask; none below SPAN words.
 
     Places are rows before seeds are hashed, so that hashing is compiled with the scan and the join.
     """
-    places = F.when(F.size(digests) >= SPAN, F.sequence(F.lit(0), F.size(digests) - SPAN)).otherwise(F.array().cast("array<int>"))
-    at = [F.xxhash64(F.lit(n), *[F.get(digests, F.col(place) + k) for k in chosen]) for n, chosen in enumerate(MASKS)]
-    pairs = [part for n, seed in enumerate(at) for part in (F.lit(n), seed)]
+    first = F.lit(0) if first is None else first
+    end = F.size(words) - SPAN
+    end = end if last is None else F.least(end, last)
+    places = F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))
+    pairs = [part for n in range(len(MASKS)) for part in (F.lit(n), seed_at(n, words, F.col(place)))]
     return rows.select("*", F.explode(places).alias(place)).select("*", F.stack(F.lit(len(MASKS)), *pairs).alias(mask, "seed"))
 
 
+def by_mask(mask: str, value) -> Column:
+    """``value(number)`` of the row's mask."""
+    picked = value(0)
+    for number in range(1, len(MASKS)):
+        picked = F.when(F.col(mask) == number, value(number)).otherwise(picked)
+    return picked
+
+
+def pieces(rows: DataFrame, around: int) -> DataFrame:
+    """Documents as pieces ``h`` of word digests with ``around`` words kept on both sides: where ``h`` starts, and its own places.
+
+    Digests are taken after the cut: the step between is not compiled, so one piece at a time goes into the joins.
+    """
+    step = max(PIECE_WORDS, around)
+    begins = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    before = F.least(F.col("begin"), F.lit(around))
+    return rows.select("doc_id", "words", F.explode(begins).alias("begin")).select(
+        "doc_id", (F.col("begin") - before).alias("start"), before.alias("own"), (before + step - 1).alias("own_end"),
+        digests(F.slice("words", F.col("begin") - before + 1, before + step + around)).alias("h"),
+    )
+
+
 def _first_of_run() -> Column:
-    """The seed one place earlier on the diagonal does not match too: every run of hits is verified once."""
-    before = F.lit(False)
-    for number, mask in enumerate(MASKS):
-        same = F.lit(True)
-        for place in mask:
-            same = same & (F.get("h", F.col("pos") - 1 + place) == F.get("w", F.col("at") - 1 + place))
-        before = F.when(F.col("mask") == number, same).otherwise(before)
-    return (F.col("pos") == 0) | (F.col("at") == 0) | ~F.coalesce(before, F.lit(False))
+    """No seed matches one place earlier on the diagonal, nor one of an earlier mask here: a run of hits is verified once."""
+    pos = F.col("pos")
+    edge = (pos == 0) | (F.col("at") == 0)
+    before = by_mask("mask", lambda n: seed_at(n, "h", pos - 1)) == F.col("before")
+    here = F.lit(False)
+    for number in range(len(MASKS) - 1):
+        here = here | ((F.col("mask") > number) & (seed_at(number, "h", pos) == F.col(f"seed_{number}")))
+    return (edge | ~before) & ~here
 
 
 def _best_run() -> Column:
-    """The best-scoring stretch of the hit's diagonal: start and end in the test text, and matches."""
-    shift = F.col("pos") - F.col("at")
-    low, high = F.greatest(F.lit(0), -shift), F.least(F.size("w"), F.size("h") - shift)
+    """The best-scoring stretch of the diagonal ``h_run`` against ``w_run``: its start, end and matches."""
     none = F.lit(0)
     start = F.struct(
-        none.alias("score"), low.alias("begin"), none.alias("equal"),
-        none.alias("best"), low.alias("from"), low.alias("to"), none.alias("matched"),
+        none.alias("score"), none.alias("begin"), none.alias("equal"),
+        none.alias("best"), none.alias("from"), none.alias("to"), none.alias("matched"),
     )
 
     def step(state: Column, j: Column) -> Column:
-        hit = F.get("h", j + shift) == F.get("w", j)
+        hit = F.get("h_run", j) == F.get("w_run", j)
         fresh = state["score"] <= 0
         score = F.when(fresh, 0).otherwise(state["score"]) + F.when(hit, 1).otherwise(-MISMATCH)
         begin = F.when(fresh, j).otherwise(state["begin"])
@@ -74,7 +108,7 @@ def _best_run() -> Column:
             F.when(better, equal).otherwise(state["matched"]).alias("matched"),
         )
 
-    return F.aggregate(F.sequence(low, high - 1), start, step)
+    return F.aggregate(F.sequence(F.lit(0), F.size("w_run") - 1), start, step)
 
 
 def overlaps(
@@ -89,32 +123,48 @@ def overlaps(
     bounded size, each sent to the tasks and met with all documents; one block is the ordinary case.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), word_digests(F.col(text_col)).alias("h")
+        F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words")
     )
     items = tests.filter(F.col(test_id_col).isNotNull()).select(
-        F.col(test_id_col).cast("long").alias("item_id"), word_digests(F.col(test_text_col)).alias("w")
+        F.col(test_id_col).cast("long").alias("item_id"), digests(words_of(F.col(test_text_col))).alias("w")
     ).filter(F.size("w") >= SPAN).distinct()
-    words = items.agg(F.sum(F.size("w"))).first()[0] or 0
-    blocks = max(1, -(-words // block_words))
-    at_docs = seeded(rows, "h", "pos", "mask")
+    words, longest = items.agg(F.sum(F.size("w")), F.max(F.size("w"))).first()
+    blocks = max(1, -(-(words or 0) // block_words))
+    at_docs = seeded(pieces(rows, longest or SPAN), "h", "pos", "mask", F.col("own"), F.col("own_end"))
+    shift = F.col("pos") - F.col("at")
+    low, high = F.greatest(F.lit(0), -shift), F.least(F.col("size"), F.size("h") - shift)
+    at = F.col("at")
+    earlier = [seed_at(n, "w", at).alias(f"seed_{n}") for n in range(len(MASKS) - 1)]
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "w"), F.lit(blocks)) == block)
         part = part.withColumn("item", F.xxhash64("item_id", "w"))
-        at_items = seeded(part.select("item", "w"), "w", "at", "item_mask").select("seed", "item", "at").distinct()
+        at_items = seeded(part.select("item", "w"), "w", "at", "item_mask").select(
+            "seed", "item", "at", F.size("w").alias("size"), by_mask("item_mask", lambda n: seed_at(n, "w", at - 1)).alias("before"), *earlier
+        ).distinct()
         hits = (
-            at_docs.join(F.broadcast(at_items), "seed").join(F.broadcast(part), "item")
-            .filter(_first_of_run())
-            .select("doc_id", "item_id", F.size("w").alias("size"), (F.col("pos") - F.col("at")).alias("shift"), _best_run().alias("run"))
-            .filter(F.col("run.matched") >= F.least(F.lit(MIN_MATCHED), F.ceil(F.col("size") * MIN_SHARE)))
+            at_docs.join(F.broadcast(at_items), "seed").filter(_first_of_run())
+            # only the diagonal leaves the compiled join: many hits of one piece may wait in memory behind it
+            .select(
+                "doc_id", "item", "size", (shift + F.col("start")).alias("shift"), low.alias("low"),
+                F.slice("h", low + shift + 1, high - low).alias("h_run"),
+            )
+            # equal words against the same place of a test text give the same overlap: the earliest stands for all
+            .groupBy("doc_id", "item", "size", "low", "h_run").agg(F.min("shift").alias("shift"))
+            .join(F.broadcast(part), "item")
+            .withColumn("w_run", F.slice("w", F.col("low") + 1, F.size("h_run")))
+            .select("doc_id", "item_id", "size", "shift", "low", _best_run().alias("run"))
         )
         found = hits if found is None else found.unionByName(hits)
-    begin = F.col("run.from") + F.col("shift")
+    item_start = F.col("run.from") + F.col("low")
+    begin = item_start + F.col("shift")
     length = F.col("run.to") - F.col("run.from")
+    enough = F.col("run.matched") >= F.least(F.lit(MIN_MATCHED), F.ceil(F.col("size") * MIN_SHARE))
+    # filtered once they are aggregated: a filter here would go into the join and run the verification twice
     best = found.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct(F.col("run.matched").alias("n"), (-length).alias("l"), (-begin).alias("d"), (-F.col("run.from")).alias("i"))).alias("b")
+        F.max(F.struct(F.when(enough, F.col("run.matched")).alias("n"), (-length).alias("l"), (-begin).alias("d"), (-item_start).alias("i"))).alias("b")
     )
-    return best.select(
+    return best.filter(F.col("b.n").isNotNull()).select(
         "doc_id", "item_id", F.col("b.n").cast("long").alias("n_matched"), (-F.col("b.l")).cast("long").alias("n_words"),
         (-F.col("b.d")).cast("long").alias("doc_start"), (-F.col("b.i")).cast("long").alias("item_start"),
     )

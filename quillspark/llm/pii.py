@@ -4,7 +4,8 @@ The base patterns give certain spans. The field labels the document's candidate
 digits, ``@`` or a plus sign, and tokens whose form is that of a certain one) as private or ordinary. Neighbouring
 candidates share a chain potential; equal or similar tokens share a skip potential however far apart,
 and loopy message passing carries the label of a certain occurrence to the others. Unary weights are
-log odds counted over all documents: how often tokens of a form are part of certain spans.
+log odds counted over all documents: how often tokens of a form are part of certain spans. Every form
+counts; forms are hashed into FORM_BUCKETS buckets, so that the table has one size whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import query, table
@@ -29,9 +31,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TOKEN = re.compile(r"[^\s]*[0-9@+][^\s]*")
+TOKEN = re.compile(r"\S++")
+TELLING = re.compile(r"[0-9@+]")
 STRIP = "\"'()[]{}<>.,;:!?#$%&*"
-MOST_FORMS = 20_000  # forms kept in the unary table, the most frequent first
+FORM_BUCKETS = 1 << 16  # size of the unary table
 CHAIN, SKIP, ROUNDS, BIAS = 0.2, 3.0, 8, -2.0
 NEAR = 3  # candidates at most so many apart are neighbours in the chain
 FIELDS = (
@@ -85,6 +88,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in TOKEN.finditer(text):
         raw = m.group()
+        if not TELLING.search(raw):
+            continue
         bare = raw.strip(STRIP)
         if len(bare) >= 5:
             start = m.start() + raw.index(bare)
@@ -100,7 +105,7 @@ SHAPES = str.maketrans(
 def form(token: str) -> str:
     """Runs of equal character classes with short lengths, e.g. ``0{3}.0{2}``."""
     out, last, count = [], "", 0
-    for c in token[:64].translate(SHAPES) + "\0":
+    for c in token.translate(SHAPES) + "\0":
         if c == last:
             count += 1
             continue
@@ -110,6 +115,21 @@ def form(token: str) -> str:
     return "".join(out)
 
 
+def bucket(shape: str) -> int:
+    return xxhash.xxh32_intdigest(shape.encode()) % FORM_BUCKETS
+
+
+class FormWeights:
+    """Log odds of forms by bucket; a bucket no token fell into has none."""
+
+    def __init__(self, by_bucket: np.ndarray):
+        self.by_bucket = by_bucket
+
+    def get(self, shape: str, default: float) -> float:
+        value = float(self.by_bucket[bucket(shape)])
+        return default if math.isnan(value) else value
+
+
 def similar_key(token: str) -> str:
     """Tokens that differ only in case and separators are similar."""
     return "".join(c for c in token.lower() if c.isalnum() or c == "@")
@@ -151,7 +171,7 @@ def infer(unary: np.ndarray, edges: list[tuple[int, int, float]], fixed: np.ndar
     return clamped + np.bincount(b, weights=message, minlength=len(unary))
 
 
-def added_spans(text: str, spans: list[tuple[str, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
+def added_spans(text: str, spans: list[tuple[str, int, int]], weights: FormWeights | dict[str, float]) -> list[tuple[str, int, int]]:
     """Spans the field adds: candidates outside certain spans that end up private, with the kind they copy."""
     if not spans:
         return []  # without a certain occurrence nothing can be carried on
@@ -189,36 +209,33 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 
-def form_weights(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Log odds of each form to lie in a certain span, over all documents; at most MOST_FORMS forms."""
+def form_weights(docs: DataFrame, text_col: str = "text") -> FormWeights:
+    """Log odds of each bucket of forms to lie in a certain span, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
-            tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                tokens = candidates(text)
+                tokens = candidates(text) if text else []
                 if tokens:
                     for (_, _, token), kind in zip(tokens, covered(tokens, base_spans(text))):
-                        tally[form(token)][kind is not None] += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(tally), pa.string()), pa.array([t[0] for t in tally.values()], pa.int64()),
-                    pa.array([t[1] for t in tally.values()], pa.int64()),
-                ],
-                names=["form", "plain", "private"],
-            )
+                        tally[bucket(form(token))][kind is not None] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(tally), pa.int32()), *(pa.array([t[k] for t in tally.values()], pa.int64()) for k in (0, 1))],
+            names=["bucket", "plain", "private"],
+        )
 
     rows = (
-        docs.select(text_col).mapInArrow(count, "form string, plain long, private long")
-        .groupBy("form").agg(F.sum("plain").alias("plain"), F.sum("private").alias("private"))
-        .orderBy(F.desc(F.col("plain") + F.col("private")), "form").limit(MOST_FORMS).collect()
+        docs.select(text_col).mapInArrow(count, "bucket int, plain long, private long")
+        .groupBy("bucket").agg(F.sum("plain").alias("plain"), F.sum("private").alias("private")).collect()
     )
-    return {r["form"]: max(-4.0, min(4.0, math.log((r["private"] + 0.5) / (r["plain"] + 0.5)))) for r in rows}
+    weights = np.full(FORM_BUCKETS, np.nan, dtype=np.float32)
+    for r in rows:
+        weights[r["bucket"]] = max(-4.0, min(4.0, math.log((r["private"] + 0.5) / (r["plain"] + 0.5))))
+    return FormWeights(weights)
 
 
-def find(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, weights: FormWeights | dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, digest and all spans of every row.
 
     A null or empty text has no spans: zero counts, the digest of the empty string, empty ``spans``.
@@ -243,7 +260,7 @@ def find(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, FIELDS)
 
 
-def redact(docs: DataFrame, weights: dict[str, float], text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, weights: FormWeights | dict[str, float], text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The same rows and columns with every span replaced by its kind in brackets; null texts stay null."""
     names = docs.columns
 
