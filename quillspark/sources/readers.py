@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -11,25 +12,18 @@ from quillspark.functions.classify import file_priority
 from quillspark.functions.text import is_blank
 from quillspark.operators.metrics import rederive
 from quillspark.operators.ordered import literal_rows
+from quillspark.sources import jsondocs
 
 
-def read_wrapped(spark: SparkSession, path: str | list[str], item: T.StructType, key: str) -> DataFrame:
+def read_wrapped(spark: SparkSession, path: str | list[str], item: T.StructType, key: str, required: bool = True) -> DataFrame:
     """Records of JSON documents that are an array or an object holding one under ``key``.
 
-    Each document is parsed by both shapes; one that fits neither stops the job. A document is one
-    cell, so large pools belong in many documents or in JSON lines, which the other readers take.
-    ``pos`` counts within a document; ``source_path`` and ``pos`` together are a place in all of them.
+    Documents are cut by byte range, so one file of any size is many tasks. A document of another shape and an
+    element that cannot be parsed stop the job. ``pos`` counts within a document; ``source_path`` and
+    ``pos`` together are a place in all of them.
     """
-    as_list = F.from_json("value", T.ArrayType(item))
-    wrapped = F.from_json("value", T.StructType([T.StructField(key, T.ArrayType(item))]))[key]
-    first = F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
-    items = F.when(first == "[", as_list).when(first == "{", wrapped)
-    checked = F.when(items.isNull(), F.raise_error(F.lit(f"expected an array or an object with '{key}'"))).otherwise(items)
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(checked).alias("pos", "_r"))
-        .select("source_path", F.col("pos").cast("long").alias("pos"), "_r.*")
-    )
+    found = jsondocs.elements(spark, path, key, required)
+    return found.select("source_path", "pos", F.from_json("value", item, {"mode": "FAILFAST"}).alias("_r")).select("source_path", "pos", "_r.*")
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -238,8 +232,6 @@ def build_hybrid_cases(components: DataFrame, cases: DataFrame, max_components:
 
 
 def read_ab_results(spark: SparkSession, path: str, arms: Sequence[str]) -> DataFrame:
-    """Result records of every arm in one table."""
-    shape = T.StructType([T.StructField(a, T.ArrayType(schemas.ARM_RESULT)) for a in arms])
-    whole = spark.read.schema(shape).json(path, multiLine=True)
-    by_arm = F.create_map(*[x for a in arms for x in (F.lit(a), F.col(a))])
-    return whole.select(F.explode(by_arm).alias("arm", "_rows")).select("arm", F.explode("_rows").alias("_r")).select("arm", "_r.*")
+    """Result records of every arm in one table; an arm that a document lacks has none."""
+    found = [read_wrapped(spark, path, schemas.ARM_RESULT, arm, required=False).select(F.lit(arm).alias("arm"), "*") for arm in arms]
+    return reduce(DataFrame.unionByName, found).drop("source_path", "pos")
