@@ -23,6 +23,9 @@ def search(history: DataFrame, text: str, limit: int) -> DataFrame:
 
 
 def by_date_range(df: DataFrame, start: Column, end: Column, limit: int, time: str = "created_at") -> DataFrame:
+    """Newest rows of a range; of a table stored by ``day`` only the days of the range are read."""
+    if "day" in df.columns:
+        df = df.filter(F.col("day").between(F.to_date(start), F.to_date(end)))
     return df.filter(F.col(time).between(start, end)).orderBy(F.desc(time), F.desc("id")).limit(limit)
 
 

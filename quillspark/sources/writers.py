@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators.sessions import latest_per_key
+from quillspark.session import delete_folder, materialise
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -44,3 +47,23 @@ def write_split(split: DataFrame, name: str, path: str) -> None:
 def retain_days(df: DataFrame, path: str) -> None:
     """Day partitions present in ``df`` replaced by its rows."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def retain_history(spark: SparkSession, path: str, as_of: str, days: int) -> None:
+    """Stored history without rows more than ``days`` older than ``as_of``.
+
+    Whole days go as folders, the day of the cut is written anew, later days are not touched. Running it
+    again changes nothing.
+    """
+    cut = dt.datetime.fromisoformat(as_of) - dt.timedelta(days=days)
+    stored = spark.read.parquet(path)
+    edge = stored.filter((F.col("day") == F.lit(cut.date())) & (F.col("created_at") >= F.lit(cut.isoformat(" ")).cast("timestamp")))
+    kept = materialise(edge)
+    # only partition values are read: one row per day
+    old = [r["day"] for r in stored.select("day").filter(F.col("day") <= F.lit(cut.date())).distinct().collect()]
+    some_left = not kept.isEmpty()
+    if some_left:
+        retain_days(kept, path)
+    for day in old:
+        if day < cut.date() or not some_left:
+            delete_folder(spark, f"{path.rstrip('/')}/day={day}")

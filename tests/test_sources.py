@@ -169,3 +169,28 @@ def test_duplicates_across_documents_are_found(spark, tmp_path):
     got = [(r.source_path[-6:], r.pos) for r in P.dedup_by_input(rows).collect()]
     assert sorted(got) == [("a.json", 0), ("a.json", 1)]
     assert P.dedup_by_io(rows, ("pos",)).count() == 2
+
+
+def test_stored_history_reads_and_rewrites_only_days_in_question(spark, tmp_path):
+    from quillspark.operators import store as T
+
+    path = str(tmp_path / "h")
+    rows = [(n, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * n), ["g"]) for n in range(40)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, guardrails array<string>")
+    W.append_history(df.filter("id % 2 = 0"), path)
+    W.append_history(df.filter("id % 2 = 1"), path)
+    at = lambda text: F.lit(text).cast("timestamp")
+    found = T.by_date_range(spark.read.parquet(path), at("2024-01-03 00:00:00"), at("2024-01-04 00:00:00"), 100)
+    assert {r.id for r in found.collect()} == {n for n, t, _ in rows if dt.datetime(2024, 1, 3) <= t <= dt.datetime(2024, 1, 4)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "h").glob("day=*/*.parquet")}
+    for _ in range(2):
+        W.retain_history(spark, path, "2024-01-14 12:00:00", 10)
+        left = spark.read.parquet(path).collect()
+        assert {r.id for r in left} == {n for n, t, _ in rows if t >= dt.datetime(2024, 1, 4, 12)}
+    later = [f for f in before if f.parent.name > "day=2024-01-04"]
+    assert later and all(f.stat().st_mtime_ns == before[f] for f in later)
+    assert not list((tmp_path / "h").glob("day=2024-01-0[123]"))
+    W.retain_history(spark, path, "2025-01-01 00:00:00", 10)  # nothing is young enough
+    assert not list((tmp_path / "h").glob("day=*"))
