@@ -1,6 +1,7 @@
 """Vector search and archives, held against plain Python."""
 
 import hashlib
+import math
 import struct
 
 import numpy as np
@@ -37,6 +38,45 @@ def test_top_k_in_blocks_and_on_little_data(spark, monkeypatch):
     assert maxscore.top_k(few.filter("false"), few.filter("false"), 5).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * 10.0 ** (i % 7)]) for i in range(200)]
+    rows += [(200 + i, [-1e30 if j == i else 0.0 for j in range(6)]) for i in range(3)]  # their scores with others are low or small
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in maxscore.top_k(data.filter("vec_id < 200"), data.filter("vec_id in (0, 6, 13, 50)"), 4).collect())
+    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows if i < 200}
+    want = []
+    for q in (0, 6, 13, 50):
+        order = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)[:4]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(order, 1)]
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="does not fit a long"):
+        maxscore.top_k(data.filter("vec_id >= 6"), data.filter("vec_id = 200"), 4).collect()
+
+
+def test_search_skips_components_and_keeps_ties():
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(6000, 32)) * np.linspace(1, 0.01, 32)
+    data[3000:3040] = data[7]
+    ids = np.arange(6000)
+    search = maxscore.Search(ids[:20], data[:20], 5)
+    for start in (4000, 0, 2000):  # shards come in any order
+        search.add(ids[start : start + 2000], data[start : start + 2000])
+    whole = np.floor(256 * data)
+    for at in range(20):
+        scores = whole @ whole[at]
+        want = [(s, i) for s, i in sorted(zip(-scores, ids)) if i != at][:5]
+        assert list(zip(-search.best[at][0], search.best[at][1])) == want
+    assert search.read < 0.8 * 20 * data.size
+
+
+def test_repeated_query_ids_search_with_the_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, None), (1, [5.0, 1.0]), (1, [5.0, 1.0]), (2, [1.0, 7.0])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    got = maxscore.top_k(data, data.filter("vec_id = 0"), 2).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 2, 7 * 256 * 256), (2, 1, 256 * 256)]
+
+
 PAGES = [
     (1, "http://a", "<html>" + "x" * 200), (2, "http://b\r\nInjected: 1", "<html>" + "x" * 200), (3, None, "short"), (4, "http://d", "short"),
     (5, "http://e", None), (6, "http://f", ""), (7, "http://g", "é🙂" * 100_000), (8, "http://h", "a\r\n\r\nb" * 40), (None, "http://n", "no id here"),
