@@ -182,8 +182,8 @@ def learn(
     """A lexicon from the labelled rows whose crc32 remainder is not ``held``.
 
     Terms must be surer than chance: their weight is log odds less ``SURENESS`` standard errors. Seed
-    terms the labels do not speak of keep a fixed weight. Without labels the seed terms
-    and a fixed calibration are used.
+    terms the labels do not speak of keep a fixed weight. Without labels, or where no labelled text has a hit, the
+    terms have a fixed calibration. A text without hits scores below a half.
     """
     sample = labelled(docs, labels, label, modulus, held, most_labels)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -262,6 +262,8 @@ def _calibrated(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
     strongest = np.array([r["strongest"] / 8 for r in rows])
     words = np.array([2 ** (r["words"] / 2) for r in rows])
     y, n = np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    if not strongest.any():
+        return lexicon  # nothing to fit
     best = None
     for power in (0.25, 0.5, 1.0):  # some normalisation always
         design = np.stack([normalised(total, words, power), strongest, np.ones_like(total)], axis=1)
@@ -277,16 +279,21 @@ def _calibrated(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
         if best is None or loss < best[0]:
             best = (loss, power, w, design @ w)
     _, power, w, sure = best
-    return Lexicon(lexicon.terms, lexicon.exceptions, power, float(w[0]), float(w[2]) - balanced(sure, y, n), float(w[1]))
+    return Lexicon(lexicon.terms, lexicon.exceptions, power, float(w[0]), float(w[2]) - balanced(sure, y, n, w[2]), float(w[1]))
 
 
-def balanced(sure: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """The cut of ``sure`` with the greatest F1 over rows counted ``n`` times, half way to the next value below."""
+def balanced(sure: np.ndarray, y: np.ndarray, n: np.ndarray, without: float = -math.inf) -> float:
+    """The cut of ``sure`` with the greatest F1 over rows counted ``n`` times, half way to the next value below.
+
+    It lies above ``without``, the value of texts without hits: however many labels are toxic, these stay clean.
+    """
     values, at = np.unique(sure, return_inverse=True)
     toxic, all_rows = np.bincount(at, n * y), np.bincount(at, n)
     caught, flagged = np.cumsum(toxic[::-1])[::-1], np.cumsum(all_rows[::-1])[::-1]
-    cut = int((2 * caught / (flagged + toxic.sum())).argmax())
-    return float(values[cut] if cut == 0 else (values[cut] + values[cut - 1]) / 2)
+    gain = np.where(values > without, 2 * caught / (flagged + toxic.sum()), -1)
+    cut = int(gain.argmax())
+    below = max(without, values[cut - 1]) if cut else without
+    return float(values[cut] if below == -math.inf else (values[cut] + below) / 2)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

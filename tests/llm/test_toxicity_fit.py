@@ -56,3 +56,14 @@ def test_one_sure_hit_in_a_long_text_is_enough(spark):
     got = {r["doc_id"]: r["predicted"] for r in X.score(docs, X.learn(docs, labels)).collect()}
     wrong = [i for i, _, toxic in rows if got[i] != toxic]
     assert len(wrong) <= 6
+
+
+def test_texts_without_hits_stay_clean(spark):
+    """Too few labels for any term, most of them toxic; then one term that explains few of the toxic rows."""
+    rows = [(i, f"w{i} v{i}", int(i % 4 > 0)) for i in range(60)]
+    more = [(100 + i, "zarnok w1" if i % 10 == 0 else f"u{i}", int(i % 4 > 0 or i % 10 == 0)) for i in range(600)]
+    for table in (rows, more):
+        docs = spark.createDataFrame([r[:2] for r in table] + [(-1, ""), (-2, None)], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in table], "doc_id long, toxic int")
+        got = {r["doc_id"]: r["predicted"] for r in X.score(docs, X.learn(docs, labels)).collect()}
+        assert all(got[i] == 0 for i, text, _ in [*table, (-1, "", 0), (-2, "", 0)] if "zarnok" not in text)
