@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from quillspark import fixed
@@ -119,14 +121,14 @@ def coarse_intent(idea: Column) -> Column:
     )
 
 
-def file_priority(name: Column) -> Column:
-    """Priority and category of a context file by its name."""
+def file_priority(name: Column, rules: Sequence[tuple[Sequence[str], int, str]] = fixed.FILE_RULES) -> Column:
+    """Priority and category of a context file by the first rule with a keyword in its name."""
     low = F.lower(name)
-    rule, agent = contains_any(low, ["instructions", "rule"]), contains_any(low, ["agent"])
-    return F.struct(
-        F.when(rule, 5).when(agent, 4).otherwise(1).alias("priority"),
-        F.when(rule, "instruction").when(agent, "agent").otherwise("general").alias("category"),
+    found = F.coalesce(
+        *[F.when(contains_any(low, list(words)), F.struct(F.lit(p).alias("priority"), F.lit(c).alias("category"))) for words, p, c in rules],
+        F.struct(F.lit(1).alias("priority"), F.lit("general").alias("category")),
     )
+    return F.struct(found["priority"].alias("priority"), found["category"].alias("category"))
 
 
 def error_name(context: Column) -> Column:

@@ -202,5 +202,5 @@ def summary_line(format_status: Column, completeness_status: Column, statuses: d
     )
     for level, texts in (("FAIL", fixed.GATE_FAIL_TEXT), ("WARN", fixed.GATE_WARN_TEXT)):
         for gate, status in statuses.items():
-            chain = chain.when(status == level, texts[gate])
+            chain = chain.when(status == level, texts.get(gate, gate))
     return chain.otherwise(fixed.GATE_SUMMARIES["valid"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,16 +10,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark import fixed
 from quillspark.functions import gates as G
 from quillspark.operators.ordered import literal_rows
+from quillspark.operators.rules import rule_rows, table_status
 
 
 def gate_report(
-    docs: DataFrame, text: str, template: str, thresholds: G.Thresholds = G.Thresholds(), severity: str = "reference",
-    early_exit: bool = True,
+    docs: DataFrame, text: str, template: str, thresholds: G.Thresholds = G.Thresholds(), severity: str | DataFrame = "reference",
+    early_exit: bool = True, own: Mapping[str, Callable[[Column, Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """One wide row per document: two hard gates, then the newer ones where both passed.
 
-    ``severity`` "reference" leaves failures as they are; "configured" turns most into warnings.
+    ``severity`` "reference" leaves failures as they are; "configured" turns most into warnings;
+    a table of ``gate, template, severity`` (``rules.table_status``) decides for itself. ``own`` gates are functions of text,
+    template and JSON facts to a status; they follow the others and count like them.
     """
+    rules = rule_rows(severity, "gate", "template", "severity") if isinstance(severity, DataFrame) else None
     t, kind = F.col(text), F.col(template)
     first = docs.withColumn("_facts", G.facts_for(t, kind))
     facts = F.col("_facts")
@@ -28,11 +33,15 @@ def gate_report(
     passed = (F.col("gate1_format") == "PASS") & (F.col("gate2_completeness") == "PASS")
     run = passed if early_exit else F.lit(True)
     statuses = {}
-    for gate, status in G.v02_gates(t, kind, facts, thresholds).items():
-        status = G.configured_status(gate, status, kind) if severity == "configured" else status
+    added = {gate: build(t, kind, facts) for gate, build in (own or {}).items()}
+    for gate, status in {**G.v02_gates(t, kind, facts, thresholds), **added}.items():
+        if rules is not None:
+            status = table_status(rules, gate, status, kind)
+        elif severity == "configured":
+            status = G.configured_status(gate, status, kind)
         statuses[gate] = F.when(run, status).otherwise("SKIP")
     second = first.withColumn("v01_pass", passed).withColumns(statuses).drop("_facts")
-    count = lambda level: reduce(lambda a, b: a + b, [(F.col(g) == level).cast("int") for g in G.V02_GATES])
+    count = lambda level: reduce(lambda a, b: a + b, [(F.col(g) == level).cast("int") for g in statuses])
     fails, warns = F.col("v02_fail_count"), F.col("v02_warn_count")
     return (
         second.withColumns({"v02_fail_count": count("FAIL"), "v02_warn_count": count("WARN")})
@@ -41,7 +50,7 @@ def gate_report(
                 "overall_pass": F.col("v01_pass") & (fails == 0),
                 "overall_status": G.overall_status(F.col("v01_pass"), fails, warns),
                 "summary": G.summary_line(
-                    F.col("gate1_format"), F.col("gate2_completeness"), {g: F.col(g) for g in G.V02_GATES}
+                    F.col("gate1_format"), F.col("gate2_completeness"), {g: F.col(g) for g in statuses}
                 ),
             }
         )

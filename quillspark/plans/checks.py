@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark import fixed
 from quillspark.functions import checks as C, classify as K, gates as G
-from quillspark.operators import analyze as A, normalize as N, validate as V
+from quillspark.operators import analyze as A, normalize as N, rules, validate as V
+from quillspark.operators.ordered import literal_rows
 from quillspark.plans.common import (
     SPACE, WORD, count_terms, first_sql, has, lines_literal, over_history, pick_sql, py, q, query, re_any, rounded, strip_sql,
     sum_sql, words_sql,
@@ -395,6 +396,22 @@ def file_priorities(spark, folder):
     return views.table(spark, folder, "pages").select("page_id", K.file_priority(F.col("url")).alias("p")).select("page_id", "p.*")
 
 
+FILE_RULE_ROWS = [(2, "example.org", 4, "organisation"), (1, "Blog", 5, "journal"), (1, "https://m.", 5, "mobile"), (3, "/en/", 2, "english")]
+
+
+@query(
+    "file_priorities_table",
+    "SELECT page_id, CASE "
+    + " ".join(f"WHEN contains(lower(url), lower('{w}')) THEN {p}" for _, w, p, _ in sorted(FILE_RULE_ROWS)) + " ELSE 1 END AS priority, CASE "
+    + " ".join(f"WHEN contains(lower(url), lower('{w}')) THEN '{c}'" for _, w, _, c in sorted(FILE_RULE_ROWS)) + " ELSE 'general' END AS category FROM pages",
+)
+def file_priorities_table(spark, folder):
+    """Priorities by rules out of a table."""
+    table = literal_rows(spark, FILE_RULE_ROWS, ["place", "keyword", "priority", "category"])
+    placed = K.file_priority(F.col("url"), rules.file_rules(table))
+    return views.table(spark, folder, "pages").select("page_id", placed.alias("p")).select("page_id", "p.*")
+
+
 @query(
     "age_labels",
     """SELECT event_id, CASE WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN floor(s / 60)::INT || 'm ago' WHEN s < 86400 THEN floor(s / 3600)::INT || 'h ago'

@@ -8,6 +8,7 @@ from quillspark import fixed
 from quillspark.functions import gates as G
 from quillspark.functions.jsonudf import json_facts
 from quillspark.operators import gating as O
+from quillspark.operators.ordered import literal_rows
 from quillspark.plans.common import (
     SPACE, WORD, count_terms, has, over_history, py, q, query, re_any, rounded, strip_sql, words_sql,
 )
@@ -107,18 +108,18 @@ V02_SQL = {
 }
 
 
-def report_sql(configured: bool, early_exit: bool = True) -> str:
-    cols = []
-    for gate, sql in V02_SQL.items():
+def report_sql(configured: bool, early_exit: bool = True, hard_when=None, own=None) -> str:
+    cols, gates, own = [], V02_SQL | (own or {}), own or {}
+    for gate, sql in gates.items():
         if configured:
-            hard = "template_id = 'json'" if gate == "J1_empty" else "false"
+            hard = (hard_when or {"J1_empty": "template_id = 'json'"}).get(gate, "false")
             sql = f"CASE WHEN ({sql}) = 'FAIL' AND NOT {hard} THEN 'WARN' ELSE ({sql}) END"
         cols.append(f"CASE WHEN {'v01_pass' if early_exit else 'true'} THEN {sql} ELSE 'SKIP' END AS {gate}")
-    count = lambda level: " + ".join(f"({g} = '{level}')::INT" for g in V02_SQL)
+    count = lambda level: " + ".join(f"({g} = '{level}')::INT" for g in gates)
     summary = (
         f"CASE WHEN gate1_format = 'FAIL' THEN {q(fixed.GATE_SUMMARIES['format'])} WHEN gate2_completeness = 'FAIL' THEN {q(fixed.GATE_SUMMARIES['completeness'])} "
-        + " ".join(f"WHEN {g} = 'FAIL' THEN {q(t)}" for g, t in fixed.GATE_FAIL_TEXT.items()) + " "
-        + " ".join(f"WHEN {g} = 'WARN' THEN {q(t)}" for g, t in fixed.GATE_WARN_TEXT.items())
+        + " ".join(f"WHEN {g} = 'FAIL' THEN {q(t)}" for g, t in [*fixed.GATE_FAIL_TEXT.items(), *((g, g) for g in own)]) + " "
+        + " ".join(f"WHEN {g} = 'WARN' THEN {q(t)}" for g, t in [*fixed.GATE_WARN_TEXT.items(), *((g, g) for g in own)])
         + f" ELSE {q(fixed.GATE_SUMMARIES['valid'])} END"
     )
     return f"""v_report AS (
@@ -154,6 +155,28 @@ def gate_report_configured(spark, folder):
     return _report(spark, folder, "configured").select("id", "template_id", *REPORT_COLUMNS)
 
 
+# repetition fails in procedures, empty values only warn, and the gate of this query fails everywhere but in JSON
+SEVERITY_ROWS = [
+    ("A1_filler", "*", "WARN"), ("A4_repetition", "*", "WARN"), ("A4_repetition", "procedure_md", "FAIL"), ("J1_empty", "*", "WARN"),
+    ("P1_steps", "*", "WARN"), ("C1_specific", "*", "FAIL"), ("E1_code", "*", "WARN"), ("L1_length", "json", "WARN"),
+]
+SEVERITY_HARD = {"A4_repetition": "template_id = 'procedure_md'", "C1_specific": "true", "L1_length": "template_id <> 'json'"}
+LENGTH_SQL = {"L1_length": f"CASE WHEN length({X}) > 400 THEN 'FAIL' ELSE 'PASS' END"}
+
+
+@query(
+    "gate_report_severity_table",
+    over_history("").rstrip()
+    + f", {report_sql(True, False, SEVERITY_HARD, LENGTH_SQL)} SELECT id, template_id, {', '.join(REPORT_COLUMNS)}, L1_length FROM v_report",
+)
+def gate_report_severity_table(spark, folder):
+    """Severities out of a table, and a gate of one's own."""
+    table = literal_rows(spark, SEVERITY_ROWS, ["gate", "template", "severity"])
+    own = {"L1_length": lambda text, template, facts: G.verdict(F.length(text) > 400)}
+    report = O.gate_report(views.history(spark, folder), X, "template_id", severity=table, early_exit=False, own=own)
+    return report.select("id", "template_id", *REPORT_COLUMNS, "L1_length")
+
+
 @query(
     "gate_results_long",
     over_history("").rstrip()
