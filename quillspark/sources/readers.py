@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from quillspark import fixed, schemas
@@ -155,26 +157,54 @@ def decode_metrics(rows: DataFrame, document: str = "metrics_json") -> tuple[Dat
 
 
 def read_context_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per requested file in input order; a file that cannot be found becomes an error row."""
-    asked = literal_rows(spark, [(i, p) for i, p in enumerate(paths)], ["pos", "source"])
-    name = F.substring_index("source", "/", -1)
-    # the file listing, not the driver, decides what exists
+    """One row per requested file in input order; a file that cannot be read becomes an error row.
+
+    Only the requested files are opened, by tasks; the file system says beforehand which of them are there and
+    may be read, and one that goes before it is read counts as not found. No paths give no rows.
+    """
+    placed = [(i, p, *_state(spark, p)) for i, p in enumerate(paths)]
+    asked = literal_rows(spark, placed, ["pos", "source", "path", "trouble", "blank"]) if placed else spark.createDataFrame([], "pos int, source string, path string, trouble string, blank boolean")
+    readable = sorted({path for _, _, path, trouble, blank in placed if not trouble and not blank})
     found = (
-        spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", "*")
-        .format("binaryFile").load(sorted({p.rsplit("/", 1)[0] or "/" for p in paths}))
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("source"), F.decode("content", "UTF-8").alias("_text"))
-        .filter(F.col("source").isin(list(paths)))
-    )
-    missing = F.col("_text").isNull()
-    placed = file_priority(name)
-    return asked.join(found, "source", "left").select(
+        spark.read.option("ignoreMissingFiles", "true").format("binaryFile").load([_literal_path(p) for p in readable]).select("path", "content")
+        if readable else spark.createDataFrame([], "path string, content binary")
+    )
+    text = F.when(F.col("blank"), "").otherwise(F.col("content").cast("string"))  # a scan gives no row for a file of no bytes
+    trouble = (
+        F.when(F.col("trouble") != "", F.col("trouble"))
+        .when(text.isNull(), fixed.FILE_TROUBLE["missing"])
+        .when(~F.is_valid_utf8(text), fixed.FILE_TROUBLE["encoding"])
+    )
+    name = file_priority(F.substring_index("source", "/", -1))
+    return asked.join(found, "path", "left").withColumn("trouble", trouble).select(
         "pos", "source",
-        F.when(missing, F.concat(F.lit("ERROR: File not found - "), "source")).otherwise(F.col("_text")).alias("content"),
-        F.when(missing, 1).otherwise(placed["priority"]).alias("priority"),
-        F.when(missing, "error").otherwise(placed["category"]).alias("category"),
+        F.when(F.col("trouble").isNull(), text)
+        .otherwise(F.concat(F.lit("ERROR: "), "trouble", F.lit(" - "), "source")).alias("content"),
+        F.when(F.col("trouble").isNull(), name["priority"]).otherwise(1).alias("priority"),
+        F.when(F.col("trouble").isNull(), name["category"]).otherwise("error").alias("category"),
     )
 
 
+def _state(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """A file's qualified path, why it cannot be read ("" if it can), and whether it has no bytes."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    try:
+        place = jvm.Path(path)
+        files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        status = files.getFileStatus(place)
+        if status.isDirectory():
+            return path, fixed.FILE_TROUBLE["directory"], False
+        files.access(place, jvm.permission.FsAction.READ)
+        return status.getPath().toString(), "", status.getLen() == 0
+    except Py4JJavaError as e:
+        kind = e.java_exception.getClass().getSimpleName()
+        return path, fixed.FILE_TROUBLE["denied" if kind == "AccessControlException" else "missing"], False
+
+
+def _literal_path(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def migrate_cases(old: DataFrame) -> DataFrame:
     """Cases with hard expectations as cases with soft assertions; rules depend on the id."""
     none = F.array().cast("array<string>")

@@ -109,6 +109,24 @@ def test_context_files(spark, tmp_path):
         ("be brief", 4, "agent"), (f"ERROR: File not found - {gone}", 1, "error"), ("be kind", 5, "instruction")]
 
 
+def test_context_files_that_cannot_be_read(spark, tmp_path):
+    odd, folder, shut, bad = put(tmp_path / "a[1]*{b}.md", "odd name"), tmp_path / "folder", tmp_path / "shut.md", tmp_path / "bad.md"
+    put(tmp_path / "a1.md", "not asked for")
+    folder.mkdir()
+    shut.write_text("secret")
+    shut.chmod(0)
+    bad.write_bytes(b"\xff\xfe\x00")
+    spaced, empty = put(tmp_path / "with space é.md", "spaced"), put(tmp_path / "empty.md", "")
+    asked = [odd, str(folder), str(shut), str(bad), spaced, odd, empty]
+    rows = R.read_context_files(spark, asked).orderBy("pos").collect()
+    assert [(r.pos, r.source) for r in rows] == list(enumerate(asked))
+    assert [(r.content.replace(str(tmp_path), ""), r.category) for r in rows] == [
+        ("odd name", "general"), ("ERROR: Path is a directory - /folder", "error"), ("ERROR: Permission denied - /shut.md", "error"),
+        ("ERROR: Invalid file encoding - /bad.md", "error"), ("spaced", "general"), ("odd name", "general"), ("", "general")]
+    assert R.read_context_files(spark, []).count() == 0
+    assert [r.category for r in R.read_context_files(spark, [str(tmp_path / "none.md")]).collect()] == ["error"]
+
+
 def test_migrate_cases(spark):
     def case(i, must=None):
         return {"id": i, "input": "x", "expected": {"maxQuestions": 5, "minConfidence": 0.5, "mustNotContain": ["n"], "mustContain": must}}
