@@ -1,4 +1,4 @@
-"""The three spots where no expression has the wanted JSON behaviour; all run on Arrow batches."""
+"""The spots where no expression has the wanted JSON behaviour; all run on Arrow batches."""
 
 from __future__ import annotations
 
@@ -111,10 +111,29 @@ def json_strict(text: Column) -> Column:
     return _json_strict(text)
 
 
-@F.pandas_udf(T.StringType())
-def _balanced(texts: pd.Series) -> pd.Series:
-    return pd.Series([balanced_object(t) for t in texts], dtype="object")
+RECOVERED = T.StructType(
+    [T.StructField("json", T.StringType()), T.StructField("method", T.StringType()), T.StructField("ok", T.BooleanType())]
+)
+
+
+def recovered(text: str | None, fence: str | None, tag: str | None) -> tuple[str | None, str | None, bool]:
+    """JSON of a response, how it was found (none: parsed as it is), and whether it is valid."""
+    if text is None:
+        return None, None, False
+    if parse_or_none(text, strict=True)[0]:
+        return text, None, True
+    for method, part in (("fence", fence), ("tag", tag), ("scan", text)):
+        found = balanced_object(part)
+        if found is not None:
+            return found, method, parse_or_none(found, strict=True)[0]
+    return None, None, False
+
+
+@F.pandas_udf(RECOVERED)
+def _recovered(texts: pd.Series, fences: pd.Series, tags: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([recovered(*row) for row in zip(texts, fences, tags)], columns=RECOVERED.fieldNames())
 
 
-def first_json_object(text: Column) -> Column:
-    return _balanced(text)
+def recovered_json(text: Column, fence: Column, tag: Column) -> Column:
+    """``json, method, ok`` of a response and its fenced and tagged parts; one Python worker takes every step."""
+    return _recovered(text, fence, tag)

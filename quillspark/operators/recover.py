@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.jsonudf import first_json_object, json_strict
+from quillspark.functions.jsonudf import json_strict, recovered_json
 from quillspark.functions.text import first_match, strip
 
 
@@ -12,27 +12,14 @@ def recover_json(responses: DataFrame, raw: str, mode: str = "extract") -> DataF
     """Adds ``json``, ``method`` (null: parsed as it is) and ``ok``.
 
     Fence first, then tag, then the first balanced object; each later step sees only the rows the
-    earlier ones left, the others pass null to the scanner.
+    earlier ones left. All steps are one function, so a task has one Python worker.
     """
     text = F.col(raw)
-    direct = responses.withColumn("_valid", json_strict(text))
     if mode == "strict":
-        return direct.withColumns(
+        return responses.withColumn("_valid", json_strict(text)).withColumns(
             {"json": F.when(F.col("_valid"), text), "method": F.lit(None).cast("string"), "ok": F.col("_valid")}
         ).drop("_valid")
-    open_ = ~F.col("_valid")
     fence = first_match(text, r"(?s)```(?:json)?\s*(.*?)\s*```")
     tag = first_match(text, r"(?s)<json>(.*?)</json>")
-    found = (
-        direct.withColumn("_fence", first_json_object(F.when(open_, fence)))
-        .withColumn("_tag", first_json_object(F.when(open_ & F.col("_fence").isNull(), tag)))
-        .withColumn("_scan", first_json_object(F.when(open_ & F.col("_fence").isNull() & F.col("_tag").isNull(), text)))
-    )
-    method = F.when(F.col("_valid"), None).when(F.col("_fence").isNotNull(), "fence").when(
-        F.col("_tag").isNotNull(), "tag"
-    ).when(F.col("_scan").isNotNull(), "scan")
-    candidate = F.coalesce(F.when(F.col("_valid"), text), "_fence", "_tag", "_scan")
-    picked = found.withColumns({"json": candidate, "method": method})
-    return picked.withColumn("ok", F.coalesce(F.col("_valid") | json_strict(F.when(~F.col("_valid"), F.col("json"))), F.lit(False))).drop(
-        "_valid", "_fence", "_tag", "_scan"
-    )
+    found = responses.withColumn("_found", recovered_json(text, fence, tag))
+    return found.withColumns({name: F.col(f"_found.{name}") for name in ("json", "method", "ok")}).drop("_found")

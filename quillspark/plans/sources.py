@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark import fixed
 from quillspark.operators import store as T
 from quillspark.plans.common import over_history, pick_sql, query
-from quillspark.session import note_written, shared_folder
+from quillspark.session import materialise, note_written, shared_folder
 from quillspark.sources import jsondocs, readers as R, views, writers as W
 
 
@@ -106,7 +106,7 @@ def source_ab_results(spark, folder):
 def stored_history(spark, folder) -> str:
     """History appended in two goes; the second adds to days of the first."""
     path = new_folder(spark)
-    history = views.history(spark, folder)
+    history = materialise(views.history(spark, folder))
     for part in (0, 1):
         W.append_history(history.filter(F.col("turn") % 4 == 2 * part + 1), path)
         W.append_history(history.filter(F.col("turn") % 4 == 2 * part), path)

@@ -11,10 +11,15 @@ from quillspark.session import delete_folder, materialise
 
 
 def append_history(df: DataFrame, path: str) -> None:
-    """Rows appended under their day; guardrails are stored as JSON text."""
+    """Rows appended under their day; guardrails are stored as JSON text.
+
+    Rows are brought together by day, so that files grow with days and bytes and not with tasks times days; a day
+    with more than a task's share is dealt to several.
+    """
     (
         df.withColumn("guardrails", F.to_json("guardrails"))
         .withColumn("day", F.to_date("created_at"))
+        .hint("rebalance", "day")
         .write.mode("append").partitionBy("day").parquet(path)
     )
 

@@ -216,3 +216,17 @@ def test_first_wins_shuffles_no_texts(spark, tmp_path, monkeypatch, limit):
     members = P.duplicate_members(df, P.input_key()).select("pos", "first_pos", "occurrences")
     assert "improved_prompt" not in _exchanged(members)
     assert {r.pos: r.first_pos for r in members.collect()} == {p: seen[(i, c)] for p, i, c, _ in rows}
+
+
+def test_recovery_is_one_python_step(spark):
+    from quillspark.operators.recover import recover_json
+
+    raw = [None, "", '{"a": 1}', "x ```json\n{\"a\": 1}\n``` {}", "```{```<json>{\"b\": 2}</json>", "see {\"c\": {}} {", "{a}", "NaN", "<json>{</json>{"]
+    rows = recover_json(spark.createDataFrame(list(enumerate(raw)), "id int, raw string"), "raw")
+    want = [
+        (None, None, False), (None, None, False), ('{"a": 1}', None, True), ('{"a": 1}', "fence", True), ('{"b": 2}', "tag", True),
+        ('{"c": {}}', "scan", True), ("{a}", "scan", False), (None, None, False), (None, None, False),
+    ]
+    assert [(r.json, r.method, r.ok) for r in rows.orderBy("id").collect()] == want
+    # each such node is a Python worker of its own for every task
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
