@@ -212,3 +212,17 @@ def test_stored_history_reads_and_rewrites_only_days_in_question(spark, tmp_path
     assert not list((tmp_path / "h").glob("day=2024-01-0[123]"))
     W.retain_history(spark, path, "2025-01-01 00:00:00", 10)  # nothing is young enough
     assert not list((tmp_path / "h").glob("day=*"))
+
+
+def test_appended_days_are_few_files(spark, tmp_path):
+    from quillspark.sources import writers as W
+
+    at = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(id % 20 as int), 0, 0, 0)")
+    history = spark.range(0, 400, 1, 8).select("id", at.alias("created_at"), F.array(F.lit("a")).alias("guardrails"))
+    history = history.unionByName(spark.range(400, 404).select("id", F.lit(None).cast("timestamp").alias("created_at"), F.array(F.lit("a")).alias("guardrails")))
+    path = str(tmp_path / "history")
+    W.append_history(history, path)
+    assert len(list((tmp_path / "history").glob("day=*"))) == 21
+    assert len(list((tmp_path / "history").glob("day=*/*.parquet"))) == 21  # not one for each task
+    W.append_history(history.filter("id < 40"), path)
+    assert spark.read.parquet(path).groupBy("id").count().filter("count = if(id < 40, 2, 1)").count() == 404
