@@ -24,6 +24,7 @@ REST = re.compile(r'(?:[^"\\]|\\.)*+("?)', re.DOTALL)
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+("?)|[\[\]{},]', re.DOTALL)
 PLACE = ["source_path", "block"]
 PLACE_FIELDS = "source_path string, block long"
+SLICE_ROWS = 256  # rows of a batch that are Python objects at once
 MOST_BLOCKS = 2_000_000  # rows of the block table that is sent to the tasks: 250 TB of blocks of 128 MB
 
 
@@ -34,12 +35,19 @@ def text_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in parts of a few rows: as Python objects a whole batch takes several times its bytes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def per_block(run: Callable[[tuple, Iterator[str]], Iterator[tuple]], schema: str, kinds: list[pa.DataType]):
     """``run(place and state, pieces)`` for the rows of each block; yields its rows in Arrow batches."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             at = batch.schema.get_field_index("value")
             values = columns.pop(at)
@@ -56,7 +64,7 @@ def per_block(run: Callable[[tuple, Iterator[str]], Iterator[tuple]], schema: st
             for row in run(state, (value for _, value in group)):
                 out.append(row)
                 size += sum(len(x) for x in row if isinstance(x, str))
-                if size > 1 << 23:
+                if size > 1 << 20:
                     yield table(out)
                     out, size = [], 0
         if out:
@@ -225,11 +233,10 @@ def write_documents(df: DataFrame, path: str, key: str | None = None) -> None:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(0).to_pylist()
-            if rows:
-                yield make([(before if first and not i else ",") + row for i, row in enumerate(rows)])
-                first = False
+            yield make([(before if first and not i else ",") + row for i, row in enumerate(rows)])
+            first = False
         yield make([before + after if first else after])
 
     df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)

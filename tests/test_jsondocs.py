@@ -59,3 +59,22 @@ def test_written_documents_come_back(spark, tmp_path, key):
         json.loads(text.read_text())
     got = [json.loads(r.value) for r in J.elements(spark, str(tmp_path / "d"), key or "examples").collect()]
     assert sorted((r["id"], r["t"]) for r in got) == sorted((r.id, r.t) for r in df.collect())
+
+
+def test_a_batch_is_never_whole_in_python():
+    """Peak of Python objects while a batch of 20 MB is walked."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 10_000), pa.array([0] * 10_000), pa.array(["x" * 2000] * 10_000)], names=["source_path", "block", "value"])
+    seen = lambda state, pieces: iter([(*state, sum(len(p) for p in pieces))])
+    work = J.per_block(seen, "source_path string, block long, n long", [pa.string(), pa.int64(), pa.int64()])
+    tracemalloc.start()
+    try:
+        (out,) = work(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.to_pylist() == [{"source_path": "f", "block": 0, "n": 2001 * 10_000}]
+    assert peak < 4 << 20
