@@ -15,12 +15,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     the logarithm of a path's length. Each round is written to the shared folder. No edges give no rows.
     """
     edges = scratch.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(most_rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or tuple(state) == before:
+        if _settled(edges):
             break
-        before = tuple(state)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         large = _star(both, larger=True)
         edges = scratch.write(_star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), larger=False))
@@ -30,6 +27,13 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all distinct edges (smaller, larger) are stars: no larger end has a second edge."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(0).alias("up")).union(edges.select("b", F.lit(1)))
+    nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return nodes.agg(F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first()[0] == 0
+
+
 def _star(directed: DataFrame, larger: bool) -> DataFrame:
     """Edges (smaller, larger); ``directed`` holds u's neighbours v."""
     least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

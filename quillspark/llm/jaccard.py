@@ -101,8 +101,7 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
     scratch.drop(matrix)
     # a group is named by its smallest member
     found = _verified(opened, base, percent, width, scratch)
-    links = scratch.write(links.unionByName(found))
-    first, groups = groups, _grouped(reps, links, scratch)
+    first, groups = groups, _merged(groups, found, scratch)
 
     # groups of several members that did not meet by their smallest ones: the smaller group's members
     # query the larger group, whose members lie in chunks of bounded size
@@ -126,8 +125,7 @@ def _components(base: DataFrame, percent: int, width: int, scratch: Scratch) ->
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     best = candidates.groupBy("b", "x").agg(F.max(F.struct("common", "y")).alias("top")).select("x", "top.y").select(*pair).distinct()
     for pairs in (lambda: best, lambda: _apart(candidates, groups).select(*pair).distinct()):
-        links = scratch.write(links.unionByName(_verified(pairs(), base, percent, width, scratch)))
-        groups = _grouped(reps, links, scratch)
+        groups = _merged(groups, _verified(pairs(), base, percent, width, scratch), scratch)
 
     sets = classes.join(groups.withColumnRenamed("doc_id", "rep"), "rep").select("lo", "hi", F.col("group").alias("component_id"))
     return scratch.write(
@@ -160,8 +158,13 @@ def _facts(base: DataFrame, percent: int, width: int, scratch: Scratch) -> DataF
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows whose ``a`` and ``b``, heads of groups, are still in different ones."""
+    return _heads(pairs, groups).drop("_a", "_b")
+
+
+def _heads(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose ``a`` and ``b`` are in different groups, ``_a`` and ``_b``."""
     now = lambda c: groups.select(F.col("doc_id").alias(c), F.col("group").alias(f"_{c}"))
-    return pairs.join(now("a"), "a").join(now("b"), "b").filter("_a <> _b").drop("_a", "_b")
+    return pairs.join(now("a"), "a").join(now("b"), "b").filter("_a <> _b")
 
 
 def _grouped(reps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -172,6 +175,15 @@ def _grouped(reps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def _merged(groups: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The groups after further links, of which only those between different groups are walked."""
+    heads = scratch.write(_heads(found, groups).select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    if heads.isEmpty():
+        return groups
+    joined = components(heads, scratch).select(F.col("node").alias("group"), "component")
+    return scratch.write(groups.join(joined, "group", "left").select("doc_id", F.coalesce("component", "group").alias("group")))
+
+
 FACTS = "doc_id long, n long, lo long, hi long, bands array<long>, tokens array<long>"
 
 

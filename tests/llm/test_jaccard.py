@@ -67,3 +67,18 @@ def test_bound_of_mixed_groups_never_exceeds_the_exact_one(spark):
     df = spark.createDataFrame([(*p, s, t) for p in pairs for s in (p[0], (p[0] + p[1]) // 2, p[1]) for t in (p[2], p[3]) if 100 * min(s, t) >= 75 * max(s, t)],
                                "al long, am long, bl long, bm long, s long, t long")
     assert df.filter(f"{jaccard._least_shared(75)} > {jaccard._shared_prefix(75, 's', 't')}").count() == 0
+
+
+def test_components_of_stars_take_no_round_and_chains_settle(spark):
+    from quillspark.llm.components import components
+    from quillspark.llm.scratch import Scratch
+
+    def labels(edges):
+        with Scratch(spark) as scratch:
+            got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+            return got, scratch.count
+
+    assert labels([(2, 1), (1, 3), (5, 9), (1, 3), (4, 4)]) == ({1: 1, 2: 1, 3: 1, 5: 5, 9: 5}, 1)
+    chain = [(i * 7 % 31, (i + 1) * 7 % 31) for i in range(30)]
+    assert labels(chain + [(40, 41)])[0] == {**{i: 0 for i in range(31)}, 40: 40, 41: 40}
+    assert labels([]) == ({}, 1)
