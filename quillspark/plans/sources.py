@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark import fixed
 from quillspark.operators import store as T
 from quillspark.plans.common import over_history, pick_sql, query
-from quillspark.session import materialise, note_written, shared_folder
+from quillspark.session import materialise, note_written, read_folders, shared_folder
 from quillspark.sources import jsondocs, readers as R, views, writers as W
 
 
@@ -122,7 +122,7 @@ def stored_history(spark, folder) -> str:
 )
 def history_stored_range(spark, folder):
     """A range of the stored history; only the day partitions it touches are read."""
-    rows = R.decode_history(spark.read.parquet(stored_history(spark, folder)))
+    rows = R.decode_history(read_folders(spark, stored_history(spark, folder)))
     at = lambda text: F.lit(text).cast("timestamp")
     found = T.by_date_range(rows, at("2024-01-02 05:00:00"), at("2024-01-04 00:00:00"), 200)
     return found.select("id", "created_at", "original_idea", F.array_join("guardrails", "|").alias("guardrails"))
@@ -136,4 +136,4 @@ def history_stored_retention(spark, folder):
     """What is left of the stored history after rows older than ten days went."""
     path = stored_history(spark, folder)
     W.retain_history(spark, path, "2024-01-13 10:00:00", 10)
-    return spark.read.parquet(path).select("id", "created_at")
+    return read_folders(spark, path).select("id", "created_at")

@@ -94,6 +94,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         del _WRITTEN[start:]
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table of many partition folders, listed by a few tasks for each core.
+
+    Spark's own bound of 10,000 tasks is a task for each folder of most tables, and a task costs more than
+    listing a folder does.
+    """
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.parquet(path)  # lists as it is built
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back, which cuts its lineage.
 

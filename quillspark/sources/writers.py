@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators.sessions import latest_per_key
-from quillspark.session import delete_folder, materialise
+from quillspark.session import delete_folder, materialise, read_folders
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -61,7 +61,7 @@ def retain_history(spark: SparkSession, path: str, as_of: str, days: int) -> Non
     again changes nothing.
     """
     cut = dt.datetime.fromisoformat(as_of) - dt.timedelta(days=days)
-    stored = spark.read.parquet(path)
+    stored = read_folders(spark, path)
     edge = stored.filter((F.col("day") == F.lit(cut.date())) & (F.col("created_at") >= F.lit(cut.isoformat(" ")).cast("timestamp")))
     kept = materialise(edge)
     # only partition values are read: one row per day

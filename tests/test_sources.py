@@ -226,3 +226,19 @@ def test_appended_days_are_few_files(spark, tmp_path):
     assert len(list((tmp_path / "history").glob("day=*/*.parquet"))) == 21  # not one for each task
     W.append_history(history.filter("id < 40"), path)
     assert spark.read.parquet(path).groupBy("id").count().filter("count = if(id < 40, 2, 1)").count() == 404
+
+
+def test_stored_days_are_listed_by_few_tasks(spark, tmp_path):
+    at = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(id as int), 0, 0, 0)")
+    days = 10 * spark.sparkContext.defaultParallelism
+    path = str(tmp_path / "history")
+    W.append_history(spark.range(days).select("id", at.alias("created_at"), F.array(F.lit("a")).alias("guardrails")), path)
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        W.retain_history(spark, path, "2024-01-14 00:00:00", 10)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = spark.sparkContext.statusTracker()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("few") for s in seen.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) < days / 2
+    assert sorted(r.id for r in spark.read.parquet(path).select("id").collect()) == list(range(3, days))
