@@ -1,6 +1,6 @@
 """State per key over rows in event-time order: breaker alarms and conversation sessions.
 
-Rows wait in a list state until the watermark has passed them and are then taken in order of time and
+Rows wait in a list state, those that arrive together as one element, until the watermark has passed them and are then taken in order of time and
 tie, so the result does not depend on how files and batches cut or shuffle the input, as long as no row
 is later than the delay. Timers release rows, end idle sessions, and clear state that no longer matters.
 """
@@ -18,6 +18,7 @@ from quillspark.session import note_written, shared_folder
 
 SECOND = 1_000_000
 END_OF_INPUT = "2200-01-01 00:00:00"
+PIECE = 10_000  # rows an element of the waiting list holds at most
 COUNT, TIME, FLAG = T.IntegerType(), T.LongType(), T.BooleanType()
 
 
@@ -25,6 +26,12 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
+def _pieces(columns: list[list]) -> Iterator[tuple[list, ...]]:
+    """Columns of equal length as elements of the waiting list."""
+    for start in range(0, len(columns[0]), PIECE):
+        yield tuple(c[start:start + PIECE] for c in columns)
+
+
 class InOrder(StatefulProcessor):
     """Rows ``us, tie, *extra`` of a key in order. Times are microseconds.
 
@@ -38,44 +45,61 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _struct(us=TIME, tie=TIME, **self.extra))
+        columns = {"us": TIME, "tie": TIME, **self.extra}
+        # a list per column: an element costs a call and its conversion, whatever it holds
+        self.waiting = handle.getListState("waiting", _struct(**{n: T.ArrayType(t) for n, t in columns.items()}))
         self.state = handle.getValueState("state", _struct(**self.kept))
+        self.now = None
 
     def wake(self, us: int) -> None:
-        """A timer for the first watermark that has passed ``us``."""
-        self.handle.registerTimer(us // 1000 + 1)
+        """A timer for the first watermark that has passed ``us``; ``passed`` sees to what has passed already."""
+        at = us // 1000 + 1
+        if self.now is None or at > self.now:
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.now = None
         least = None
+        pieces = []
         for frame in rows:
-            frame = frame[~frame["beat"]]
+            beat = frame["beat"].to_numpy(dtype=bool)
+            if beat.any():
+                frame = frame[~beat]
             if len(frame):
-                columns = [frame[n].tolist() for n in ("us", "tie", *self.extra)]
-                self.waiting.appendList([tuple(None if v is not v else v for v in row) for row in zip(*columns)])
+                columns = [[None if v is not v else v for v in frame[n].tolist()] for n in ("us", "tie", *self.extra)]
+                pieces.extend(_pieces(columns))
                 first = min(columns[0])
                 least = first if least is None else min(least, first)
+                if len(pieces) >= 10:
+                    self.waiting.appendList(pieces)
+                    pieces = []
+        if pieces:
+            self.waiting.appendList(pieces)
         if least is not None:
             self.wake(least)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        self.now = timerValues.getCurrentWatermarkInMs()
+        now = self.now * 1000
+        rows = [row for piece in self.waiting.get() for row in zip(*piece)]
         due = sorted((r for r in rows if r[0] <= now), key=lambda r: r[:2])
         if due:
             rest = [r for r in rows if r[0] > now]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put(list(_pieces([list(c) for c in zip(*rest)])))
                 self.wake(min(r[0] for r in rest))
             else:
                 self.waiting.clear()
-        held = tuple(self.state.get()) if self.state.exists() else None
+        held = self.state.get()
+        held = tuple(held) if held is not None else None
         out, after = self.advance(key[0], held, due) if due else ([], held)
         ended, after = self.passed(key[0], after, now)
-        if after is None:
-            self.state.clear()
-        elif after != held:
-            self.state.update(after)
+        if after != held:
+            if after is None:
+                self.state.clear()
+            else:
+                self.state.update(after)
         if out or ended:
             yield pd.DataFrame([*out, *ended], columns=list(self.output))
 

@@ -117,6 +117,22 @@ def test_timers_release_rows_and_leave_no_state_behind(spark, tmp_path):
         spark.conf.set(name, before)
 
 
+def test_rows_that_arrive_together_wait_as_one_element(spark, tmp_path):
+    rows = [(k, 100 * k + n, at(n), "user", None if n % 2 else True) for k in (1, 2) for n in range(30)]
+    stream = as_stream(spark, tmp_path / "in", rows, 1)
+    out = J.session_turns(stream, "k", "ts", "i", 3, F.col("f"), delay="400 days")
+    checkpoint = str(tmp_path / "state")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, J.ROCKSDB)
+    try:
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load().select("key.key", "list_element.*").collect()
+        assert sorted((r["key"], len(r.us), sorted(r.tie)) for r in held) == [(k, 30, [100 * k + n for n in range(30)]) for k in (1, 2)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_rows_without_key_or_tie_do_no_harm(spark, tmp_path):
     rows = [(None, 0, at(0), "user", True), (None, 1, at(1), "user", True), (3, None, at(2), "user", True), (3, 4, None, "user", True), (4, 5, at(3), "user", None)]
     stream = as_stream(spark, tmp_path / "in", rows, 1)
