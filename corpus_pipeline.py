@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, jaccard, packing, pii, toxicity
+from quillspark.llm import decontaminate, idfilter, jaccard, packing, pii, toxicity
 from quillspark.llm.common import for_long_texts, table
 from quillspark.session import note_written, shared_folder
 
@@ -22,8 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by Jaccard of 0.75 or more the document with the smallest id stays."""
     found = jaccard.similarity_components(docs)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return idfilter.without(docs, found.filter("component_id <> doc_id").select("doc_id").distinct(), "doc_id")
 
 
 @for_long_texts

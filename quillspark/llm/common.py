@@ -21,10 +21,12 @@ LOWER[65:91] += 32
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_TEXTS = 2000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_MOST = 8 << 20
 
 
 def for_long_texts(fn):
-    """``fn(spark, ...)`` with Arrow batches of at most BATCH_TEXTS rows from then on in the session.
+    """``fn(spark, ...)`` with Arrow batches of at most BATCH_TEXTS rows and about BATCH_MOST bytes from then on in the session.
 
     Texts are long, and the JVM and the Python worker both hold whole batches.
     """
@@ -33,6 +35,7 @@ def for_long_texts(fn):
     def run(spark, *args):
         if not 0 < int(spark.conf.get(BATCH_ROWS)) <= BATCH_TEXTS:
             spark.conf.set(BATCH_ROWS, BATCH_TEXTS)
+        spark.conf.set(BATCH_BYTES, BATCH_MOST)
         return fn(spark, *args)
 
     return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,6 +44,23 @@ def build_filter(values: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is not in the one long column, of that name, of ``ids``; a null is in none.
+
+    Rows that the filter lets stay are not shuffled, only those it holds for listed are joined.
+    """
+    listed = rows.sparkSession.sparkContext.broadcast(build_filter(ids))
+
+    @F.pandas_udf("boolean")
+    def may_be(values: pd.Series) -> pd.Series:
+        return pd.Series(passes(listed.value, values.to_numpy()))
+
+    # a null is no id, and would make the numbers of its batch inexact
+    hit = may_be(F.coalesce(F.col(column).cast("long"), F.lit(0)))
+    kept = rows.filter(F.col(column).isNull() | ~hit)
+    return kept.unionByName(rows.filter(F.col(column).isNotNull() & hit).join(ids, column, "left_anti").select(*rows.columns))
+
+
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     one, two = _places(values)
     hit = (bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1

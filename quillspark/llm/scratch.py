@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import BATCH_ROWS, BATCH_TEXTS
+from quillspark.llm.common import BATCH_BYTES, BATCH_MOST, BATCH_ROWS, BATCH_TEXTS
 from quillspark.session import delete_folder, note_written, shared_folder
 
 
 class Scratch:
     """Cuts lineage by writing tables; ``drop`` removes those given, leaving the context all but the kept ones.
 
-    Inside, Arrow batches hold at most ``batch_rows`` rows: texts and sets are long.
+    Inside, Arrow batches hold at most ``batch_rows`` rows and about BATCH_MOST bytes: texts and sets are long.
     """
 
     def __init__(self, spark: SparkSession, batch_rows: int = BATCH_TEXTS):
@@ -24,13 +24,15 @@ class Scratch:
         self.count = 0
 
     def __enter__(self) -> "Scratch":
-        self.before = self.spark.conf.get(BATCH_ROWS)
-        if not 0 < int(self.before) <= self.batch_rows:
+        self.before = {name: self.spark.conf.get(name) for name in (BATCH_ROWS, BATCH_BYTES)}
+        if not 0 < int(self.before[BATCH_ROWS]) <= self.batch_rows:
             self.spark.conf.set(BATCH_ROWS, self.batch_rows)
+        self.spark.conf.set(BATCH_BYTES, BATCH_MOST)
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(BATCH_ROWS, self.before)
+        for name, value in self.before.items():
+            self.spark.conf.set(name, value)
         for path in list(self.paths.values()):
             delete_folder(self.spark, path)
 

@@ -82,3 +82,36 @@ def test_components_of_stars_take_no_round_and_chains_settle(spark):
     chain = [(i * 7 % 31, (i + 1) * 7 % 31) for i in range(30)]
     assert labels(chain + [(40, 41)])[0] == {**{i: 0 for i in range(31)}, 40: 40, 41: 40}
     assert labels([]) == ({}, 1)
+
+
+def test_shortened_sets_never_rule_out_a_link(monkeypatch):
+    """Random sets around the bound, of 16 and of 32 bits and mixed: what the whole sets let through, the shortened ones do."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "BRIEF_TOKENS", 60)
+    draw, linked, out = np.random.default_rng(5), 0, 0
+    for _ in range(600):
+        n = int(draw.integers(1, 90))
+        x = draw.integers(0, 1 << 64, n, dtype=np.uint64)
+        y = np.concatenate([x[: n - int(draw.integers(0, n // 3 + 1))], draw.integers(0, 1 << 64, int(draw.integers(0, n // 4 + 2)), dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        cell = lambda pack: (pa.scalar([pack(s)], pa.list_(pa.binary())) for s in (x, y))
+        truth = 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+        assert jaccard._reach(*cell(np.ndarray.tobytes), 75) == truth
+        brief = jaccard._brief_reach(*cell(jaccard.shortened), 75)
+        assert brief or not truth
+        linked, out = linked + truth, out + (not brief)
+    assert linked > 100 and out > 100
+    empty = pa.scalar([jaccard.shortened(np.zeros(0, np.uint64))], pa.list_(pa.binary()))
+    assert not jaccard._brief_reach(empty, empty, 75)
+
+
+def test_sets_are_shipped_whole_only_for_pairs_that_may_link(spark, monkeypatch):
+    """Half-equal documents meet in prefixes; only their shortened sets go to another task."""
+    whole = []
+    reaching = jaccard._reaching
+    monkeypatch.setattr(jaccard, "_reaching", lambda pairs, *a, brief: (whole.append((brief, pairs.count())), reaching(pairs, *a, brief=brief))[1])
+    data = [(i, text(11, 60) + " " + text(20 + i, 40)) for i in range(12)] + [(50, text(4, 80)), (51, text(4, 80, [79]))]
+    assert found(spark, data) == plain(data)
+    assert sum(n for brief, n in whole if brief) >= 10 and sum(n for brief, n in whole if not brief) <= 3

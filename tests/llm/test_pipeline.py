@@ -160,3 +160,42 @@ def test_empty_tables(spark, tables, tmp_path, missing):
     for _, stage in P.STAGES[:-1]:
         kept = stage(spark, docs_of(spark, folder), folder)
         assert (kept.count() == 0) == (missing == "documents")
+
+
+def test_texts_that_stay_are_not_shuffled_to_drop_a_few(spark):
+    """Without a broadcast the join shuffles listed rows only; nulls, repeats and great ids are as in a left anti join."""
+    from quillspark.llm import idfilter
+
+    great = (1 << 62) + 1
+    rows = [(i, "t" * 50) for i in range(2000)] + [(None, "null"), (None, "null"), (7, "again"), (8, "again"), (great, "a"), (great + 1, "b"), (-3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(7,), (0,), (great,), (99999,)], "doc_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        kept = idfilter.without(docs, ids, "doc_id")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, docs.join(ids, "doc_id", "left_anti").select("doc_id", "text").collect()))
+        tree = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert tree.startswith("Union") and "LeftAnti" in tree
+        assert kept.columns == docs.columns and idfilter.without(docs.filter("false"), ids.filter("false"), "doc_id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    """Rows that hold many long lists, as those of the n-gram join's meetings, come to Python a few at a time."""
+    import pyarrow as pa
+
+    from quillspark.llm.common import BATCH_BYTES, BATCH_MOST
+    from quillspark.llm.scratch import Scratch
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(BATCH_BYTES)
+    with Scratch(spark) as scratch:
+        rows = spark.range(0, 400, 1, 1).selectExpr("array_repeat(id, 10000) as members")  # 80 kB a row
+        got = [r.n for r in scratch.write(rows.mapInArrow(count, "n long")).collect()]
+    assert sum(got) == 400 and max(got) <= 2 * BATCH_MOST // 80_000
+    assert spark.conf.get(BATCH_BYTES) == before
